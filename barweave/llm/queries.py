@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, sharding, token_files
+from . import bpe, jaccard, media, mixing, sharding, substrings, token_files
 from .common import documents
 
 #: Bytes of text in a shard of op6: sized for tables of megabytes; 1 << 30 suits larger ones.
@@ -31,6 +31,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), SHARD_BYTES)
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -39,13 +43,19 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_images(documents(spark, sf_dir), media=False)
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op3_token_files": op3_token_files,
         "op6_sharding": op6_sharding,
+        "op7_substrings": op7_substrings,
         "op8_mixing": op8_mixing,
         "op9_media": op9_media,
+        "op10_jaccard": op10_jaccard,
     }
 
 
