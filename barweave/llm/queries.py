@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, media, mixing, sharding, substrings, token_files
+from . import bpe, jaccard, language, media, mixing, quality, sharding, substrings, token_files
 from .common import documents
 
 #: Bytes of text in a shard of op6: sized for tables of megabytes; 1 << 30 suits larger ones.
@@ -19,6 +19,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.learn_and_score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -27,6 +31,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.learn_and_identify(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir), SHARD_BYTES)
 
@@ -49,8 +57,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
         "op3_token_files": op3_token_files,
+        "op5_language": op5_language,
         "op6_sharding": op6_sharding,
         "op7_substrings": op7_substrings,
         "op8_mixing": op8_mixing,
