@@ -11,15 +11,15 @@ table of segments in Parquet carries the files, so any store that Spark reaches
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import slices
+from .bpe import byte_letters, slices
 from .common import Scratch, partitions
 
 MAGIC = b"S8B1"
@@ -28,8 +28,6 @@ SELECTORS = ((0, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8,
 BLOCK = 240
 #: Ids in a segment before the next document starts another.
 SEGMENT_IDS = 1 << 18
-#: Pre-tokens a Python worker remembers.
-CACHE_WORDS = 400_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -145,45 +143,33 @@ def unpack(file: bytes, first_block: int = 0, last_block: int | None = None) ->
     return out
 
 
-class WordEncoder:
-    """The ``tokenizers`` library over each distinct pre-token, remembered: a byte-level file never merges across them."""
+class ByteBpe:
+    """A byte-level tokenizer file: its ids are those of the ``tokenizers`` library, as the tests hold them against it.
+
+    The file's vocabulary is read as merge ranks by ``tiktoken``, whose one pass over a text costs a third of the time.
+    """
+
+    #: How such files split a text.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.seen: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.encoding = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def texts(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        tail = [] if end is None else [np.array([end], dtype="<u4").tobytes()]
-        split = []
-        for text in texts:
-            words = []
-            if text and self.split and "<" in text:
-                at = 0
-                for m in self.split.finditer(text):
-                    words += [*self.words.findall(text[at : m.start()]), m[0]]
-                    at = m.end()
-                text = text[at:]
-            split.append(words + self.words.findall(text or ""))
-        new = list({w for words in split for w in words if w not in self.seen})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[w] = np.array(e.ids, dtype="<u4").tobytes()
-        seen = self.seen
-        return [np.frombuffer(b"".join([*[seen[w] for w in words], *tail]), dtype="<u4") for words in split]
+        tail = np.array([] if end is None else [end], dtype="<u4")
+        return [np.concatenate([self.encoding.encode_to_numpy(t, allowed_special="all").astype("<u4") if t else tail[:0], tail]) for t in texts]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordEncoder(path)
+def encoder(path: str) -> ByteBpe:
+    return ByteBpe(path)
 
 
 SEGMENTS = "shard int, segment int, first_id long, n_ids long, doc_ids array<{id}>, n_tokens array<int>, file binary"
