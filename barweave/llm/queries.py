@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, language, media, mixing, quality, sharding, substrings, token_files
+from . import bpe, jaccard, language, media, mixing, neighbours, quality, sharding, substrings, token_files
 from .common import documents
 
 #: Bytes of text in a shard of op6: sized for tables of megabytes; 1 << 30 suits larger ones.
@@ -31,6 +31,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.learn_and_identify(documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_bpe": op2_bpe,
         "op3_token_files": op3_token_files,
+        "op4_neighbours": op4_neighbours,
         "op5_language": op5_language,
         "op6_sharding": op6_sharding,
         "op7_substrings": op7_substrings,
