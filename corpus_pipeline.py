@@ -1,22 +1,81 @@
-"""From raw documents to tokens: each stage's rows are written and are the next one's documents."""
+"""From raw documents to tokens: quality, near duplicates, repeated passages, source weights, token ids.
+
+Each stage is one operator over all rows that the one before it kept; its rows are written as Parquet and are the next
+one's documents. All but the last return the documents' own columns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barweave.llm import bpe
-from barweave.llm.common import Scratch, documents
+from barweave.llm import bpe, jaccard, mixing, quality, substrings
+from barweave.llm.common import Scratch, documents, free_name
 from barweave.llm.queries import tokenizer_file
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject: it learns from labelled documents that are not held out.
+
+    Texts that are null or empty are scored like others; rows keep their order of columns and their repeats.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs.select(F.col("doc_id").alias("id"), "text"), labels.select("doc_id", "quality"))
+    score = free_name(docs, "quality_score")
+    return quality.score_column(docs, model, "text", score).where(F.col(score) >= quality.THRESHOLD).drop(score)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates; of repeated rows of an id, one.
+
+    Documents without words link with nothing and stay, as do rows without an id.
+    """
+    groups = jaccard.join(docs)
+    member = free_name(docs, "member")
+    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(member)).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = named.join(keep, named["doc_id"] == keep[member], "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that an earlier one has; those with no word left go.
+
+    A document that had no word before stays, and n_chars is counted anew where a text changed.
+    """
+    cut = substrings.dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("text").alias("cut_text")).dropDuplicates(["cut_id"])
+    new, of = free_name(docs, "cut_text"), free_name(docs, "cut_id")
+    cut = cut.toDF(of, new)
+    joined = docs.join(cut, docs["doc_id"] == cut[of], "left").where(F.col(new).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.coalesce(new, "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(changed).select(docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice; copies keep their id."""
+    times = mixing.mix(docs).select("doc_id", "copies")
+    of, n = free_name(docs, "mix_id"), free_name(docs, "mix_copies")
+    times = times.groupBy("doc_id").agg(F.max("copies").alias("copies")).toDF(of, n)
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[of])).where(F.col(n) > 0)
+    copy = free_name(docs, "mix_copy")
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every document."""
+    """Token ids of every document, and the text that they decode to."""
     return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json"), ("n_tokens", "ids", "decoded"))
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [
+    ("good_quality", good_quality),
+    ("one_of_each_group", one_of_each_group),
+    ("without_repeated_passages", without_repeated_passages),
+    ("mixed_sources", mixed_sources),
+    ("tokens", tokens),
+]
 
-#: Models and byte-pair merges have no SQL.
+#: Models, chunks, Newton steps and byte pairs have no SQL: the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
