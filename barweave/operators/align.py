@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, value: str, out: str, by: list[str] = ["symbol"]) -> DataFrame:
-    """Left rows with the value of the latest right row that is not later; right has one row for each time.
+def asof(left: DataFrame, right: DataFrame, on: str, value: str, out: str) -> DataFrame:
+    """Left rows with the value of the latest right row that is not later; right (an index) has one row for each time.
 
-    Both sides become one stream in the order of time along which the last value is carried, so neither is joined by
-    range. The right side is copied to each left group, which it shares its partition with; as an index it is small.
+    The times of both sides become one stream along which the last value is carried, one row for each distinct time; an
+    equality join brings the values back, so neither side is joined by range or copied to each symbol.
     """
-    groups = left.select(*by).distinct()
-    tagged = groups.join(F.broadcast(right.select(F.col(on), F.col(value).alias("__v"))))
-    tagged = tagged.withColumn("__left", F.lit(False))
-    stream = left.withColumn("__left", F.lit(True)).unionByName(tagged, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(on, "__left").rowsBetween(Window.unboundedPreceding, 0)
-    return stream.withColumn(out, F.last("__v", ignorenulls=True).over(w)).where("__left").drop("__left", "__v")
+    times = left.select(on).distinct().withColumn("__v", F.lit(None).cast(right.schema[value].dataType))
+    stream = times.unionByName(right.select(F.col(on), F.col(value).alias("__v"))).groupBy(on).agg(F.first("__v", ignorenulls=True).alias("__v"))
+    w = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
+    values = stream.select(F.col(on).alias("__on"), F.last("__v", ignorenulls=True).over(w).alias(out))
+    return left.join(values, left[on] == F.col("__on"), "left").drop("__on")
 
 
 def exact_filled(left: DataFrame, right: DataFrame, on: str, value: str, out: str, by: list[str] = ["symbol"]) -> DataFrame:

@@ -368,7 +368,14 @@ def results_by_split(spark, d):
     return rounded(metrics.across_symbols(_metrics(spark, d).withColumn("split", F.lit("all")), "split"))
 
 
-@query("portfolio_by_split")
+def _grouped_sql(group: str, of: str, where: str) -> str:
+    """Metrics by symbol and group: the machine walks over names that hold both."""
+    start = f"WITH RECURSIVE {Q.DAILY}, {Q.INDEX}, {Q.BASE}, {Q.ASOF}, {Q.SIGNAL.replace('signals AS', 'signals0 AS')}, {of}"
+    named = f"signals AS (SELECT symbol || '|' || {group} AS symbol, date, open, close, signal, regime, row_number() OVER (PARTITION BY symbol, {group} ORDER BY date) - 1 AS i FROM grouped WHERE {where})"
+    return f"{start}, {named}, {Q.machine()}, {Q.CURVE}, {Q.METRICS} SELECT split_part(symbol, '|', 1) AS symbol, split_part(symbol, '|', 2) AS {group}, n_trades, {_MSQL} FROM metrics"
+
+
+@query("portfolio_by_split", _grouped_sql("split", f"grouped AS (SELECT *, {_SPLIT.format(op='<')} AS split FROM signals0)", "split IS NOT NULL"))
 def portfolio_by_split(spark, d):
     """Metrics of each symbol within each split: the machine starts anew in each."""
     s = signals(spark, d).withColumn("split", align.split(F.col("date"), *SPLITS)).where("split IS NOT NULL")
@@ -498,7 +505,10 @@ def hmm_labels(spark, d):
     return hmm.detect(regimes.state_features(fixtures.index_bars(spark, d)), steps=200)
 
 
-@query("regime_backtest")
+_MARKET_SQL = f"reg0 AS (SELECT symbol, date, {Q.change('close', 50)} AS trend FROM daily), grouped0 AS (SELECT g.*, CASE WHEN trend > 0.05 THEN 'BULL' WHEN trend < -0.05 THEN 'BEAR' ELSE 'FLAT' END AS market FROM signals0 g JOIN reg0 USING (symbol, date)), grouped AS (SELECT * FROM grouped0 QUALIFY count(*) OVER (PARTITION BY market) >= 100 AND count(*) OVER (PARTITION BY market, symbol) >= 50)"
+
+
+@query("regime_backtest", _grouped_sql("market", _MARKET_SQL, "true"))
 def regime_backtest(spark, d):
     """Metrics of each symbol on the rows of each regime, where there are enough: those rows need not follow each other."""
     s = signals(spark, d).join(_reg(spark, d).select("symbol", "date", F.col("regime").alias("market")), ["symbol", "date"])
@@ -506,6 +516,16 @@ def regime_backtest(spark, d):
     return rounded(metrics.metrics(s, backtest.trades(s, ["market", "symbol"]), ["market", "symbol"]))
 
 
+@query("regime_backtest_by_split")
+def regime_backtest_by_split(spark, d):
+    """The full analysis: by split, regime and symbol."""
+    s = signals(spark, d).join(_reg(spark, d).select("symbol", "date", F.col("regime").alias("market")), ["symbol", "date"])
+    s = s.withColumn("split", align.split(F.col("date"), *SPLITS)).where("split IS NOT NULL")
+    by = ["split", "market", "symbol"]
+    s = B.with_history(s, 50, by)
+    return rounded(metrics.metrics(s, backtest.trades(s, by), by))
+
+
 # -- selection and search
 
 _CORR = ("ret_5d", "ret_20d", "rsi_7", "rsi_14", "close_vs_sma20", "bb_pos_20", "vol_20d", "atr_pct_14")

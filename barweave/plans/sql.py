@@ -127,6 +127,16 @@ curve AS (SELECT *, (equity - peak) / (peak + 1e-8) AS drawdown, (equity - befor
 METRICS = f"""
 c AS (SELECT symbol, count(*) AS n, arg_max(equity, i) AS last, avg(ret) AS m, stddev_pop(ret) AS sd, stddev_pop(ret) FILTER (ret < -1e-12) AS dsd, count(*) FILTER (ret < -1e-12) AS nd, min(drawdown) AS dd FROM curve GROUP BY symbol),
 t AS (SELECT symbol, count(*)::INT AS n_trades, avg(CASE WHEN net_return > 0 THEN 1e0 ELSE 0 END) AS wins, avg(hold_days) AS hold, sum(CASE WHEN net_return > 0 THEN net_return ELSE 0 END) AS won, COALESCE(-sum(net_return) FILTER (net_return <= 0), 1e-8) AS lost FROM trades GROUP BY symbol),
-metrics AS (SELECT symbol, (last - 1) * 100 AS total_return_pct, (pow(last, 252e0 / n) - 1) * 100 AS annual_return_pct, CASE WHEN sd > 1e-8 THEN m / sd * sqrt(252e0) ELSE 0 END AS sharpe_ratio, CASE WHEN nd > 1 AND dsd > 1e-8 THEN m / dsd * sqrt(252e0) ELSE 0 END AS sortino_ratio, dd * 100 AS max_drawdown_pct, wins * 100 AS win_rate, hold AS avg_hold_days, n_trades / (n / 252e0) AS trades_per_year, n_trades, won / greatest(lost, 1e-8) AS profit_factor FROM c JOIN t USING (symbol))"""
+metrics AS (SELECT symbol, COALESCE(n_trades, 0) AS n_trades, """ + ", ".join(f"CASE WHEN n_trades > 0 THEN {x} ELSE 0e0 END AS {name}" for name, x in {
+    "total_return_pct": "(last - 1) * 100",
+    "annual_return_pct": "(pow(last, 252e0 / n) - 1) * 100",
+    "sharpe_ratio": "CASE WHEN sd > 1e-8 THEN m / sd * sqrt(252e0) ELSE 0 END",
+    "sortino_ratio": "CASE WHEN nd > 1 AND dsd > 1e-8 THEN m / dsd * sqrt(252e0) ELSE 0 END",
+    "max_drawdown_pct": "dd * 100",
+    "win_rate": "wins * 100",
+    "avg_hold_days": "hold",
+    "trades_per_year": "n_trades / (n / 252e0)",
+    "profit_factor": "won / greatest(lost, 1e-8)",
+}.items()) + " FROM c LEFT JOIN t USING (symbol))"
 SINGLE = "CASE WHEN n_trades < 2 THEN -50e0 ELSE 3e0 * annual_return_pct / 100 + 2e0 * sharpe_ratio + sortino_ratio + win_rate / 100 - 2e0 * abs(max_drawdown_pct) / 100 + 0.5e0 * (CASE WHEN trades_per_year < 4 THEN -1e0 WHEN trades_per_year <= 50 THEN 0.5e0 ELSE -0.5e0 END) - 0.02e0 * 3 END"
 MARKET = f"market0 AS (SELECT epoch(date)::BIGINT AS timestamp, symbol, 'D' AS interval, open, high, low, close, volume FROM daily UNION ALL SELECT epoch(bar)::BIGINT, symbol, '1m', open, high, low, close, n FROM ({bars('minute')})), market AS (SELECT * FROM market0 UNION ALL SELECT * FROM market0)"
