@@ -23,15 +23,17 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for every node of the edges (a, b); the label is the component's least node."""
     edges = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    last = None
-    while True:
+    while not _stars(edges):
         large = scratch.save(_step(edges, True), "large")
         new = scratch.save(_step(large, False), "small")
-        mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         scratch.drop(edges, large)
         edges = new
-        if mark == last:
-            break
-        last = mark
     least = edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    return scratch.save(least.union(edges.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct(), "labels")
+    return least.union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either the least of its neighbours or has one neighbour, which is: then labels are final."""
+    ends = edges.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("a", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)")
+    return bad.limit(1).count() == 0

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefix filters under several global orders.
 
 Two sets that are similar enough share a token among the first few of each, under any order of all tokens. The first
-order puts tokens of many documents last, then follows a hash; documents that share a prefix token under it meet in the
+order puts tokens of many documents late, and those of frequent words after those with rare ones, then follows a hash; documents that share a prefix token under it meet in the
 token's bucket. Two more hash orders must agree before a pair's whole sets are compared.
 
 Texts with equal sets are one class. Buckets with many classes (groups of near copies) are not expanded into pairs:
@@ -11,6 +11,9 @@ open pairs are left, all of them are compared, so every link between different c
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,16 +25,23 @@ from .graph import components
 N = 5
 #: Similarity of at least NUM / DEN.
 NUM, DEN = 4, 5
-#: Tokens of more documents than this come last in the first order.
-HOT = 32
-#: Bits of the map of such tokens: a fixed megabyte; where it fills up, more tokens come last, which stays an order.
+#: Tokens of more documents than these come later in the first order, level by level.
+LEVELS = (32, 1024, 32768)
+#: Bits of the map of each level: a fixed megabyte; where one fills up, more tokens come late, which stays an order.
 MAP_BITS = 23
-#: Open pairs for each posting below which all of them are compared, and rounds of leaders at most.
-OPEN, ROUNDS = 6, 8
+#: Open pairs for each posting below which all of them are compared at once, and rounds of leaders at most before that.
+OPEN, ROUNDS = 6, 1
+#: Of each document's tokens, the hundredths that count for that map.
+COUNTED = 45
+#: Classes in the bucket of a token up to which all its pairs are made at once.
+MANY = 4 * LEVELS[0]
+#: Share of all words from which a word is frequent.
+FREQUENT = 2e-5
 #: Tokens gathered by a task between two packs.
-PACK = 1 << 21
+PACK = 1 << 20
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+_TRUE = np.ones(1, dtype=bool)
 _ORDERS = np.array([0x0, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -42,40 +52,95 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Shingles:
+    """Sets of shingles as 64-bit tokens. The low three bits of a token tell how many of its words are frequent ones.
+
+    A shingle with a rare word is itself rare: that orders tokens by how many documents have them, whatever the size of
+    the corpus, by a list of words of bounded length.
+    """
+
+    def __init__(self, frequent: np.ndarray | None = None):
+        self.frequent = set() if frequent is None else set(frequent.tolist())
+        self.words = _Words(self.frequent)
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The distinct shingles of each text, sorted: lower-case A-Z, words between ASCII white space."""
+        h, lengths = self.hashes(texts)
+        rare = (h & np.uint64(1)) ^ np.uint64(1)
+        h = h >> np.uint64(1)
+        # Runs over the end of a text are made too, and left out below.
+        n = max(0, len(h) - N + 1)
+        total, common = h[:n] * _MUL[0], np.full(n, N, dtype=np.uint64) - rare[:n]
+        for k in range(1, N):
+            total += h[k : k + n] * _MUL[k]
+            common -= rare[k : k + n]
+        total = (mix(total) & ~np.uint64(7)) | common
+        out, at = [], 0
+        for m in lengths:
+            if m >= N:
+                got = np.sort(total[at : at + m - N + 1])
+                out.append(got[np.concatenate([_TRUE, got[1:] != got[:-1]])])
+            else:  # the whole sequence, apart from any run of N words
+                got = np.full(min(m, 1), m, dtype=np.uint64)
+                for x in h[at : at + m]:
+                    got = mix(got ^ x)
+                out.append(got & ~np.uint64(7))
+            at += m
+        return out
+
+    def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """Hashes of all words, the low bit set for frequent ones, and the texts' numbers of words."""
+        if len(self.words) > 300_000:
+            self.words.clear()
+        split = [_split(t) for t in texts]
+        lengths = [len(w) for w in split]
+        return np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=sum(lengths)), lengths
+
+
+def _split(text: str | None) -> list[bytes]:
+    """Words; bytes change and split at ASCII only."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def _word(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & ~1
+
+
 class _Words(dict):
+    def __init__(self, frequent: set[int]):
+        self.frequent = frequent
+
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = _word(word)
+        self[word] = h = h | (h in self.frequent)
         return h
 
 
-_words = _Words()
-
-
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The distinct shingles of each text as sorted 64-bit hashes: lower-case A-Z, words between ASCII white space."""
-    if len(_words) > 400_000:
-        _words.clear()
-    out = []
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-        if len(h) < N:  # the whole sequence, apart from any run of N words
-            got = np.uint64(len(h))
-            for x in h:
-                got = mix(np.array([got ^ x]))[0]
-            out.append(np.array([got]))
-        else:
-            n = len(h) - N + 1
-            total = h[:n] * _MUL[0]
-            for k in range(1, N):
-                total = mix(total) + h[k : k + n] * _MUL[k]
-            out.append(np.unique(mix(total)))
+def _key(tokens: np.ndarray, maps: list[np.ndarray] = ()) -> np.ndarray:
+    """Places in the first order: fewer documents first, by the maps, then fewer frequent words, then a hash."""
+    key = ((tokens & np.uint64(7)) << np.uint64(59)) | (mix(tokens) >> np.uint64(5))
+    at = tokens >> np.uint64(64 - MAP_BITS)
+    for marks in maps:
+        key += _marked(marks, at).astype(np.uint64) << np.uint64(62)
+    return key
+
+
+def _heads_of(sets: list[np.ndarray], key: np.ndarray, length) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each set the first tokens under the order of ``key`` (of all sets, one after the other), and their keys."""
+    out, at = [], 0
+    for s in sets:
+        k, n = key[at : at + len(s)], length(len(s))
+        at += len(s)
+        first = np.argpartition(k, n - 1)[:n] if 0 < n < len(s) else np.arange(n)
+        first = first[np.argsort(k[first])]
+        out.append((s[first], k[first]))
     return out
 
 
+def _together(sets: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+
 def prefix_length(n: int) -> int:
     return n - (NUM * n + DEN - 1) // DEN + 1 if n else 0
 
@@ -86,30 +151,83 @@ def _batches(batches, size: int = 512):
             yield batch.slice(a, size)
 
 
-def _hot_map(docs: DataFrame, scratch: Scratch) -> bytes:
-    """A map of fixed size that marks the tokens of over HOT documents, counted over all of them.
+def _first(s: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """The n tokens with the least keys."""
+    return s[np.argpartition(key, n - 1)[:n]] if 0 < n < len(s) else s[:n]
+
+
+def _pack_bits(spark) -> int:
+    """Packs: twice the shuffle partitions or more, so their share of the tokens falls as those grow."""
+    return min(MAP_BITS - 3, max(4, (2 * partitions(spark) - 1).bit_length()))
+
+
+def _cuts(tokens: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(pack, from, to) of sorted tokens by their leading bits."""
+    edges = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    edges = [0, *edges.tolist(), len(tokens)]
+    return [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
+
+def _marked(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
 
-    Tasks send sorted packs of 32-bit rests of the hashes by their leading bits, repeats already counted; a pack has a
-    share of the tokens that falls as the shuffle partitions grow.
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Hashes of the words that make up FREQUENT of all words or more: at most 2 / FREQUENT, whatever the corpus.
+
+    Tasks leave out words below a quarter of that share of what they have read at a time.
     """
-    spark = docs.sparkSession
-    bits = min(MAP_BITS - 3, max(4, (2 * partitions(spark) - 1).bit_length()))
+
+    def counted(batches):
+        held, n = Counter(), 0
+
+        def flush():
+            keep = [(w, c) for w, c in held.items() if c >= n * FREQUENT / 4]
+            words = [_word(w) for w, _ in keep]
+            return pa.RecordBatch.from_arrays([pa.array(np.array([*words, 0], np.uint64).view(np.int64)), pa.array([*(c for _, c in keep), n], pa.int64()), pa.array([False] * len(keep) + [True])], names=["word", "n", "total"])
+
+        for part in _batches(batches):
+            for text in part.column(0).to_pylist():
+                words = _split(text)
+                held.update(words)
+                n += len(words)
+            if n >= PACK:
+                yield flush()
+                held, n = Counter(), 0
+        if n:
+            yield flush()
+
+    found = docs.select("text").mapInArrow(counted, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("total"), F.desc("n"), "word").limit(int(2 / FREQUENT) + 1).collect()
+    total = top[0]["n"] if top else 0
+    return np.array([r["word"] for r in top[1:] if r["n"] >= FREQUENT * total / 2], dtype=np.int64).view(np.uint64)
+
+
+def _hot_maps(docs: DataFrame, frequent) -> list[bytes]:
+    """Maps of fixed size that mark the tokens of over LEVELS documents, counted over all of them.
+
+    Of each document the part COUNTED of its tokens that come first counts: its prefix lies there, even if most of what
+    is there is hot. Tasks send sorted packs of 32-bit rests of the tokens by their leading bits, repeats counted.
+    """
+    bits = _pack_bits(docs.sparkSession)
 
     def packs(batches):
-        held, n = [], 0
+        shingles, held, n = Shingles(frequent.value), [], 0
 
         def flush():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            edges = np.searchsorted(tokens, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             rests = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            edges = [0, *edges.tolist(), len(tokens)]
-            rows = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            rows = _cuts(tokens, bits)
             many = [np.flatnonzero(counts[a:b] > 1) + a for _, a, b in rows]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([rests[a:b].tobytes() for _, a, b in rows], pa.binary()), pa.array([rests[m].tobytes() for m in many], pa.binary()), pa.array([(counts[m] - 1).astype(np.uint32).tobytes() for m in many], pa.binary())], names=["pack", "rests", "many", "counts"])
 
         for part in _batches(batches):
-            for s in shingle_sets(part.column(0).to_pylist()):
-                held.append(s)
+            sets = shingles.sets(part.column(0).to_pylist())
+            key, at = _key(_together(sets)), 0
+            for s in sets:
+                k = key[at : at + len(s)]
+                at += len(s)
+                held.append(s := _first(s, k, -(-len(s) * COUNTED // 100)))
                 n += len(s)
             if n >= PACK:
                 yield flush()
@@ -123,74 +241,211 @@ def _hot_map(docs: DataFrame, scratch: Scratch) -> bytes:
         rests = np.concatenate([np.frombuffer(x, np.uint32) for col in ("rests", "many") for x in pdf[col]])
         weight = np.concatenate([np.ones(sum(len(x) for x in pdf["rests"]) // 4, np.int64), *(np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["counts"])])
         tokens, at = np.unique(rests, return_inverse=True)
-        hot = tokens[np.bincount(at, weights=weight) > HOT]
-        marks = np.zeros(1 << (MAP_BITS - bits), dtype=bool)
-        marks[hot >> np.uint32(32 - (MAP_BITS - bits))] = True
-        return pd.DataFrame({"pack": [key[0]], "marks": [np.packbits(marks, bitorder="little").tobytes()]})
-
-    got = docs.select("text").mapInArrow(packs, "pack int, rests binary, many binary, counts binary").groupBy("pack").applyInPandas(count, "pack int, marks binary")
+        counts, out = np.bincount(at, weights=weight), {"pack": [key[0]]}
+        for k, level in enumerate(LEVELS):
+            marks = np.zeros(1 << (MAP_BITS - bits), dtype=bool)
+            marks[tokens[counts > level] >> np.uint32(32 - (MAP_BITS - bits))] = True
+            out[f"m{k}"] = [np.packbits(marks, bitorder="little").tobytes()]
+        return pd.DataFrame(out)
+
+    got = docs.select("text").mapInArrow(packs, "pack int, rests binary, many binary, counts binary").groupBy("pack").applyInPandas(count, "pack int, " + ", ".join(f"m{k} binary" for k in range(len(LEVELS))))
     size = 1 << (MAP_BITS - bits - 3)
-    whole = bytearray(1 << (MAP_BITS - 3))
-    for r in got.toLocalIterator():
-        whole[r["pack"] * size : (r["pack"] + 1) * size] = r["marks"]
-    return bytes(whole)
+    maps = [bytearray(1 << (MAP_BITS - 3)) for _ in LEVELS]
+    for r in got.toLocalIterator():  # a fixed megabyte for each level
+        for k, whole in enumerate(maps):
+            whole[r["pack"] * size : (r["pack"] + 1) * size] = r[f"m{k}"]
+    return [bytes(m) for m in maps]
 
 
-def _prefixes(docs: DataFrame, hot: bytes) -> DataFrame:
-    """(doc_id, n, digest of the set, the prefix under the first order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _heads(docs: DataFrame, frequent, maps: list[bytes]) -> DataFrame:
+    """(doc_id, n, class, and the prefix under the first order in two parts: its tokens that no map marks, and the others).
+
+    The class is a digest of the set; a token's position is its place in both parts, one after the other.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches):
-        marks = np.frombuffer(shared.value, dtype=np.uint8)
+        shingles, marks = Shingles(frequent.value), [np.frombuffer(m, dtype=np.uint8) for m in shared.value]
         for part in _batches(batches):
-            sets = shingle_sets(part.column(1).to_pylist())
-            heads = []
-            for s in sets:
-                at = s >> np.uint64(64 - MAP_BITS)
-                late = (marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                key = (mix(s) >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
-                p = prefix_length(len(s))
-                heads.append(s[np.argpartition(key, p - 1)[:p]].view(np.int64) if 0 < p < len(s) else s.view(np.int64))
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "head"])
+            sets = shingles.sets(part.column(1).to_pylist())
+            head, late = [], []
+            for tokens, key in _heads_of(sets, _key(_together(sets), marks), prefix_length):
+                cold = int(np.searchsorted(key, np.uint64(1 << 62)))
+                head.append(tokens[:cold].view(np.int64))
+                late.append(tokens[cold:].view(np.int64))
+            classes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes), pa.array(head, pa.list_(pa.int64())), pa.array(late, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "head", "late"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, head array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, head array<long>, late array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole set, its prefixes under the other orders)."""
+def _near(n, m, i, j):
+    """Whether sizes and positions of a token allow it to be the first that a similar pair shares: numbers, arrays or columns."""
+    least = NUM * (n + m)
+    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & ((NUM + DEN) * (n - i) >= least) & ((NUM + DEN) * (m - j) >= least)
+
+
+def _met(named: DataFrame) -> DataFrame:
+    """Classes that meet in tokens that are not late: as pairs (a, b), or where they are many, as rows (token, a, n, pos)."""
+    bits = _pack_bits(named.sparkSession)
+    kinds = (np.int64, np.int64, np.int32, np.int32)
+
+    def packs(batches):
+        held, n, seen = [], 0, set()
+
+        def flush():
+            columns = [np.concatenate(x) for x in zip(*held)]
+            order = np.argsort(columns[0].view(np.uint64))
+            columns = [x[order] for x in columns]
+            rows = _cuts(columns[0].view(np.uint64), bits)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), *(pa.array([x[a:b].tobytes() for _, a, b in rows], pa.binary()) for x in columns)], names=["pack", "tokens", "classes", "sizes", "places"])
 
-    def run(batches):
         for part in _batches(batches):
-            sets = shingle_sets(part.column(1).to_pylist())
-            cols = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-            for seed in _ORDERS[1:]:
-                heads = []
-                for s in sets:
-                    p = prefix_length(len(s))
-                    heads.append(s[np.argpartition(mix(s ^ seed), p - 1)[:p]].view(np.int64) if 0 < p < len(s) else s.view(np.int64))
-                cols.append(pa.array(heads, pa.list_(pa.int64())))
-            digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), digests, *cols], names=["id", "key", "tokens", "second", "third"])
+            for cls, size, tokens in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                if cls in seen:
+                    continue
+                seen.add(cls)
+                tokens = np.asarray(tokens.values)
+                m = len(tokens)
+                held.append((tokens, np.full(m, cls, np.int64), np.full(m, size, np.int32), np.arange(m, dtype=np.int32)))
+                n += m
+            if n >= PACK:
+                yield flush()
+                held, n, seen = [], 0, set()
+        if n:
+            yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, key binary, tokens array<long>, second array<long>, third array<long>")
+    def pairs(tokens, classes, sizes, places):
+        order = np.lexsort((classes, tokens))
+        tokens, classes, sizes, places = (x[order] for x in (tokens, classes, sizes, places))
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
+        tokens, classes, sizes, places = tokens[new], classes[new], sizes[new].astype(np.int64), places[new].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([_TRUE, tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        many = np.diff(np.append(starts, len(tokens)))
+        many = np.repeat(many, many)
+        large = many > MANY
+        found, d = [], 1
+        while (at := np.flatnonzero(~large & (many > d))).size:
+            at = at[at + d < len(tokens)]
+            at = at[tokens[at] == tokens[at + d]]
+            at = at[_near(sizes[at], sizes[at + d], places[at], places[at + d])]
+            found.append(np.stack([classes[at], classes[at + d]], axis=1))
+            d += 1
+        found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        none, m, k = np.zeros(len(found), np.int64), len(found), int(large.sum())
+        lost = pa.nulls(m, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([lost, pa.array(tokens[large])]), pa.array(np.concatenate([found[:, 0], classes[large]])), pa.concat_arrays([pa.array(found[:, 1]), pa.nulls(k, pa.int64())]), pa.array(np.concatenate([none, sizes[large]])), pa.array(np.concatenate([none, places[large]]))], names=["token", "a", "b", "n", "pos"])
+
+    def meet(batches):
+        # A partition's packs one after the other: rows come sorted by pack.
+        last, held = None, []
+        columns = lambda: [np.concatenate([np.frombuffer(x[c], t) for x in held]) for c, t in enumerate(kinds)]
+        for batch in batches:
+            for pack, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if pack != last and held:
+                    yield pairs(*columns())
+                    held = []
+                last = pack
+                held.append(row)
+        if held:
+            yield pairs(*columns())
+
+    packed = named.select("cls", "n", "head").mapInArrow(packs, "pack int, tokens binary, classes binary, sizes binary, places binary")
+    return packed.repartition(partitions(named.sparkSession), "pack").sortWithinPartitions("pack").mapInArrow(meet, "token long, a long, b long, n long, pos long")
+
+
+def _mark(ids: DataFrame) -> bytes:
+    """A map of fixed size that marks the hashes of all ids of a column."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
+    got = ids.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("marks"))
+    whole = bytearray((1 << (MAP_BITS - 3)) + 4096)
+    for r in got.toLocalIterator():  # the position 0 is the last of its bucket's neighbour
+        whole[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["marks"]
+    return bytes(whole)
 
 
-def _alike(n: Column, m: Column) -> Column:
-    """Sizes that a pair of the asked similarity can have."""
-    return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
+def _of_marked(docs: DataFrame, frequent, ids: DataFrame, what: str) -> DataFrame:
+    """Of the documents whose id a map of ``ids`` marks: (class and either the other orders' prefixes or the text).
 
+    Prefixes are sorted places in the order, 31 bits of each: tokens that share one only make a pair look more alike.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_mark(ids))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", at.alias("at")).select("doc_id", "text", F.expr("bitmap_bucket_number(at) * 32768 + bitmap_bit_position(at)").alias("bit"))
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: the other orders' prefixes first, whole sets of what is left."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("second").alias(f"second_{side}"), F.col("third").alias(f"third_{side}")), side)
-    pairs = pairs.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    def run(batches):
+        shingles, marks = Shingles(frequent.value), np.frombuffer(shared.value, dtype=np.uint8)
+        for part in _batches(batches):
+            part = part.filter(pa.array(_marked(marks, np.asarray(part.column(2)).astype(np.uint64)).astype(bool)))
+            sets = shingles.sets(part.column(1).to_pylist())
+            cols = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))]
+            if what == "text":
+                cols.append(part.column(1))
+            else:
+                cols.append(pa.array([len(s) for s in sets], pa.int64()))
+                for seed in _ORDERS[1:]:
+                    places = [mix(s ^ seed) >> np.uint64(33) for s in sets]
+                    cols.append(pa.array([np.sort(_first(x, x, prefix_length(len(x)))).astype(np.int32) for x in places], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "text"] if what == "text" else ["key", "n", "second", "third"])
+
+    return rows.mapInArrow(run, "key long, " + ("text string" if what == "text" else "n long, second array<int>, third array<int>"))
+
+
+def _ends(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The documents that stand for the classes of pairs."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    return ends.join(reps, "cls").select(F.col("rep").alias("id"))
+
+
+def _both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs with columns of a document of each class."""
+    rows = rows.dropDuplicates(["key"])
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    either = F.size("tokens_a") + F.size("tokens_b") - both
-    return pairs.where(DEN * both >= NUM * either).select("a", "b")
+        pairs = pairs.join(rows.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+    return pairs
+
+
+def _may_agree(x: Column, y: Column, n: Column, m: Column) -> Column:
+    """Whether prefixes under one order share a token and leave room for the asked similarity.
+
+    Up to the place where the shorter-reaching prefix ends both are whole, so what one of them has alone there is missing
+    from the overlap for good.
+    """
+    end = F.least(F.element_at(x, -1), F.element_at(y, -1))
+    least = F.ceil(NUM * (n + m) / (NUM + DEN))
+    alone = lambda a, b: F.size(F.array_except(F.filter(a, lambda v: v < end), b))
+    return F.arrays_overlap(x, y) & (alone(x, y) <= n - least) & (alone(y, x) <= m - least)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, frequent, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: first the other orders' prefixes must agree, then whole sets count."""
+    heads = scratch.save(_of_marked(docs, frequent, _ends(pairs, reps), "prefixes"), "prefixes")
+    left = _both(pairs.select("a", "b"), heads, ["n", "second", "third"])
+    for c in ("second", "third"):
+        left = left.where(_may_agree(F.col(f"{c}_a"), F.col(f"{c}_b"), F.col("n_a"), F.col("n_b")))
+    left = scratch.save(left.select("a", "b"), "left")
+    scratch.drop(heads)
+    texts = scratch.save(_of_marked(docs, frequent, _ends(left, reps), "text"), "texts")
+
+    def run(batches):
+        shingles, sets = Shingles(), {}
+        for part in _batches(batches, 128):
+            names = part.schema.names
+            texts = [part.column(names.index(c)).to_pylist() for c in ("text_a", "text_b")]
+            distinct = dict.fromkeys(texts[0] + texts[1])
+            old = {t: x for t, x in sets.items() if t in distinct}
+            new = [t for t in distinct if t not in old]
+            sets = old | dict(zip(new, shingles.sets(new), strict=True))
+            keep = []
+            for x, y in zip(*texts, strict=True):
+                x, y = sets[x], sets[y]
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            part = part.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(names.index("a")), part.column(names.index("b"))], names=["a", "b"])
+
+    return _both(left, texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,59 +459,55 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    heads = scratch.save(_prefixes(docs, _hot_map(docs, scratch)), "heads")
+    frequent = spark.sparkContext.broadcast(_frequent(docs))
+    heads = scratch.save(_heads(docs, frequent, _hot_maps(docs, frequent)), "heads")
     named = heads.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("doc_id").agg(F.min("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes, "classes")
-    links = _links(docs, classes, _buckets(named, classes, scratch), scratch)
-    labels = components(links, scratch)
-    of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    of_id = named.groupBy("doc_id").agg(F.min("digest").alias("digest")).join(of_class, "digest").select(F.col("doc_id").alias("named"), "component_id")
-    out = heads.select("doc_id", "n").join(of_id, F.col("doc_id") == F.col("named"), "left")
+    of_id = scratch.save(named.groupBy("doc_id").agg(F.min("cls").alias("cls")), "classes")
+    reps = scratch.save(of_id.groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    labels = _labels(docs, frequent, named, reps, scratch)
+    # A component's label is a class; its name is the least id of all its classes.
+    labelled = reps.join(labels, reps["cls"] == labels["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    names = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    found = of_id.join(labelled.join(names, "label").select("cls", "component_id"), "cls").select(F.col("doc_id").alias("named"), "component_id")
+    out = heads.select("doc_id", "n").join(found, F.col("doc_id") == F.col("named"), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _buckets(named: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(token, rep, n): the prefixes of the classes, of tokens that several of them have."""
-    reps = classes.select(F.col("digest").alias("d"), "rep")
-    postings = named.join(reps, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n", F.explode("head").alias("token"))
-    several = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    return scratch.save(postings.join(several, "token").dropDuplicates(["token", "rep"]), "buckets")
-
-
-def _links(docs: DataFrame, classes: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """The links (a, b) that join all classes which links join."""
-    spark = docs.sparkSession
-    members = classes.join(buckets.select("rep").distinct(), "rep")
-    sets = _sets(docs.join(members, docs["doc_id"] == members["rep"], "left_semi"))
-    sets = scratch.save(sets.join(members, (F.col("id") == F.col("rep")) & (F.col("key") == members["digest"])).select("id", "tokens", "second", "third").dropDuplicates(["id"]), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    tested = None
-    current = buckets.withColumn("label", F.col("rep"))
-    size = buckets.count()
+def _labels(docs: DataFrame, frequent, named: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of all classes that links join to another."""
+    met = scratch.save(_met(named), "met")
+    pairs = scratch.save(met.where("token IS NULL").select("a", "b").distinct(), "pairs")
+    links = scratch.save(verify(pairs, docs, frequent, reps, scratch), "links")
+    labels = components(links, scratch)
+    # Late tokens, and those of many classes after all, in rounds.
+    late = named.select("cls", "n", F.size("head").alias("first"), F.posexplode("late").alias("k", "token")).select("token", "cls", "n", (F.col("first") + F.col("k")).alias("pos"))
+    late = late.union(met.where("token IS NOT NULL").select("token", F.col("a").alias("cls"), "n", "pos"))
+    current = scratch.save(late.groupBy("token", "cls").agg(F.first("n").alias("n"), F.min("pos").alias("pos")), "late")
+    tested = pairs
     for round_ in range(ROUNDS + 1):
-        per = current.groupBy("token", "label").agg(F.count("*").cast("double").alias("c")).groupBy("token")
-        open_ = per.agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
-        n_open = open_.agg(F.coalesce(F.sum("pairs") / 2, F.lit(0.0)).alias("n")).first()["n"]
-        if not n_open:
+        rows = current.join(labels, current["cls"] == labels["node"], "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
+        several = rows.groupBy("token", "label").agg(F.count("*").cast("double").alias("c")).groupBy("token")
+        several = several.agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("l")).where("l > 1")
+        current = scratch.save(rows.join(several, "token"), "open")
+        state = current.groupBy("token").agg(F.count("*").alias("rows"), F.first("open").alias("open")).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("open").alias("open")).first()
+        if not state["rows"]:
             break
-        last = n_open <= OPEN * size or round_ == ROUNDS
+        last = state["open"] <= OPEN * state["rows"] or round_ == ROUNDS
+        other = [F.col(c).alias(f"{c}_") for c in ("cls", "n", "pos", "label")]
         if last:
-            other = current.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            found = current.join(other, "token").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("other")) & _alike(F.col("n"), F.col("m"))).select(F.col("rep").alias("a"), "b")
+            found = current.join(current.select("token", *other), "token").where("cls < cls_")
         else:
-            lead = current.groupBy("token").agg(F.min(F.struct(F.xxhash64("label", F.lit(round_)).alias("h"), "label", F.xxhash64("rep", F.lit(round_)).alias("g"), "rep", "n")).alias("lead"))
-            found = current.join(lead.select("token", F.col("lead.rep").alias("b"), F.col("lead.label").alias("other"), F.col("lead.n").alias("m")), "token")
-            found = found.where((F.col("label") != F.col("other")) & _alike(F.col("n"), F.col("m"))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-        found = found.distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
+            # The class in whose order the token comes first has the fewest rare tokens: what others are copies of.
+            h = F.xxhash64("label", F.lit(round_)).alias("h")
+            lead = current.groupBy("token").agg(F.min(F.struct("pos", h, "cls", "n", "label")).alias("lead")).select("token", "lead.*").select("token", *other)
+            found = current.join(lead, "token")
+        found = found.where((F.col("label") != F.col("label_")) & _near(F.col("n"), F.col("n_"), F.col("pos"), F.col("pos_")))
+        found = found.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         found = scratch.save(found, "pairs")
-        links = scratch.save(links.union(verify(found, sets)), "links")
+        links = scratch.save(links.union(verify(found, docs, frequent, reps, scratch)), "links")
+        labels = components(links, scratch)
         if last:
             break
-        tested = found if tested is None else tested.union(found)
-        labels = components(links, scratch)
-        current = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("token", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    scratch.drop(sets)
-    return links
+        tested = tested.union(found)
+        current = current.select("token", "cls", "n", "pos")
+    return labels
