@@ -366,7 +366,7 @@ def _mark(ids: DataFrame) -> bytes:
 
 
 def _of_marked(docs: DataFrame, frequent, ids: DataFrame, what: str) -> DataFrame:
-    """Of the documents whose id a map of ``ids`` marks: (class and either the other orders' prefixes or the text).
+    """Of the documents whose id a map of ``ids`` marks: (class and the text, or the other orders' prefixes, or those and all places in the last order).
 
     Prefixes are sorted places in the order, 31 bits of each: tokens that share one only make a pair look more alike.
     """
@@ -374,6 +374,9 @@ def _of_marked(docs: DataFrame, frequent, ids: DataFrame, what: str) -> DataFram
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", at.alias("at")).select("doc_id", "text", F.expr("bitmap_bucket_number(at) * 32768 + bitmap_bit_position(at)").alias("bit"))
 
+    columns = {"text": "text string", "prefixes": "n long, second array<int>, third array<int>", "whole": "n long, second array<int>, third array<int>, whole array<int>"}[what]
+    names = ["key", *(c.split()[0] for c in columns.split(", "))]
+
     def run(batches):
         shingles, marks = Shingles(frequent.value), np.frombuffer(shared.value, dtype=np.uint8)
         for part in _batches(batches):
@@ -387,9 +390,11 @@ def _of_marked(docs: DataFrame, frequent, ids: DataFrame, what: str) -> DataFram
                 for seed in _ORDERS[1:]:
                     places = [mix(s ^ seed) >> np.uint64(33) for s in sets]
                     cols.append(pa.array([np.sort(_first(x, x, prefix_length(len(x)))).astype(np.int32) for x in places], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "text"] if what == "text" else ["key", "n", "second", "third"])
+                if what == "whole":
+                    cols.append(pa.array([x.astype(np.int32) for x in places], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, "key long, " + ("text string" if what == "text" else "n long, second array<int>, third array<int>"))
+    return rows.mapInArrow(run, f"key long, {columns}")
 
 
 def _ends(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -418,12 +423,18 @@ def _may_agree(x: Column, y: Column, n: Column, m: Column) -> Column:
     return F.arrays_overlap(x, y) & (alone(x, y) <= n - least) & (alone(y, x) <= m - least)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, frequent, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: first the other orders' prefixes must agree, then whole sets count."""
-    heads = scratch.save(_of_marked(docs, frequent, _ends(pairs, reps), "prefixes"), "prefixes")
-    left = _both(pairs.select("a", "b"), heads, ["n", "second", "third"])
+def verify(pairs: DataFrame, docs: DataFrame, frequent, reps: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: first the other orders' prefixes must agree, then whole sets count.
+
+    With ``whole`` all places are compared along with the prefixes: for pairs out of large groups, many of which come near
+    the threshold, so that few of those that miss it go on to their texts.
+    """
+    heads = scratch.save(_of_marked(docs, frequent, _ends(pairs, reps), "whole" if whole else "prefixes"), "prefixes")
+    left = _both(pairs.select("a", "b"), heads, ["n", "second", "third", *(["whole"] if whole else [])])
     for c in ("second", "third"):
         left = left.where(_may_agree(F.col(f"{c}_a"), F.col(f"{c}_b"), F.col("n_a"), F.col("n_b")))
+    if whole:
+        left = left.where((NUM + DEN) * F.size(F.array_intersect("whole_a", "whole_b")) >= NUM * (F.col("n_a") + F.col("n_b")))
     left = scratch.save(left.select("a", "b"), "left")
     scratch.drop(heads)
     texts = scratch.save(_of_marked(docs, frequent, _ends(left, reps), "text"), "texts")
@@ -504,7 +515,7 @@ def _labels(docs: DataFrame, frequent, named: DataFrame, reps: DataFrame, scratc
         found = found.where((F.col("label") != F.col("label_")) & _near(F.col("n"), F.col("n_"), F.col("pos"), F.col("pos_")))
         found = found.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         found = scratch.save(found, "pairs")
-        links = scratch.save(links.union(verify(found, docs, frequent, reps, scratch)), "links")
+        links = scratch.save(links.union(verify(found, docs, frequent, reps, scratch, whole=True)), "links")
         labels = components(links, scratch)
         if last:
             break
