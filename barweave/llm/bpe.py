@@ -20,15 +20,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import releasing
+
 INF = np.int32(2**31 - 1)
 #: Words of more symbols than this get a tree of their own.
 LONG_WORD = 128
 #: Words a Python worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 #: Symbols merged at a time in one array of trees.
-FOREST = 1 << 18
+FOREST = 1 << 17
 #: Characters of text taken apart at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 # White space as the regular expressions of tokenizer files see it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -300,5 +302,5 @@ def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tok
                 got = encode_texts(path, texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array([make[o](*g) for g in got], type=_OUTPUTS[o][1]) for o in outputs)], names=["id", *outputs])
 
-    out = source.mapInArrow(run, f"id {id_type}, " + ", ".join(f"{o} {_OUTPUTS[o][0]}" for o in outputs))
+    out = source.mapInArrow(releasing(run), f"id {id_type}, " + ", ".join(f"{o} {_OUTPUTS[o][0]}" for o in outputs))
     return out.withColumnRenamed("id", id_col)

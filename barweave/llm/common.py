@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word, as the contracts of this package define it.
@@ -54,6 +57,19 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def releasing(run):
+    """The function over a partition's batches, which in the end gives freed memory back: Python workers live on."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU library has it
+            trim(0)
+
+    return wrapped
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

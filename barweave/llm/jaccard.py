@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, partitions, releasing
 from .graph import components
 
 N = 5
@@ -38,7 +38,7 @@ MANY = 4 * LEVELS[0]
 #: Share of all words from which a word is frequent.
 FREQUENT = 2e-5
 #: Tokens gathered by a task between two packs.
-PACK = 1 << 20
+PACK = 1 << 19
 
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _TRUE = np.ones(1, dtype=bool)
@@ -197,7 +197,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if n:
             yield flush()
 
-    found = docs.select("text").mapInArrow(counted, "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(releasing(counted), "word long, n long, total boolean").groupBy("word", "total").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("total"), F.desc("n"), "word").limit(int(2 / FREQUENT) + 1).collect()
     total = top[0]["n"] if top else 0
     return np.array([r["word"] for r in top[1:] if r["n"] >= FREQUENT * total / 2], dtype=np.int64).view(np.uint64)
@@ -248,7 +248,7 @@ def _hot_maps(docs: DataFrame, frequent) -> list[bytes]:
             out[f"m{k}"] = [np.packbits(marks, bitorder="little").tobytes()]
         return pd.DataFrame(out)
 
-    got = docs.select("text").mapInArrow(packs, "pack int, rests binary, many binary, counts binary").groupBy("pack").applyInPandas(count, "pack int, " + ", ".join(f"m{k} binary" for k in range(len(LEVELS))))
+    got = docs.select("text").mapInArrow(releasing(packs), "pack int, rests binary, many binary, counts binary").groupBy("pack").applyInPandas(count, "pack int, " + ", ".join(f"m{k} binary" for k in range(len(LEVELS))))
     size = 1 << (MAP_BITS - bits - 3)
     maps = [bytearray(1 << (MAP_BITS - 3)) for _ in LEVELS]
     for r in got.toLocalIterator():  # a fixed megabyte for each level
@@ -276,7 +276,7 @@ def _heads(docs: DataFrame, frequent, maps: list[bytes]) -> DataFrame:
             classes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes), pa.array(head, pa.list_(pa.int64())), pa.array(late, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "head", "late"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, head array<long>, late array<long>")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n long, cls long, head array<long>, late array<long>")
 
 
 def _near(n, m, i, j):
@@ -351,8 +351,8 @@ def _met(named: DataFrame) -> DataFrame:
         if held:
             yield pairs(*columns())
 
-    packed = named.select("cls", "n", "head").mapInArrow(packs, "pack int, tokens binary, classes binary, sizes binary, places binary")
-    return packed.repartition(partitions(named.sparkSession), "pack").sortWithinPartitions("pack").mapInArrow(meet, "token long, a long, b long, n long, pos long")
+    packed = named.select("cls", "n", "head").mapInArrow(releasing(packs), "pack int, tokens binary, classes binary, sizes binary, places binary")
+    return packed.repartition(partitions(named.sparkSession), "pack").sortWithinPartitions("pack").mapInArrow(releasing(meet), "token long, a long, b long, n long, pos long")
 
 
 def _mark(ids: DataFrame) -> bytes:
@@ -394,7 +394,7 @@ def _of_marked(docs: DataFrame, frequent, ids: DataFrame, what: str) -> DataFram
                     cols.append(pa.array([x.astype(np.int32) for x in places], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, f"key long, {columns}")
+    return rows.mapInArrow(releasing(run), f"key long, {columns}")
 
 
 def _ends(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -456,7 +456,7 @@ def verify(pairs: DataFrame, docs: DataFrame, frequent, reps: DataFrame, scratch
             part = part.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(names.index("a")), part.column(names.index("b"))], names=["a", "b"])
 
-    return _both(left, texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _both(left, texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out
+from .common import held_out, releasing
 
 #: Bytes of a passage, kinds of characters, features of a passage.
 PASSAGE, KINDS, EXTRA = 400, 16, 6
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary())], names=["good", "x"])
 
     # The sample has about twice per_label ids, whatever the tables hold.
-    rows = docs.join(F.broadcast(sample), docs["id"] == sample["label_id"]).select("text", "good").mapInArrow(run, "good boolean, x binary").collect()
+    rows = docs.join(F.broadcast(sample), docs["id"] == sample["label_id"]).select("text", "good").mapInArrow(releasing(run), "good boolean, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["good"], bytes(r["x"])))
     if len({r["good"] for r in rows}) < 2:
         return 1.0
@@ -185,7 +185,7 @@ def score_column(docs: DataFrame, model: Model | float, text_col: str, name: str
                 scores = np.full(len(texts), model) if isinstance(model, float) else model.score(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
