@@ -161,6 +161,66 @@ def test_repeated_rows_of_an_id(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), (1, 0), (3, 90), (3, 90)]
 
 
+def brute_cut(rows, n=50):
+    """By id: each text without the windows of n words, white space between them included, that an earlier id has."""
+    first, places = {}, []
+    for i, t in rows:
+        raw = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^ \t-\r]+", raw)]
+        keys = [raw[at[k][0] : at[k + n - 1][1]] for k in range(len(at) - n + 1)]
+        places.append((i, raw, at, keys))
+        for key in keys:
+            first[key] = min(i, first.get(key, i))
+    out = {}
+    for i, raw, at, keys in places:
+        gone = bytearray(len(raw))
+        words_gone = set()
+        for k, key in enumerate(keys):
+            if first[key] < i:
+                gone[at[k][0] : at[k + n - 1][1]] = b"\1" * len(key)
+                words_gone.update(range(k, k + n))
+        out[i] = (bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode(), len(words_gone))
+    return out
+
+
+def check_cut(spark, rows):
+    got = {i: (r["text"] or "", r["n_removed"]) for i, r in cut(spark, rows).items()}
+    want = brute_cut(rows)
+    assert got == want, [(i, got[i], want[i]) for i in want if got[i] != want[i]][:3]
+    return got
+
+
+def test_shifted_periodic_passages(spark):
+    rng = random.Random(21)
+    rows = []
+    for line in ("x", "la la", "all rights reserved by us", "2 4 6", words(rng, 12)):
+        for _ in range(6):
+            n = rng.randrange(50, 300)
+            repeat = (f"{line} " * n).split()[:n]
+            rows.append((len(rows), " ".join([words(rng, rng.randrange(1, 40), 10**6), *repeat, words(rng, rng.randrange(1, 40), 10**6)])))
+    got = check_cut(spark, rows)
+    assert sum(n > 0 for _, n in got.values()) >= 20
+
+
+def test_windows_of_any_texts_equal_brute_force(spark):
+    rng = random.Random(24)
+    stock = ["a", "b", "é", "日本", "long-word" * 9, " ", "\t", "\r\n", "\x0b", " \x0c "]
+    rows = [(i, "".join(rng.choice(stock[:5]) + rng.choice([" ", " ", " ", *stock[5:]]) for _ in range(rng.randrange(130)))) for i in range(40)]
+    rows += [(100 + i, rows[i][1][rng.randrange(9) :] + rng.choice(["", " ", " c"]) + rows[i + 1][1]) for i in range(30)]
+    check_cut(spark, rows)
+    raws = [t.encode() for _, t in rows]
+    whole, each = substrings.windows(raws), [substrings.windows([r]) for r in raws]
+    assert all((np.concatenate([e[k] for e in each]) == whole[k]).all() for k in (1, 2, 4, 5))
+
+
+def test_long_words_and_white_space_in_windows(monkeypatch):
+    texts = [b"a " * 60 + b"w" * n + b" " * m + b" b" * 60 for n, m in ((5000, 1), (1, 5000), (5000, 5000))]
+    monkeypatch.setattr(substrings, "BLOCK", 1000)
+    for t in texts:
+        one, two = substrings.windows([t]), substrings.windows([b"shifted " * 3 + t])
+        assert (one[4] == two[4][3:]).all() and (one[5] == two[5][3:]).all() and len(set(one[4].tolist())) > 49
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(11)
     text = words(rng, 3000, 10**6).encode()
