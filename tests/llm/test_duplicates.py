@@ -202,6 +202,17 @@ def test_shifted_periodic_passages(spark):
     assert sum(n > 0 for _, n in got.values()) >= 20
 
 
+def test_short_repeats_of_several_documents_are_no_passage(spark):
+    rng = random.Random(22)
+    lines = [words(rng, 8 + i % 8, 10**6) for i in range(40)]
+    rows = [(i, f"{words(rng, 30, 10**6)} {line} {words(rng, 30, 10**6)}") for i, line in enumerate(lines)]
+    rows += [(100 + i, " ".join(rng.sample(lines, 12))) for i in range(10)]
+    long = [words(rng, 60, 10**6) for _ in range(3)]
+    rows += [(50 + i, t) for i, t in enumerate(long)] + [(200, " ".join([*long, lines[0], lines[1]])), (201, "q " + long[0] + " " + long[2])]
+    got = check_cut(spark, rows)
+    assert not any(got[i][1] for i in range(100, 110)) and got[200][1] == 180 and got[201][1] == 120
+
+
 def test_windows_of_any_texts_equal_brute_force(spark):
     rng = random.Random(24)
     stock = ["a", "b", "é", "日本", "long-word" * 9, " ", "\t", "\r\n", "\x0b", " \x0c "]
