@@ -213,6 +213,16 @@ def test_short_repeats_of_several_documents_are_no_passage(spark):
     assert not any(got[i][1] for i in range(100, 110)) and got[200][1] == 180 and got[201][1] == 120
 
 
+@pytest.mark.parametrize("letters", [1, 2, 4])
+def test_passages_of_short_words(spark, letters):
+    rng = random.Random(23 + letters)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(letters)) for _ in range(n))
+    passages = [some(50) for _ in range(150)]
+    rows = [(i, f"{some(20)} {p}\n{some(9)}") for i, p in enumerate(passages)] + [(1000 + i, f"{some(7)}\t{p} {some(30)}") for i, p in enumerate(passages)]
+    got = check_cut(spark, rows)
+    assert all(got[1000 + i][1] >= 50 for i in range(150))
+
+
 def test_windows_of_any_texts_equal_brute_force(spark):
     rng = random.Random(24)
     stock = ["a", "b", "é", "日本", "long-word" * 9, " ", "\t", "\r\n", "\x0b", " \x0c "]
