@@ -12,6 +12,7 @@ table of segments in Parquet carries the files, so any store that Spark reaches
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -151,6 +152,10 @@ class ByteBpe:
 
     #: How such files split a text.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: White space of so many characters is split off before the pattern runs, whose engine gives up at about a million.
+    LONG = 1 << 17
+    #: What the pattern takes for white space.
+    BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
     def __init__(self, path: str):
         import tiktoken
@@ -161,10 +166,29 @@ class ByteBpe:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
+        self.long = re.compile(f"{self.BLANK}{{{self.LONG},}}")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+    def text(self, text: str) -> np.ndarray:
+        """The ids of a text. Long white space is one piece for the pattern, but for its last character if a word follows."""
+        if len(text) < self.LONG:
+            return self._ids(text)
+        out, at = [], 0
+        for found in self.long.finditer(text):
+            a, b = found.span()
+            # A special token parts the text, so white space before one is whole, as at the text's end.
+            if b < len(text) and not text.startswith(self.special, b):
+                b -= 1
+            out += [self._ids(text[at:a]), np.array(self.encoding._encode_single_piece(text[a:b]), dtype="<u4")]
+            at = b
+        return np.concatenate([*out, self._ids(text[at:])])
 
     def texts(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         tail = np.array([] if end is None else [end], dtype="<u4")
-        return [np.concatenate([self.encoding.encode_to_numpy(t, allowed_special="all").astype("<u4") if t else tail[:0], tail]) for t in texts]
+        return [np.concatenate([self.text(t) if t else tail[:0], tail]) for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -107,6 +107,24 @@ def test_files_of_documents(spark, library, monkeypatch):
     assert token_files.round_trip(docs(spark, []), BYTE, 2).count() == 0
 
 
+def test_long_white_space_in_files(spark, library):
+    n = 2_000_000
+    texts = ["x" + " " * n + "y", "\n" * n, "a" + " \n" * (n // 2) + "\u3000", " " * n + "<|endoftext|>" + "\t" * n + "'s"]
+    got = {r["doc_id"]: r for r in token_files.round_trip(docs(spark, list(enumerate([*texts, "short"]))), BYTE, 2).collect()}
+    for i, t in enumerate([*texts, "short"]):
+        ids = library[BYTE].encode(t, add_special_tokens=False).ids + [2]
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_split_white_space_keeps_ids(library, monkeypatch):
+    monkeypatch.setattr(token_files.ByteBpe, "LONG", 3)
+    split, rng = token_files.ByteBpe(BYTE), random.Random(12)
+    stock = [" ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "é", "1", "!", "'s", "<|endoftext|>", "<|endof"]
+    for _ in range(1500):
+        text = "".join(rng.choice(stock) * rng.choice([1, 1, 2, 5]) for _ in range(rng.randrange(1, 14)))
+        assert split.text(text).tolist() == library[BYTE].encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_null_and_repeated_ids_in_files(spark):
     got = sorted(token_files.round_trip(docs(spark, [(None, "a b"), (7, "b"), (7, "a"), (7, "a")]), BYTE, 2).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [None, 7, 7, 7] and [r["start"] for r in got] == [0, 3, 5, 7]
