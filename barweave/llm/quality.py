@@ -18,8 +18,8 @@ from .common import held_out, releasing
 #: Bytes of a passage, kinds of characters, features of a passage.
 PASSAGE, KINDS, EXTRA = 400, 16, 6
 DIM = KINDS * KINDS + EXTRA
-#: Learning documents of either label, about, and passages of each that are learned from, evenly spread.
-PER_LABEL, LEARN_PASSAGES = 1200, 12
+#: Learning documents of either label, about, and passages that those of one label may have together.
+PER_LABEL, LABEL_PASSAGES = 1200, 1 << 15
 HIDDEN, GATE, STEPS, RATE, DECAY = 32, 16, 220, 0.02, 1e-3
 THRESHOLD = 0.7
 
@@ -141,7 +141,8 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model | float:
     """A model from a sample of the rows (id, text) with a quality label; a constant score if one label is missing.
 
-    About ``per_label`` documents of either label come, with features of ``LEARN_PASSAGES`` passages each, to the driver.
+    About ``per_label`` documents of either label come, with features of all their passages, to the driver: whole ones in
+    the order of the draw, without those that would exceed ``LABEL_PASSAGES`` passages of their label.
     Several labels of an id count as the least, null ones not at all.
     """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") > 0).alias("good"))
@@ -151,14 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         return 0.0 if n and not next(iter(n)) else 1.0
     draw = F.pmod(F.xxhash64("label_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     sample = labels.where(draw < F.when(F.col("good"), per_label / n[True]).otherwise(per_label / n[False]))
+    size = F.greatest(F.lit(1), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    drawn = docs.join(F.broadcast(sample), docs["id"] == sample["label_id"]).groupBy("label_id", "good").agg(F.sum(size).alias("n")).withColumn("draw", draw).collect()
+    room, chosen = {True: LABEL_PASSAGES, False: LABEL_PASSAGES}, []
+    for r in sorted(drawn, key=lambda r: (r["draw"], r["label_id"])):
+        if r["n"] <= room[r["good"]]:
+            room[r["good"]] -= r["n"]
+            chosen.append((r["label_id"], r["good"]))
+    if len(chosen) < len(drawn):
+        sample = docs.sparkSession.createDataFrame(chosen, sample.schema)
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
                 x, n = passages([(t or "").encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()])
-                first = np.cumsum(n) - n
-                rows = [x[f + np.unique(np.linspace(0, k - 1, min(k, LEARN_PASSAGES)).astype(int))].astype(np.float16).tobytes() for f, k in zip(first, n, strict=True)]
+                rows = [bag.astype(np.float16).tobytes() for bag in np.split(x, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary())], names=["good", "x"])
 
     # The sample has about twice per_label ids, whatever the tables hold.

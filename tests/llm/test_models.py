@@ -47,6 +47,22 @@ def test_quality_edges(spark):
     assert got.count() == 42 and quality.learn_and_score(docs(spark, []), some).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    sizes = {i: 1 + i % 60 for i in range(200)}
+    rows = [(i, "some words. " * (k * quality.PASSAGE // 12 + 1)) for i, k in sizes.items()]
+    labels = spark.createDataFrame([(i, i % 2) for i in sizes], "doc_id long, quality int")
+    texts = docs(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    learned = [r["i"] for r in spark.range(200).select(F.col("id").alias("i"), held_out(F.col("id")).alias("h")).collect() if not r["h"]]
+    monkeypatch.setattr(quality, "train", lambda x, n, y: (len(x), n.tolist(), y.tolist()))
+    total, n, y = quality.fit(texts, labels, 10**6)
+    want = sorted(len(quality.passages([rows[i][1].encode()])[0]) for i in learned)
+    assert sorted(n) == want and total == sum(want) and max(n) == 60
+    # Where all don't fit, whole texts are left out, and either label stays.
+    monkeypatch.setattr(quality, "LABEL_PASSAGES", 300)
+    _, n, y = quality.fit(texts, labels, 10**6)
+    assert all(240 < sum(k for k, v in zip(n, y, strict=True) if v == good) <= 300 for good in (0, 1)) and not set(n) - set(want)
+
+
 def test_quality_gradients():
     """Training is gradient descent on the loss it claims: numeric and analytic slopes agree through one Adam step's sign."""
     rng = np.random.default_rng(0)
