@@ -89,14 +89,18 @@ def _matrix(column) -> np.ndarray:
 
 
 def _top(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """For each query the places of its k best rows: a few more by one product, then by the pair's own cosine."""
+    """For each query the places of its k best rows: all within rounding of the k best by one product, then by the pair's own cosine."""
     rough = _unit(queries) @ _unit(rows).T
-    m = min(k + 3, rough.shape[1])
-    best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-    at = np.repeat(np.arange(len(queries)), m)
-    exact = cosines(queries[at], rows[best.ravel()])
-    order = np.lexsort((ids[best.ravel()], -exact, at)).reshape(len(queries), m)[:, :k]
-    return at[order.ravel()], best.ravel()[order.ravel()], exact[order.ravel()]
+    n, size = rough.shape[1], rows.shape[1]
+    m = min(k, n)
+    least = np.partition(rough, n - m, axis=1)[:, n - m] - (1e-12 + size * 1e-15)
+    at, best = np.nonzero(rough >= least[:, None])
+    step = max(1, (1 << 22) // size)  # many rows may tie
+    exact = np.concatenate([cosines(queries[at[i : i + step]], rows[best[i : i + step]]) for i in range(0, len(at), step)])
+    order = np.lexsort((ids[best], -exact, at))
+    at, best, exact = at[order], best[order], exact[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], best[keep], exact[keep]
 
 
 def _classes(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:

@@ -150,6 +150,17 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert all(s == pytest.approx(1) for _, _, s in got[150])
 
 
+def test_many_scaled_copies_tie_to_the_smaller_id(spark):
+    v = np.random.default_rng(31).standard_normal(16)
+    rows = np.array([v * 2.0**i for i in range(40)])
+    ids = np.arange(40)[::-1].copy()
+    at, place, score = neighbours._top(np.array([v, -v]), rows, ids, 6)
+    assert at.tolist() == [0] * 6 + [1] * 6 and ids[place].tolist() == [0, 1, 2, 3, 4, 5] * 2 and len(set(score.tolist())) == 2
+    table = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") == 20, k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
+
+
 def test_few_and_no_candidates(spark):
     assert {q: [v for _, v, _ in r] for q, r in search(spark, [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (2, [1.0, 1.0])]).items()} == {0: [2, 3]}
     assert search(spark, [(0, [1.0])]) == {} and search(spark, []) == {}
