@@ -1,12 +1,16 @@
 """N-gram Jaccard join by prefix filters under several global orders.
 
 Two sets that are similar enough share a token among the first few of each, under any order of all tokens. The first
-order puts tokens of many documents late, and those of frequent words after those with rare ones, then follows a hash; documents that share a prefix token under it meet in the
-token's bucket. Two more hash orders must agree before a pair's whole sets are compared.
-
-Texts with equal sets are one class. Buckets with many classes (groups of near copies) are not expanded into pairs:
-rounds compare each class to one leader a bucket, and what has become one component is never compared again. When few
-open pairs are left, all of them are compared, so every link between different components is found.
+order puts tokens of many documents late, and those of frequent words after those with rare ones, then follows a hash;
+documents that share a prefix token under it meet in the token's bucket. Two more hash orders must agree before a pair's
+whole sets are compared.
+
+Texts with equal sets are one class. Buckets with many classes (groups of near copies) are not expanded into pairs: one
+class leads, and the others are compared to it. A pair that is similar without both being similar to the leader also
+shares some of its differences to the leader, more than a known number, so the differences are joined next, by their own
+prefixes: a smaller join of the same kind, in which copies of one text no longer meet in what they are copies of. What
+has become one component is never compared again. Buckets that stay large after ``LEADS`` such rounds are compared in
+blocks inside tasks, which emit nothing but links. So every link between different components is found.
 """
 
 from __future__ import annotations
@@ -29,8 +33,12 @@ NUM, DEN = 4, 5
 LEVELS = (32, 1024, 32768)
 #: Bits of the map of each level: a fixed megabyte; where one fills up, more tokens come late, which stays an order.
 MAP_BITS = 23
-#: Open pairs for each posting below which all of them are compared at once, and rounds of leaders at most before that.
-OPEN, ROUNDS = 6, 1
+#: Bits of the map of the documents whose sets are gathered, at most: sixteen megabytes.
+MARK_BITS = 27
+#: Classes to which one copy of their leader's set is sent.
+LED = 512
+#: Rounds of leaders, and rows and tokens of a block of a bucket that still has many classes after those.
+LEADS, BLOCK, BLOCK_TOKENS = 2, 256, 1 << 20
 #: Of each document's tokens, the hundredths that count for that map.
 COUNTED = 45
 #: Classes in the bucket of a token up to which all its pairs are made at once.
@@ -137,6 +145,11 @@ def _heads_of(sets: list[np.ndarray], key: np.ndarray, length) -> list[tuple[np.
     return out
 
 
+def _class(tokens: np.ndarray) -> int:
+    """The digest of a set, as a signed number."""
+    return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "big", signed=True)
+
+
 def _together(sets: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
@@ -273,16 +286,20 @@ def _heads(docs: DataFrame, frequent, maps: list[bytes]) -> DataFrame:
                 cold = int(np.searchsorted(key, np.uint64(1 << 62)))
                 head.append(tokens[:cold].view(np.int64))
                 late.append(tokens[cold:].view(np.int64))
-            classes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            classes = np.array([_class(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes), pa.array(head, pa.list_(pa.int64())), pa.array(late, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "head", "late"])
 
     return docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n long, cls long, head array<long>, late array<long>")
 
 
-def _near(n, m, i, j):
-    """Whether sizes and positions of a token allow it to be the first that a similar pair shares: numbers, arrays or columns."""
-    least = NUM * (n + m)
-    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & ((NUM + DEN) * (n - i) >= least) & ((NUM + DEN) * (m - j) >= least)
+def _near(n, d, i, m, e, j):
+    """Whether two sets of n and m tokens can be similar, if the i-th of d (and the j-th of e) is the first token that they share.
+
+    The d and e tokens are those in which the sets differ from one leader, or all of them without one. Similar sets
+    share at least (9 (d + e) - n - m) / 18 of those. For numbers, arrays or columns.
+    """
+    least = (NUM + DEN) * (d + e) - n - m
+    return (DEN * n >= NUM * m) & (DEN * m >= NUM * n) & (2 * (NUM + DEN) * (d - i) >= least) & (2 * (NUM + DEN) * (e - j) >= least)
 
 
 def _met(named: DataFrame) -> DataFrame:
@@ -329,7 +346,7 @@ def _met(named: DataFrame) -> DataFrame:
         while (at := np.flatnonzero(~large & (many > d))).size:
             at = at[at + d < len(tokens)]
             at = at[tokens[at] == tokens[at + d]]
-            at = at[_near(sizes[at], sizes[at + d], places[at], places[at + d])]
+            at = at[_near(sizes[at], sizes[at], places[at], sizes[at + d], sizes[at + d], places[at + d])]
             found.append(np.stack([classes[at], classes[at + d]], axis=1))
             d += 1
         found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -355,59 +372,45 @@ def _met(named: DataFrame) -> DataFrame:
     return packed.repartition(partitions(named.sparkSession), "pack").sortWithinPartitions("pack").mapInArrow(releasing(meet), "token long, a long, b long, n long, pos long")
 
 
-def _mark(ids: DataFrame) -> bytes:
-    """A map of fixed size that marks the hashes of all ids of a column."""
-    at = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
+def _mark(ids: DataFrame, bits: int) -> bytes:
+    """A map of 2 ** bits bits that marks the hashes of all ids of a column."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     got = ids.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("marks"))
-    whole = bytearray((1 << (MAP_BITS - 3)) + 4096)
+    whole = bytearray((1 << (bits - 3)) + 4096)
     for r in got.toLocalIterator():  # the position 0 is the last of its bucket's neighbour
         whole[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["marks"]
     return bytes(whole)
 
 
-def _of_marked(docs: DataFrame, frequent, ids: DataFrame, what: str) -> DataFrame:
-    """Of the documents whose id a map of ``ids`` marks: (class and the text, or the other orders' prefixes, or those and all places in the last order).
+def _sets(docs: DataFrame, frequent, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, n, second, third, tokens): the packed sets of the classes (cls, rep), with the other orders' prefixes.
 
     Prefixes are sorted places in the order, 31 bits of each: tokens that share one only make a pair look more alike.
+    A map of the documents' ids, eight bits for each up to ``MARK_BITS``, spares most other texts; more than these do no harm.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_mark(ids))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", at.alias("at")).select("doc_id", "text", F.expr("bitmap_bucket_number(at) * 32768 + bitmap_bit_position(at)").alias("bit"))
-
-    columns = {"text": "text string", "prefixes": "n long, second array<int>, third array<int>", "whole": "n long, second array<int>, third array<int>, whole array<int>"}[what]
-    names = ["key", *(c.split()[0] for c in columns.split(", "))]
+    bits = min(MARK_BITS, max(16, (8 * wanted.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_mark(wanted.select(F.col("rep").alias("id")), bits))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    rows = docs.where(F.col("doc_id").isNotNull()).select("text", at.alias("at")).select("text", F.expr("bitmap_bucket_number(at) * 32768 + bitmap_bit_position(at)").alias("bit"))
 
     def run(batches):
         shingles, marks = Shingles(frequent.value), np.frombuffer(shared.value, dtype=np.uint8)
         for part in _batches(batches):
-            part = part.filter(pa.array(_marked(marks, np.asarray(part.column(2)).astype(np.uint64)).astype(bool)))
-            sets = shingles.sets(part.column(1).to_pylist())
-            cols = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))]
-            if what == "text":
-                cols.append(part.column(1))
-            else:
-                cols.append(pa.array([len(s) for s in sets], pa.int64()))
-                for seed in _ORDERS[1:]:
-                    places = [mix(s ^ seed) >> np.uint64(33) for s in sets]
-                    cols.append(pa.array([np.sort(_first(x, x, prefix_length(len(x)))).astype(np.int32) for x in places], pa.list_(pa.int32())))
-                if what == "whole":
-                    cols.append(pa.array([x.astype(np.int32) for x in places], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return rows.mapInArrow(releasing(run), f"key long, {columns}")
-
+            part = part.filter(pa.array(_marked(marks, np.asarray(part.column(1)).astype(np.uint64)).astype(bool)))
+            sets = shingles.sets(part.column(0).to_pylist())
+            cols = [pa.array(np.array([_class(s) for s in sets], np.int64)), pa.array([len(s) for s in sets], pa.int64())]
+            for seed in _ORDERS[1:]:
+                places = [mix(s ^ seed) >> np.uint64(33) for s in sets]
+                cols.append(pa.array([np.sort(_first(x, x, prefix_length(len(x)))).astype(np.int32) for x in places], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "second", "third", "tokens"])
 
-def _ends(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The documents that stand for the classes of pairs."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    return ends.join(reps, "cls").select(F.col("rep").alias("id"))
+    return scratch.save(rows.mapInArrow(releasing(run), "cls long, n long, second array<int>, third array<int>, tokens binary").dropDuplicates(["cls"]), "sets")
 
 
 def _both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The pairs with columns of a document of each class."""
-    rows = rows.dropDuplicates(["key"])
+    """The pairs with columns of each class."""
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("key").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        pairs = pairs.join(rows.select(F.col("cls").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
     return pairs
 
 
@@ -423,40 +426,134 @@ def _may_agree(x: Column, y: Column, n: Column, m: Column) -> Column:
     return F.arrays_overlap(x, y) & (alone(x, y) <= n - least) & (alone(y, x) <= m - least)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, frequent, reps: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
-    """The pairs (a, b) whose sets are similar: first the other orders' prefixes must agree, then whole sets count.
+def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of two sorted sets, y not empty: which tokens of x are in y, and where."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return y[at] == x, at
 
-    With ``whole`` all places are compared along with the prefixes: for pairs out of large groups, many of which come near
-    the threshold, so that few of those that miss it go on to their texts.
-    """
-    heads = scratch.save(_of_marked(docs, frequent, _ends(pairs, reps), "whole" if whole else "prefixes"), "prefixes")
-    left = _both(pairs.select("a", "b"), heads, ["n", "second", "third", *(["whole"] if whole else [])])
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar: first the other orders' prefixes must agree, then whole sets count."""
+    left = _both(pairs.select("a", "b"), sets, ["n", "second", "third", "tokens"])
     for c in ("second", "third"):
         left = left.where(_may_agree(F.col(f"{c}_a"), F.col(f"{c}_b"), F.col("n_a"), F.col("n_b")))
-    if whole:
-        left = left.where((NUM + DEN) * F.size(F.array_intersect("whole_a", "whole_b")) >= NUM * (F.col("n_a") + F.col("n_b")))
-    left = scratch.save(left.select("a", "b"), "left")
-    scratch.drop(heads)
-    texts = scratch.save(_of_marked(docs, frequent, _ends(left, reps), "text"), "texts")
 
     def run(batches):
-        shingles, sets = Shingles(), {}
         for part in _batches(batches, 128):
-            names = part.schema.names
-            texts = [part.column(names.index(c)).to_pylist() for c in ("text_a", "text_b")]
-            distinct = dict.fromkeys(texts[0] + texts[1])
-            old = {t: x for t, x in sets.items() if t in distinct}
-            new = [t for t in distinct if t not in old]
-            sets = old | dict(zip(new, shingles.sets(new), strict=True))
             keep = []
-            for x, y in zip(*texts, strict=True):
-                x, y = sets[x], sets[y]
-                both = len(x) + len(y) - len(np.union1d(x, y))
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = int(_places(x, y)[0].sum())
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            part = part.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column(names.index("a")), part.column(names.index("b"))], names=["a", "b"])
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return left.select("a", "b", "tokens_a", "tokens_b").mapInArrow(releasing(run), "a long, b long")
+
+
+def _levels(m: int, top: int) -> list[int]:
+    """Where the kinds of excess begin for a leader of m tokens: kind 0 is similar to it, the others widen by a quarter."""
+    out = [0, m + 1]
+    while out[-1] <= top:
+        out.append(out[-1] * 5 // 4 + 1)
+    return out
+
+
+def _prefixes(n: int, d: int, m: int) -> list[tuple[int, bool, int]]:
+    """(kind, whether to probe, length) of the prefixes of d differences between n tokens and a leader's m.
+
+    Two sets x and y are similar if they share (e(x) + e(y)) / 18 of their differences or more, where e = 9 d - n is the
+    excess; a set is similar to the leader if its excess is m or less. Of a pair without one component, one set at least
+    is not. So a set is met by those of its own kind or a higher one, with an excess of that kind's level at least, and it
+    probes the lower kinds. Sets similar to the leader share (e(x) - m) / 10 with x at least: their excess is no less than
+    8 times what is shared, less m. All bounds are above zero, so similar pairs share a token of these prefixes.
+    """
+    both = 2 * (NUM + DEN)
+    excess = (NUM + DEN) * d - n
+    levels = _levels(m, excess)
+    kind = max(k for k, level in enumerate(levels) if k == 0 or level <= excess) if excess > m else 0
+    out = [(kind, False, -(-(excess + levels[max(1, kind)]) // both))]
+    # Similar sets differ by a ninth of both sizes at most, and the larger is five quarters of the smaller at most.
+    lowest = (NUM + DEN) * d - 4 * n
+    for k in range(kind):
+        if k + 1 == len(levels) or levels[k + 1] > lowest:
+            out.append((k, True, -(-(excess + levels[k]) // both) if k else -(-(excess - m) // (both - 8))))
+    return [(k, probe, d - least + 1) for k, probe, least in out if least <= d]
+
+
+def _differences(led: DataFrame, sets: DataFrame, maps: list[bytes], scratch: Scratch) -> DataFrame:
+    """(lead, cls, paths, n, d, linked, tokens, places): each class of (lead, cls, paths) against its leader.
+
+    The d ``tokens`` are in one of both sets alone, and ``places`` are those of its prefixes among them.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(maps)
+    # A leader's set goes to its classes in parts of about LED rows.
+    parts = led.groupBy("lead").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts"))
+    own = led.join(parts, "lead").select("lead", "cls", "paths", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part")).join(sets.select("cls", "tokens"), "cls")
+    leads = parts.join(sets.select(F.col("cls").alias("lead"), F.col("tokens").alias("lead_tokens")), "lead")
+    leads = leads.select("lead", "lead_tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def compare(x: np.ndarray, y: np.ndarray, marks: list[np.ndarray]):
+        same, at = _places(x, y)
+        gone = np.ones(len(y), dtype=bool)
+        gone[at[same]] = False
+        new, gone = x[~same], y[gone]
+        # What the leader lacks is rarer than what it has.
+        tokens = np.concatenate([new[np.argsort(_key(new, marks))], gone[np.argsort(mix(gone))]])
+        d = len(tokens)
+        prefixes = _prefixes(len(x), d, len(y))
+        long = [m for _, _, m in prefixes]
+        kinds, probes = np.repeat([k for k, _, _ in prefixes], long), np.repeat([p for _, p, _ in prefixes], long)
+        pos = np.concatenate([np.arange(m) for m in long]) if long else np.zeros(0, np.int64)
+        return len(x), d, (NUM + DEN) * d <= len(x) + len(y), tokens.tobytes(), kinds, probes, pos, tokens[pos]
+
+    place = pa.struct([("kind", pa.int32()), ("probe", pa.bool_()), ("pos", pa.int64()), ("token", pa.int64())])
 
-    return _both(left, texts, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
+    def run(batches):
+        marks = [np.frombuffer(m, dtype=np.uint8) for m in shared.value]
+        for part in _batches(batches, 128):
+            rows = [compare(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), marks) for x, y in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            n, d, linked, whole, *lists = zip(*rows, strict=True) if rows else ((),) * 8
+            ends = np.cumsum([0, *(len(x) for x in lists[0])]).astype(np.int32)
+            kinds, probes, pos, tokens = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in zip(lists, (np.int32, bool, np.int64, np.uint64), strict=True))
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(kinds), pa.array(probes), pa.array(pos), pa.array(tokens.view(np.int64))], fields=list(place)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(linked, pa.bool_()), pa.array(whole, pa.binary()), places], names=["lead", "cls", "paths", "n", "d", "linked", "tokens", "places"])
+
+    schema = "lead long, cls long, paths array<long>, n long, d long, linked boolean, tokens binary, places array<struct<kind:int,probe:boolean,pos:long,token:long>>"
+    return scratch.save(own.join(leads, ["lead", "part"]).select("lead", "cls", "paths", "tokens", "lead_tokens").mapInArrow(releasing(run), schema), "differences")
+
+
+def _blocks(rows: DataFrame, differ: DataFrame, bucket: list[str]) -> DataFrame:
+    """The links (a, b) in buckets of many classes: tasks take two blocks of a bucket at a time and make nothing but links."""
+    size = rows.groupBy(*bucket).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("d") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    rows = rows.join(size, bucket).withColumn("own", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(differ.select("lead", "cls", "tokens"), ["lead", "cls"])
+
+    def meet(pdf):
+        import pandas as pd
+
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
+        tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        n, d, label, cls, own = (pdf[c].to_numpy() for c in ("n", "d", "label", "cls", "own"))
+        met = np.flatnonzero(~pdf["probe"].to_numpy())
+        shared = np.zeros((len(met), len(sets)), dtype=np.float32)
+        for a in range(0, len(tokens), 4096):
+            i, j = np.searchsorted(column, [a, a + 4096])
+            part = np.zeros((len(sets), 4096), dtype=np.float32)
+            part[row[i:j], column[i:j] - a] = 1
+            shared += part[met] @ part.T
+        near = 2 * (NUM + DEN) * shared >= ((NUM + DEN) * d - n)[met][:, None] + ((NUM + DEN) * d - n)
+        near &= label[met][:, None] != label
+        if len(set(own)) > 1:
+            near &= own[met][:, None] != own
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": cls[met[i]], "b": cls[j]})
+
+    cells = [*bucket, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    return rows.select(*cells, "own", "cls", "n", "d", "label", "probe", "tokens").groupBy(*bucket, "low", "high").applyInPandas(meet, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -464,18 +561,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Documents link at a Jaccard similarity of 0.8 or more; the component is the least id that links reach, the document
     included. A text of fewer words is one shingle; one without words, empty or null, has none and links with nothing.
-    Of several texts of one id the one with the least digest links, and all its rows share the component; rows without an id are returned with a null
+    Rows of one id share a component, whichever of their texts links. Rows without an id are returned with a null
     component and link with nothing. Other columns are not read; an empty table has no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(_frequent(docs))
-    heads = scratch.save(_heads(docs, frequent, _hot_maps(docs, frequent)), "heads")
+    maps = _hot_maps(docs, frequent)
+    heads = scratch.save(_heads(docs, frequent, maps), "heads")
     named = heads.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    of_id = scratch.save(named.groupBy("doc_id").agg(F.min("cls").alias("cls")), "classes")
-    reps = scratch.save(of_id.groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
-    labels = _labels(docs, frequent, named, reps, scratch)
+    of_id = scratch.save(named.groupBy("doc_id").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")), "classes")
+    reps = scratch.save(named.groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
+    labels = _labels(docs, frequent, maps, named, of_id.where("cls < other"), reps, scratch)
     # A component's label is a class; its name is the least id of all its classes.
     labelled = reps.join(labels, reps["cls"] == labels["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     names = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -484,41 +582,43 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _labels(docs: DataFrame, frequent, named: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) of all classes that links join to another."""
+def _labels(docs: DataFrame, frequent, maps: list[bytes], named: DataFrame, repeated: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of all classes that links join to another; ``repeated`` are ids (doc_id, cls) with more classes."""
     met = scratch.save(_met(named), "met")
     pairs = scratch.save(met.where("token IS NULL").select("a", "b").distinct(), "pairs")
-    links = scratch.save(verify(pairs, docs, frequent, reps, scratch), "links")
-    labels = components(links, scratch)
-    # Late tokens, and those of many classes after all, in rounds.
+    # Late tokens, and those of many classes after all: the buckets (path, token), where the path of leaders is empty as yet.
     late = named.select("cls", "n", F.size("head").alias("first"), F.posexplode("late").alias("k", "token")).select("token", "cls", "n", (F.col("first") + F.col("k")).alias("pos"))
     late = late.union(met.where("token IS NOT NULL").select("token", F.col("a").alias("cls"), "n", "pos"))
-    current = scratch.save(late.groupBy("token", "cls").agg(F.first("n").alias("n"), F.min("pos").alias("pos")), "late")
-    tested = pairs
-    for round_ in range(ROUNDS + 1):
-        rows = current.join(labels, current["cls"] == labels["node"], "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"))
-        several = rows.groupBy("token", "label").agg(F.count("*").cast("double").alias("c")).groupBy("token")
-        several = several.agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.count("*").alias("l")).where("l > 1")
-        current = scratch.save(rows.join(several, "token"), "open")
-        state = current.groupBy("token").agg(F.count("*").alias("rows"), F.first("open").alias("open")).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sum("open").alias("open")).first()
-        if not state["rows"]:
+    late = scratch.save(late.groupBy("token", "cls").agg(F.first("n").alias("n"), F.min("pos").alias("pos")), "late")
+    several = late.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    postings = late.join(several, "token").select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("lead"), "token", F.lit(0).alias("kind"), F.lit(False).alias("probe"), "cls", "n", F.col("n").alias("d"), "pos")
+    postings = scratch.save(postings, "postings")
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(postings.select("cls")).distinct()
+    sets = _sets(docs, frequent, reps.join(ends, "cls"), scratch)
+    same_id = named.select("doc_id", F.col("cls").alias("b")).join(repeated.select("doc_id", F.col("cls").alias("a")), "doc_id").select("a", "b")
+    labels = components(verify(pairs, sets).union(same_id), scratch)
+    tested, bucket, differ = pairs, ["path", "lead", "token", "kind"], None
+    for round_ in range(LEADS + 1):
+        # Buckets that one component fills, or that hold nothing but probes, are done.
+        rows = postings.join(labels, postings["cls"] == labels["node"], "left").select(*bucket, "probe", "cls", "n", "d", "pos", F.coalesce("label", "cls").alias("label"))
+        count = F.count("*").alias("c"), F.count_if(~F.col("probe")).alias("met"), F.min("label").alias("low"), F.max("label").alias("high")
+        rows = scratch.save(rows.join(rows.groupBy(*bucket).agg(*count).where("met > 0 AND low < high").select(*bucket, "c", "met"), bucket), "open")
+        if rows.isEmpty():
             break
-        last = state["open"] <= OPEN * state["rows"] or round_ == ROUNDS
-        other = [F.col(c).alias(f"{c}_") for c in ("cls", "n", "pos", "label")]
-        if last:
-            found = current.join(current.select("token", *other), "token").where("cls < cls_")
+        few, many = rows.where(F.col("met") <= MANY).drop("c", "met"), rows.where(F.col("met") > MANY)
+        found = few.where("NOT probe").join(few.withColumnsRenamed({c: f"{c}_" for c in ("probe", "cls", "n", "d", "pos", "label")}), bucket).where("(probe_ OR cls < cls_) AND label != label_")
+        found = found.where(_near(*(F.col(c) for c in ("n", "d", "pos", "n_", "d_", "pos_"))))
+        found = scratch.save(found.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links, tested = verify(found, sets), tested.union(found)
+        if round_ == LEADS:
+            links = links.union(_blocks(many, differ, bucket))
         else:
             # The class in whose order the token comes first has the fewest rare tokens: what others are copies of.
-            h = F.xxhash64("label", F.lit(round_)).alias("h")
-            lead = current.groupBy("token").agg(F.min(F.struct("pos", h, "cls", "n", "label")).alias("lead")).select("token", "lead.*").select("token", *other)
-            found = current.join(lead, "token")
-        found = found.where((F.col("label") != F.col("label_")) & _near(F.col("n"), F.col("n_"), F.col("pos"), F.col("pos_")))
-        found = found.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        found = scratch.save(found, "pairs")
-        links = scratch.save(links.union(verify(found, docs, frequent, reps, scratch, whole=True)), "links")
-        labels = components(links, scratch)
-        if last:
-            break
-        tested = tested.union(found)
-        current = current.select("token", "cls", "n", "pos")
+            lead = many.groupBy(*bucket).agg(F.min(F.struct("pos", F.xxhash64("label").alias("h"), "cls")).alias("first"))
+            led = many.join(lead, bucket).select("path", F.col("first.cls").alias("lead"), "cls").where("lead != cls")
+            led = led.groupBy("lead", "cls").agg(F.collect_set(F.xxhash64("path", "lead")).alias("paths"))
+            differ = _differences(scratch.save(led, "led"), sets, maps, scratch)
+            links = links.union(differ.where("linked").select("lead", "cls"))
+            postings = differ.select(F.explode("paths").alias("path"), "lead", "cls", "n", "d", "places").select("path", "lead", "cls", "n", "d", F.inline("places"))
+        labels = components(links.union(labels), scratch)
     return labels

@@ -76,6 +76,54 @@ def test_chains_hot_groups_and_shared_passages(spark):
     check(spark, rows)
 
 
+def edited(rng, base, edits, stock=10**6):
+    w = list(base)
+    for k in rng.sample(range(len(w)), edits):
+        w[k] = f"z{rng.randrange(stock)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_groups_of_many_classes_with_texts_just_below_the_threshold(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "MANY", 12)  # leaders, and leaders among their differences
+    rng = random.Random(seed)
+    rows = []
+    for base in ([f"a{rng.randrange(3000)}" for _ in range(64)], [f"b{rng.randrange(3000)}" for _ in range(49)]):
+        rows += [edited(rng, base, rng.choice([0, 1, 1, 1, 2, 2, 3, 4])) for _ in range(110)]
+        # Few words to choose from: many copies share their edits, and link over them without being similar to the base.
+        rows += [edited(rng, base, rng.choice([2, 3]), 3) for _ in range(60)]
+        rows += [" ".join(base[: rng.randrange(40, len(base))]) for _ in range(20)]
+        rows += [" ".join(base[k:] + [f"n{seed}{j}" for j in range(k)]) for k in range(1, 14)]
+    rng.shuffle(rows)
+    check(spark, list(enumerate(rows)))
+
+
+def test_many_texts_of_one_passage_and_little_else(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MANY", 8)
+    rng = random.Random(4)
+    lines = [words(rng, 45), words(rng, 30), words(rng, 30)]
+    rows = [" ".join([lines[0], *(f"u{rng.randrange(50)}" for _ in range(rng.randrange(16)))]) for _ in range(120)]
+    rows += [" ".join([*rng.sample(lines[1:], 2), *(f"u{rng.randrange(50)}" for _ in range(rng.randrange(16)))]) for _ in range(120)]
+    check(spark, list(enumerate(rows)))
+
+
+def test_all_texts_of_a_repeated_id_link(spark):
+    rng = random.Random(12)
+    for _ in range(3):
+        t, u, v = words(rng, 60), words(rng, 60), words(rng, 60)
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.join(docs(spark, [(1, t), (2, u), (2, t), (3, v), (4, v), (4, u), (5, words(rng, 60)), (None, v)])).collect()}
+        assert {c for i, c in got if i in (1, 2, 3, 4)} == {1} and (5, 5) in got and (None, None) in got
+
+
+def test_long_sets_of_just_eight_tenths(spark):
+    rows = []
+    for k in range(3):  # 80,000 of 100,000 shingles
+        w = [f"{k}v{i}" for i in range(100_004)]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:80_004])), (10 * k + 2, " ".join(w[20_001:]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, rows)).collect()}
+    assert got == {i: i // 10 * 10 if i % 10 < 2 else i for i, _ in rows}
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     long = " ".join(f"w{i}" for i in range(50))
     got = jaccard.join(docs(spark, [(5, long), (5, long), (9, long), (None, long), (7, "other text of five words")])).collect()
