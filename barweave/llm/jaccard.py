@@ -383,7 +383,7 @@ def _mark(ids: DataFrame, bits: int) -> bytes:
 
 
 def _sets(docs: DataFrame, frequent, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cls, n, second, third, tokens): the packed sets of the classes (cls, rep), with the other orders' prefixes.
+    """(cls, n, second, third, text): a text of each of the classes (cls, rep), with the other orders' prefixes.
 
     Prefixes are sorted places in the order, 31 bits of each: tokens that share one only make a pair look more alike.
     A map of the documents' ids, eight bits for each up to ``MARK_BITS``, spares most other texts; more than these do no harm.
@@ -402,9 +402,24 @@ def _sets(docs: DataFrame, frequent, wanted: DataFrame, scratch: Scratch) -> Dat
             for seed in _ORDERS[1:]:
                 places = [mix(s ^ seed) >> np.uint64(33) for s in sets]
                 cols.append(pa.array([np.sort(_first(x, x, prefix_length(len(x)))).astype(np.int32) for x in places], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "second", "third", "tokens"])
+            yield pa.RecordBatch.from_arrays([*cols, part.column(0)], names=["cls", "n", "second", "third", "text"])
 
-    return scratch.save(rows.mapInArrow(releasing(run), "cls long, n long, second array<int>, third array<int>, tokens binary").dropDuplicates(["cls"]), "sets")
+    return scratch.save(rows.mapInArrow(releasing(run), "cls long, n long, second array<int>, third array<int>, text string").dropDuplicates(["cls"]), "sets")
+
+
+class _Recent:
+    """The sets of texts; those of the last batch are at hand for the next one, as rows of one text follow each other."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.shingles, self.known = Shingles(frequent), {}
+
+    def pairs(self, a: pa.Array, b: pa.Array):
+        a, b = a.to_pylist(), b.to_pylist()
+        texts = dict.fromkeys(a + b)
+        known = {t: s for t, s in self.known.items() if t in texts}
+        new = [t for t in texts if t not in known]
+        self.known = known | dict(zip(new, self.shingles.sets(new), strict=True))
+        return ((self.known[x], self.known[y]) for x, y in zip(a, b, strict=True))
 
 
 def _both(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -432,22 +447,23 @@ def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return y[at] == x, at
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, frequent, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets are similar: first the other orders' prefixes must agree, then whole sets count."""
-    left = _both(pairs.select("a", "b"), sets, ["n", "second", "third", "tokens"])
+    left = _both(pairs.select("a", "b"), sets, ["n", "second", "third"])
     for c in ("second", "third"):
         left = left.where(_may_agree(F.col(f"{c}_a"), F.col(f"{c}_b"), F.col("n_a"), F.col("n_b")))
+    left = scratch.save(left.select("a", "b"), "left")
 
     def run(batches):
+        recent = _Recent(frequent.value)
         for part in _batches(batches, 128):
             keep = []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in recent.pairs(part.column(2), part.column(3)):
                 both = int(_places(x, y)[0].sum())
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return left.select("a", "b", "tokens_a", "tokens_b").mapInArrow(releasing(run), "a long, b long")
+    return _both(left, sets, ["text"]).select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long")
 
 
 def _levels(m: int, top: int) -> list[int]:
@@ -480,7 +496,7 @@ def _prefixes(n: int, d: int, m: int) -> list[tuple[int, bool, int]]:
     return [(k, probe, d - least + 1) for k, probe, least in out if least <= d]
 
 
-def _differences(led: DataFrame, sets: DataFrame, maps: list[bytes], scratch: Scratch) -> DataFrame:
+def _differences(led: DataFrame, sets: DataFrame, frequent, maps: list[bytes], scratch: Scratch) -> DataFrame:
     """(lead, cls, paths, n, d, linked, tokens, places): each class of (lead, cls, paths) against its leader.
 
     The d ``tokens`` are in one of both sets alone, and ``places`` are those of its prefixes among them.
@@ -488,9 +504,9 @@ def _differences(led: DataFrame, sets: DataFrame, maps: list[bytes], scratch: Sc
     shared = sets.sparkSession.sparkContext.broadcast(maps)
     # A leader's set goes to its classes in parts of about LED rows.
     parts = led.groupBy("lead").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts"))
-    own = led.join(parts, "lead").select("lead", "cls", "paths", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part")).join(sets.select("cls", "tokens"), "cls")
-    leads = parts.join(sets.select(F.col("cls").alias("lead"), F.col("tokens").alias("lead_tokens")), "lead")
-    leads = leads.select("lead", "lead_tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = led.join(parts, "lead").select("lead", "cls", "paths", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part")).join(sets.select("cls", "text"), "cls")
+    leads = parts.join(sets.select(F.col("cls").alias("lead"), F.col("text").alias("lead_text")), "lead")
+    leads = leads.select("lead", "lead_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def compare(x: np.ndarray, y: np.ndarray, marks: list[np.ndarray]):
         same, at = _places(x, y)
@@ -509,9 +525,9 @@ def _differences(led: DataFrame, sets: DataFrame, maps: list[bytes], scratch: Sc
     place = pa.struct([("kind", pa.int32()), ("probe", pa.bool_()), ("pos", pa.int64()), ("token", pa.int64())])
 
     def run(batches):
-        marks = [np.frombuffer(m, dtype=np.uint8) for m in shared.value]
+        recent, marks = _Recent(frequent.value), [np.frombuffer(m, dtype=np.uint8) for m in shared.value]
         for part in _batches(batches, 128):
-            rows = [compare(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), marks) for x, y in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+            rows = [compare(x, y, marks) for x, y in recent.pairs(part.column(3), part.column(4))]
             n, d, linked, whole, *lists = zip(*rows, strict=True) if rows else ((),) * 8
             ends = np.cumsum([0, *(len(x) for x in lists[0])]).astype(np.int32)
             kinds, probes, pos, tokens = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in zip(lists, (np.int32, bool, np.int64, np.uint64), strict=True))
@@ -519,7 +535,7 @@ def _differences(led: DataFrame, sets: DataFrame, maps: list[bytes], scratch: Sc
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(linked, pa.bool_()), pa.array(whole, pa.binary()), places], names=["lead", "cls", "paths", "n", "d", "linked", "tokens", "places"])
 
     schema = "lead long, cls long, paths array<long>, n long, d long, linked boolean, tokens binary, places array<struct<kind:int,probe:boolean,pos:long,token:long>>"
-    return scratch.save(own.join(leads, ["lead", "part"]).select("lead", "cls", "paths", "tokens", "lead_tokens").mapInArrow(releasing(run), schema), "differences")
+    return scratch.save(own.join(leads, ["lead", "part"]).select("lead", "cls", "paths", "text", "lead_text").mapInArrow(releasing(run), schema), "differences")
 
 
 def _blocks(rows: DataFrame, differ: DataFrame, bucket: list[str]) -> DataFrame:
@@ -596,7 +612,7 @@ def _labels(docs: DataFrame, frequent, maps: list[bytes], named: DataFrame, repe
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(postings.select("cls")).distinct()
     sets = _sets(docs, frequent, reps.join(ends, "cls"), scratch)
     same_id = named.select("doc_id", F.col("cls").alias("b")).join(repeated.select("doc_id", F.col("cls").alias("a")), "doc_id").select("a", "b")
-    labels = components(verify(pairs, sets).union(same_id), scratch)
+    labels = components(verify(pairs, sets, frequent, scratch).union(same_id), scratch)
     tested, bucket, differ = pairs, ["path", "lead", "token", "kind"], None
     for round_ in range(LEADS + 1):
         # Buckets that one component fills, or that hold nothing but probes, are done.
@@ -609,7 +625,7 @@ def _labels(docs: DataFrame, frequent, maps: list[bytes], named: DataFrame, repe
         found = few.where("NOT probe").join(few.withColumnsRenamed({c: f"{c}_" for c in ("probe", "cls", "n", "d", "pos", "label")}), bucket).where("(probe_ OR cls < cls_) AND label != label_")
         found = found.where(_near(*(F.col(c) for c in ("n", "d", "pos", "n_", "d_", "pos_"))))
         found = scratch.save(found.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links, tested = verify(found, sets), tested.union(found)
+        links, tested = verify(found, sets, frequent, scratch), tested.union(found)
         if round_ == LEADS:
             links = links.union(_blocks(many, differ, bucket))
         else:
@@ -617,7 +633,7 @@ def _labels(docs: DataFrame, frequent, maps: list[bytes], named: DataFrame, repe
             lead = many.groupBy(*bucket).agg(F.min(F.struct("pos", F.xxhash64("label").alias("h"), "cls")).alias("first"))
             led = many.join(lead, bucket).select("path", F.col("first.cls").alias("lead"), "cls").where("lead != cls")
             led = led.groupBy("lead", "cls").agg(F.collect_set(F.xxhash64("path", "lead")).alias("paths"))
-            differ = _differences(scratch.save(led, "led"), sets, maps, scratch)
+            differ = _differences(scratch.save(led, "led"), sets, frequent, maps, scratch)
             links = links.union(differ.where("linked").select("lead", "cls"))
             postings = differ.select(F.explode("paths").alias("path"), "lead", "cls", "n", "d", "places").select("path", "lead", "cls", "n", "d", F.inline("places"))
         labels = components(links.union(labels), scratch)
