@@ -85,6 +85,7 @@ class Bpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         letters = byte_letters()
+        self.path, self.bytes_of = path, {c: b for b, c in enumerate(letters)}
         self.inner = np.array([vocab[c] for c in letters], dtype=np.int64)
         self.last = np.array([vocab[c + self.suffix] for c in letters], dtype=np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -100,8 +101,8 @@ class Bpe:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.ranks[at], INF)
 
-    def _symbols(self, word: str) -> np.ndarray:
-        raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    def _symbols(self, word: str | bytes) -> np.ndarray:
+        raw = np.frombuffer(word.encode("utf-8", "surrogatepass") if isinstance(word, str) else word, dtype=np.uint8)
         out = self.inner[raw]
         out[-1] = self.last[raw[-1]]
         return out
@@ -202,8 +203,8 @@ class Bpe:
 
     # -- whole texts
 
-    def words(self, text: str) -> list[str]:
-        """The pre-tokens of a text; a special token is the one-element tuple of its string."""
+    def words(self, text: str) -> list:
+        """The pre-tokens of a text as strings, or their bytes; a special token is the one-element tuple of its string."""
         if self.split is None or "<" not in text:
             return self._plain(text)
         out, at = [], 0
@@ -213,10 +214,12 @@ class Bpe:
             at = m.end()
         return out + self._plain(text[at:])
 
-    @staticmethod
-    def _plain(text: str) -> list[str]:
+    def _plain(self, text: str) -> list:
         if text.isascii():
             return _ASCII_WORDS.findall(text.lower())
+        if _unknown().search(text):
+            rules = _library(self.path)
+            return [bytes(map(self.bytes_of.__getitem__, word)) for word, _ in rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(text))]
         # Each letter by itself: no rule for a final sigma.
         return _WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
@@ -224,6 +227,22 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids)
 
 
+@lru_cache(maxsize=1)
+def _unknown() -> re.Pattern:
+    """Characters that Python's tables don't assign or keep for private use: the library's tables may be newer."""
+    flags = np.array([unicodedata.category(chr(c)) in ("Cn", "Co") for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)) + "]")
+
+
+@lru_cache(maxsize=4)
+def _library(path: str):
+    """The file's own rules to normalise and split a text."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     return Bpe(path)
@@ -241,11 +260,11 @@ def encode_texts(path: str, texts: list[str | None]) -> list[tuple[bytes, str]]:
         seen.clear()
     split = [bpe.words(t) if t else [] for t in texts]
     new = {w for words in split for w in words if w not in seen}
-    plain = [w for w in new if isinstance(w, str)]
+    plain = [w for w in new if not isinstance(w, tuple)]
     for w, ids in zip(plain, bpe.encode_words(plain), strict=True):
         seen[w] = np.array(ids, dtype="<u4").tobytes(), bpe.decode(ids)
     for w in new:
-        if not isinstance(w, str):
+        if isinstance(w, tuple):
             seen[w] = np.array([bpe.special[w[0]]], dtype="<u4").tobytes(), w[0]
     out = []
     for words in split:
