@@ -292,17 +292,32 @@ def test_long_words_and_white_space_in_windows(monkeypatch):
 
 def test_chunks_resist_shifts():
     rng = random.Random(11)
-    text = words(rng, 3000, 10**6).encode()
-    parts = lambda raw: {bytes(raw[a:b]) for ends in [substrings.chunk_ends(np.frombuffer(raw, np.uint8), [len(raw)]).tolist()] for a, b in zip([0, *ends], ends)}
-    a, b = parts(text), parts(b"something inserted " + text[:7000] + b" here too " + text[7000:])
-    assert len(a & b) > 0.98 * len(a)
-    ends = substrings.chunk_ends(np.frombuffer(text, np.uint8), [len(text)])
-    sizes = np.diff([0, *ends])
-    assert sizes.max() <= substrings.MAX_CHUNK and 20 < sizes.mean() < 60
-    both = substrings.chunk_ends(np.frombuffer(text + text, np.uint8), [len(text)] * 2)
-    assert (both[both <= len(text)] == ends).all() and (both[both > len(text)] - len(text) == ends).all()
-
-
-@pytest.mark.parametrize("cut_at", [0, 1, 17])
-def test_common_beginning(cut_at):
-    assert substrings._common(b"abcdef" * 9, (b"abcdef" * 9)[:cut_at] + b"!") == cut_at
+    width = 11
+    hashes = lambda n: np.array([rng.randrange(1 << 64) for _ in range(n)], dtype=np.uint64)
+    h = hashes(3000)
+    parts = lambda x: {x[a + 1 : b + 1].tobytes() for ends in [substrings.chunk_ends(substrings.gear(x), width).tolist()] for a, b in zip(ends, ends[1:])}
+    a, b = parts(h), parts(np.concatenate([hashes(2), h[:1000], hashes(3), h[1000:]]))
+    assert len(a - b) <= 8 and len(a) > 400
+    plain = [sum(int(h[k - t]) << (8 * t) for t in range(min(k + 1, 8))) % (1 << 64) for k in range(len(h))]
+    assert substrings.gear(h).tolist() == plain
+    want = {max(range(k, k + width), key=lambda p: (-plain[p], p)) for k in range(len(h) - width + 1)}
+    assert substrings.chunk_ends(substrings.gear(h), width).tolist() == sorted(want)
+    assert np.diff(sorted(want)).max() <= width
+
+
+def test_marks_are_of_chunks_that_a_window_decides_alone():
+    rng = random.Random(12)
+    for stock in (3, 10**6):
+        h = np.array([hash((stock, rng.randrange(stock))) % (1 << 64) for _ in range(400)], dtype=np.uint64)
+        got = substrings._chunk_marks(h, 49)
+        assert (got == np.concatenate([substrings._chunk_marks(h[k : k + 49], 49) for k in range(len(h) - 48)])).all()
+
+
+def test_common_passages_of_one_task_are_known_before_the_shuffle():
+    told = substrings._Told("key", False)
+    told.add(np.array([3, 3, 1, 2, 2, 5]), np.array([7, 7, 7, 7, 9, 8], dtype=np.uint64))
+    rows = sorted(zip(*told.batch().to_pydict().values(), strict=True))
+    assert [(i, v, known, salt > 0) for i, v, known, salt in rows] == [(1, 7, False, False), (2, 7, True, True), (2, 9, False, False), (3, 7, True, True), (5, 8, False, False)]
+    told = substrings._Told("mark", True)
+    told.add(np.array([3, 1, 5]), np.array([7, 7, 8], dtype=np.uint64))
+    assert [(i, known, salt > 0) for i, _, known, salt in sorted(zip(*told.batch().to_pydict().values(), strict=True))] == [(1, True, False), (3, True, True), (5, False, False)]
