@@ -467,10 +467,10 @@ def verify(pairs: DataFrame, sets: DataFrame, frequent, scratch: Scratch) -> Dat
 
 
 def _levels(m: int, top: int) -> list[int]:
-    """Where the kinds of excess begin for a leader of m tokens: kind 0 is similar to it, the others widen by a quarter."""
+    """Where the kinds of excess begin for a leader of m tokens: kind 0 is similar to it, the others double."""
     out = [0, m + 1]
     while out[-1] <= top:
-        out.append(out[-1] * 5 // 4 + 1)
+        out.append(2 * out[-1])
     return out
 
 
@@ -630,7 +630,10 @@ def _labels(docs: DataFrame, frequent, maps: list[bytes], named: DataFrame, repe
             links = links.union(_blocks(many, differ, bucket))
         else:
             # The class in whose order the token comes first has the fewest rare tokens: what others are copies of.
-            lead = many.groupBy(*bucket).agg(F.min(F.struct("pos", F.xxhash64("label").alias("h"), "cls")).alias("first"))
+            # Of such classes the one of most buckets leads all that it is in, so that a class has few leaders.
+            first = many.groupBy(*bucket).agg(F.min(F.struct("pos", F.xxhash64("label").alias("h"), "cls")).alias("first"))
+            often = first.groupBy(F.col("first.cls").alias("cls")).agg(F.count("*").alias("often"))
+            lead = many.join(often, "cls").groupBy(*bucket).agg(F.max(F.struct("often", "cls")).alias("first"))
             led = many.join(lead, bucket).select("path", F.col("first.cls").alias("lead"), "cls").where("lead != cls")
             led = led.groupBy("lead", "cls").agg(F.collect_set(F.xxhash64("path", "lead")).alias("paths"))
             differ = _differences(scratch.save(led, "led"), sets, frequent, maps, scratch)
