@@ -9,8 +9,8 @@ Texts with equal sets are one class. Buckets with many classes (groups of near c
 class leads, and the others are compared to it. A pair that is similar without both being similar to the leader also
 shares some of its differences to the leader, more than a known number, so the differences are joined next, by their own
 prefixes: a smaller join of the same kind, in which copies of one text no longer meet in what they are copies of. What
-has become one component is never compared again. Buckets that stay large after ``LEADS`` such rounds are compared in
-blocks inside tasks, which emit nothing but links. So every link between different components is found.
+has become one component is never compared again. What is left of a bucket after that is compared in blocks inside tasks, which emit
+nothing but links, or led once more if it is still large. So every link between different components is found.
 """
 
 from __future__ import annotations
@@ -37,8 +37,10 @@ MAP_BITS = 23
 MARK_BITS = 27
 #: Classes to which one copy of their leader's set is sent.
 LED = 512
-#: Rounds of leaders, and rows and tokens of a block of a bucket that still has many classes after those.
-LEADS, BLOCK, BLOCK_TOKENS = 2, 256, 1 << 20
+#: Rows and tokens of a block of a bucket, and blocks up to which a bucket of differences is compared in blocks.
+BLOCK, BLOCK_TOKENS, BLOCKS = 256, 1 << 20, 16
+#: Rounds of leaders before larger ones are, too.
+LEADS = 4
 #: Of each document's tokens, the hundredths that count for that map.
 COUNTED = 45
 #: Classes in the bucket of a token up to which all its pairs are made at once.
@@ -615,20 +617,21 @@ def _labels(docs: DataFrame, frequent, maps: list[bytes], named: DataFrame, repe
     labels = components(verify(pairs, sets, frequent, scratch).union(same_id), scratch)
     tested, bucket, differ = pairs, ["path", "lead", "token", "kind"], None
     for round_ in range(LEADS + 1):
+        blocks = F.lit(False) if not round_ else F.lit(True) if round_ == LEADS else F.col("c") <= BLOCKS * BLOCK
         # Buckets that one component fills, or that hold nothing but probes, are done.
         rows = postings.join(labels, postings["cls"] == labels["node"], "left").select(*bucket, "probe", "cls", "n", "d", "pos", F.coalesce("label", "cls").alias("label"))
         count = F.count("*").alias("c"), F.count_if(~F.col("probe")).alias("met"), F.min("label").alias("low"), F.max("label").alias("high")
         rows = scratch.save(rows.join(rows.groupBy(*bucket).agg(*count).where("met > 0 AND low < high").select(*bucket, "c", "met"), bucket), "open")
         if rows.isEmpty():
             break
-        few, many = rows.where(F.col("met") <= MANY).drop("c", "met"), rows.where(F.col("met") > MANY)
+        few, many = rows.where(F.col("met") <= MANY).drop("c", "met"), rows.where((F.col("met") > MANY) & ~blocks)
         found = few.where("NOT probe").join(few.withColumnsRenamed({c: f"{c}_" for c in ("probe", "cls", "n", "d", "pos", "label")}), bucket).where("(probe_ OR cls < cls_) AND label != label_")
         found = found.where(_near(*(F.col(c) for c in ("n", "d", "pos", "n_", "d_", "pos_"))))
         found = scratch.save(found.select(F.least("cls", "cls_").alias("a"), F.greatest("cls", "cls_").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links, tested = verify(found, sets, frequent, scratch), tested.union(found)
-        if round_ == LEADS:
-            links = links.union(_blocks(many, differ, bucket))
-        else:
+        if round_:
+            links = links.union(_blocks(rows.where((F.col("met") > MANY) & blocks), differ, bucket))
+        if round_ < LEADS:
             # The class in whose order the token comes first has the fewest rare tokens: what others are copies of.
             # Of such classes the one of most buckets leads all that it is in, so that a class has few leaders.
             first = many.groupBy(*bucket).agg(F.min(F.struct("pos", F.xxhash64("label").alias("h"), "cls")).alias("first"))
