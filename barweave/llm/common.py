@@ -9,8 +9,10 @@ import shutil
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word, as the contracts of this package define it.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
@@ -83,6 +85,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that the driver made, up to which they are sent to all executors rather than joined by a shuffle.
+SMALL = 100_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of known size for a join: broadcast up to ``SMALL`` rows, else left to the planner."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def tell_apart(rows: DataFrame, name: str, again: Callable[[Column, Column], Column], scratch: Scratch) -> DataFrame:
+    """The rows with a hash in the column ``name`` for each alone: the k-th of several with one hash gets ``again(hash, k)``.
+
+    Which of them is the k-th is open, but decided once: numbers are written before use. They are counted in parts, so no
+    task gets all rows of a hash.
+    """
+    same, part, k = (free_name(rows, x) for x in ("same_hash", "same_part", "same_number"))
+    repeated = scratch.save(rows.groupBy(F.col(name).alias(same)).count().where("count > 1").select(same), "repeated")
+    if repeated.isEmpty():
+        return rows
+    met = rows[name] == repeated[same]
+    many = rows.join(repeated, met, "left_semi").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    many = scratch.save(many.withColumn(k, F.row_number().over(Window.partitionBy(name, part).orderBy(F.lit(0)))), "numbers")
+    before = F.sum("n").over(Window.partitionBy("h").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = many.groupBy(F.col(name).alias("h"), F.col(part).alias("p")).agg(F.count("*").alias("n")).select("h", "p", F.coalesce(before, F.lit(0)).alias("b"))
+    many = many.join(parts, (many[name] == parts["h"]) & (many[part] == parts["p"]))
+    number = many[k] + parts["b"]
+    many = many.withColumn(name, F.when(number == 1, many[name]).otherwise(again(many[name], number))).select(rows.columns)
+    return rows.join(repeated, met, "left_anti").unionByName(many)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not use, in any spelling."""
     taken = {c.lower() for c in df.columns}
