@@ -15,12 +15,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD_JAVA, Scratch
+from .common import WORD_JAVA, Scratch, small, tell_apart
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
 STEPS, REPAIRS, CELL_ROWS = 60, 6, 1000
+#: Bits of a size that its band leaves out.
+BAND = 8
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
@@ -46,18 +48,40 @@ def _rate(size: Column, theta: Column, scale: Column) -> Column:
     return F.when(theta >= 1e6, F.lit(CAP)).otherwise(F.lit(CAP) / (1 + F.exp(-F.least(F.lit(500.0), F.greatest(F.lit(-500.0), theta * size / scale)))))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """A row for each document: id, size, source_size, target, copies, taken.
+def number_rows(docs: DataFrame, name: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents with a hash of their own in the column ``name``, of id, text and source; repeats of all three are numbered."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"), F.col(source_col).cast("string"), F.lit(8))
+    return tell_apart(docs.withColumn(name, key), name, lambda h, k: F.xxhash64(h, k), scratch)
 
-    A null or empty text has size 0 and one copy of nothing; null sources are one source, the last; repeated rows of an
-    id count each for itself and are told apart by nothing else, so they get the same copies on average, not always the
-    same; null ids take part like others. Ties go to the smaller hash of the id, so reruns agree. The driver holds one
-    line for each source; other columns are not read.
+
+def _running(cells: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """The cells with the sum of ``value`` over those before them among equal ``keys``."""
+    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn(name, F.coalesce(F.sum(value).over(by), F.lit(0.0)))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be null, with one column of each key."""
+    named = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [a[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+    return a.join(named, on, how).drop(*(f"_{k}" for k in keys))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, row_col: str | None = None) -> DataFrame:
+    """A row for each document: id, row, source, size, source_size, target, copies, taken.
+
+    A null or empty text has size 0 and one copy of nothing; null sources are one source, the last; repeated rows count
+    each for itself, equal ones in any order; null ids take part like others. Ties go to the smaller hash of the row, so
+    reruns agree. ``row`` is that hash, or the column ``row_col`` of ``number_rows``, and tells all rows apart. The driver
+    holds one line for each source; an empty table has no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
+    if row_col is None:
+        row_col = "mix_row"
+        docs = number_rows(docs.select(id_col, text_col, source_col), row_col, scratch, id_col, text_col, source_col)
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_JAVA)), F.lit(0)).cast("long")
-    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")).withColumn("order", F.xxhash64("id", F.lit(8))), "sizes")
+    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(row_col).alias("order")), "sizes")
     cells = scratch.save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     per = {r["source"]: r for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum(F.col("n") * F.col("size").cast("double") * F.col("size")).alias("square")).collect()}
     sizes = {s: int(r["size"]) for s, r in per.items()}
@@ -71,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     schema = "source string, theta double, scale double, goal double, source_size long"
 
     def state() -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(s, theta[s], scale[s], goal[s], sizes[s]) for s in theta], schema))
+        return small(spark.createDataFrame([(s, theta[s], scale[s], goal[s], sizes[s]) for s in theta], schema), len(theta))
 
     def with_state(df: DataFrame) -> DataFrame:
         s = state().withColumnRenamed("source", "__s")
@@ -107,9 +131,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ready = with_state(cells).select("source", "size", parts, _rate(F.col("size"), F.col("theta"), F.col("scale")).alias("rate"), "goal", "source_size")
     rated = rows.alias("r").join(ready.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size"))).select("r.id", "r.source", "r.size", "r.order", "c.parts", "c.rate", "c.goal", "c.source_size")
     rated = scratch.save(rated.withColumn("part", F.pmod(F.shiftright("order", 20), F.col("parts"))).drop("parts"), "rates")
-    blocks = rated.groupBy("source", "size", "part").agg(F.count("*").alias("n"), F.first("rate").alias("rate"))
-    before = F.coalesce(F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy(F.desc("size"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    blocks = blocks.select(F.col("source").alias("bs"), F.col("size").alias("bz"), F.col("part").alias("bp"), before.alias("before"))
+    # Sums before a block, in three steps: bands of sizes in a source, sizes in a band, blocks of a size.
+    sized = ready.join(cells.select(F.col("source").alias("cs"), F.col("size").alias("cz"), "n"), F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cz")))
+    sized = sized.select("source", "size", (F.col("n") * F.col("rate")).alias("sum"), F.shiftright("size", BAND).alias("band"))
+    bands = _running(sized.groupBy("source", "band").agg(F.sum("sum").alias("sum")), ["source"], [F.desc("band")], F.col("sum"), "before_band").drop("sum")
+    sized = _running(_same(sized, bands, ["source", "band"]), ["source", "band"], [F.desc("size")], F.col("sum"), "before_size").select("source", "size", (F.col("before_band") + F.col("before_size")).alias("before_size"))
+    blocks = rated.groupBy("source", "size", "part").agg((F.count("*") * F.first("rate")).alias("sum"))
+    blocks = _same(_running(blocks, ["source", "size"], [F.col("part")], F.col("sum"), "before_part"), sized, ["source", "size"])
+    blocks = blocks.select(F.col("source").alias("bs"), F.col("size").alias("bz"), F.col("part").alias("bp"), (F.col("before_size") + F.col("before_part")).alias("before"))
     number = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("order", "id"))
     placed = rated.withColumn("k", number)
     placed = placed.join(blocks, F.col("source").eqNullSafe(F.col("bs")) & (F.col("size") == F.col("bz")) & (F.col("part") == F.col("bp"))).drop("bs", "bz", "bp")
@@ -125,10 +154,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         gaps = [(s, float(goal[s] - taken[s])) for s in taken if abs(goal[s] - taken[s]) >= 1]
         if not gaps:
             break
-        gap = F.broadcast(spark.createDataFrame(gaps, "gs string, gap double"))
+        gap = small(spark.createDataFrame(gaps, "gs string, gap double"), len(gaps))
         near = placed.join(gap, F.col("source").eqNullSafe(F.col("gs"))).where((F.col("size") > 0) & F.when(F.col("gap") > 0, F.col("copies") < CAP).otherwise(F.col("copies") > 0))
         if fixes:
-            done = F.broadcast(spark.createDataFrame([(*k, v) for k, v in fixes.items()], "fs string, fz long, fp long, fk int, fix int"))
+            done = small(spark.createDataFrame([(*k, v) for k, v in fixes.items()], "fs string, fz long, fp long, fk int, fix int"), len(fixes))
             near = near.join(done, F.col("source").eqNullSafe(F.col("fs")) & (F.col("size") == F.col("fz")) & (F.col("part") == F.col("fp")) & (F.col("k") == F.col("fk")), "left_anti")
         left = F.abs(F.abs(F.col("gap")) - F.col("size"))
         best = near.groupBy("source").agg(F.min(F.struct(left.alias("left"), "size", "part", "k")).alias("b"), F.first("gap").alias("gap"))
@@ -143,7 +172,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         if not changed:
             break
     if fixes:
-        done = F.broadcast(spark.createDataFrame([(*k, v) for k, v in fixes.items()], "fs string, fz long, fp long, fk int, fix int"))
+        done = small(spark.createDataFrame([(*k, v) for k, v in fixes.items()], "fs string, fz long, fp long, fk int, fix int"), len(fixes))
         placed = placed.join(done, F.col("source").eqNullSafe(F.col("fs")) & (F.col("size") == F.col("fz")) & (F.col("part") == F.col("fp")) & (F.col("k") == F.col("fk")), "left")
         placed = placed.withColumn("copies", F.col("copies") + F.coalesce("fix", F.lit(0)))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", F.col("goal").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col), F.col("order").alias("row"), "source", "size", "source_size", F.col("goal").alias("target"), "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
