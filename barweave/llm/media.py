@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import Scratch
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples in a row of an image that stores bytes.
 WIDTH = 64
@@ -151,37 +153,56 @@ def store_bytes(data: bytes) -> tuple[bytes, np.ndarray]:
     return write_png(samples), samples
 
 
-def _features(text: str | None) -> tuple:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    media, _ = store_bytes(raw)
+def _read_back(media: bytes) -> tuple:
     samples = read_png(media)
     payload = samples.tobytes()
-    return (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples), media)
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples))
 
 
-FIELDS = (("n_bytes", "long", pa.int64()), ("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()), ("media", "binary", pa.binary()))
+FIELDS = (("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()))
 
 
-def text_images(docs: DataFrame, media: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every whole text's bytes as a PNG, read it back, and compute its features; a row for each row, no shuffle.
+def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every whole text's bytes as a PNG in a binary column: (id, n_bytes, media); a row for each row, no shuffle.
 
-    A null or empty text is one row of zeros; null ids stay; repeated rows repeat; other columns are not read. With
-    ``media`` the images are returned too.
+    A null or empty text is one row of zeros; null ids stay; repeated rows repeat; other columns are not read.
     """
-    fields = FIELDS if media else FIELDS[:-1]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                got = list(zip(*map(_features, part.column(1).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, type=t) for v, (_, _, t) in zip(got, fields))], names=["id", *(f[0] for f in fields)])
+                raws = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array([store_bytes(r)[0] for r in raws], pa.binary())], names=["id", "n_bytes", "media"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+
+
+def payload_features(images: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """What stored texts hold: (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
 
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t, _ in fields))
+    Reads the PNGs of ``text_images``, checksums included; a damaged one is an error.
+    """
+    source = images.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media"))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                got = list(zip(*map(_read_back, part.column(2).to_pylist()), strict=True)) or [()] * len(FIELDS)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, type=t) for v, (_, _, t) in zip(got, FIELDS, strict=True))], names=["id", "n_bytes", *(f[0] for f in FIELDS)])
+
+    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, " + ", ".join(f"{n} {t}" for n, t, _ in FIELDS))
     return out.withColumnRenamed("id", id_col)
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the texts' images to the shared folder as a table with a binary column, and read their payloads back."""
+    images = Scratch(docs.sparkSession, "media").save(text_images(docs, id_col, text_col), "images", compression="none")
+    return payload_features(images, id_col)
+
+
 def image_features(images: DataFrame, media_col: str = "media", id_col: str = "media_id") -> DataFrame:
     """Width, height and cosine hash of a binary column of PNGs; ``error`` says why one can't be read, null is an error too."""
     source = images.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
