@@ -169,7 +169,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
     if not n:
         return None
     share = min(per_language, in_all // len(n) or 1)
-    draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)  # by row: ids may repeat, or be null
     keep = F.lit(False)
     for lang, count in n.items():
         keep = keep | ((F.col("lang") == lang) & (draw < share / count))
@@ -181,7 +181,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
                 x = features([t.encode("utf-8", "surrogatepass") for t in part.column(0).to_pylist()]).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    rows = labelled.where(keep).select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
+    # Equal rows count once, and however the draw falls, no more than twice the rows asked for come.
+    drawn = labelled.where(keep).select("text", "lang", draw.alias("draw")).dropDuplicates(["draw", "lang"]).orderBy("draw", "lang").limit(2 * in_all)
+    rows = drawn.select("text", "lang").mapInArrow(run, "lang string, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["x"])))  # whatever the order of the partitions
     if not rows:
         return None

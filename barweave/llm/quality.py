@@ -1,7 +1,7 @@
 """A quality classifier by attention over passages.
 
-A document is a bag of passages and only the document has a label. Each passage is encoded by what kinds of characters
-follow each other and how its words repeat, through a learned layer; gated attention weighs the passages, and their
+A document is a bag of passages and only the document has a label. Each passage is encoded by its words and runs of bytes,
+hashed, by what kinds of characters follow each other and how its words repeat, through a learned layer; gated attention weighs the passages, and their
 weighted mean is scored. Training runs on a bounded sample of labelled rows, scoring over all passages of every text.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import held_out, releasing
 
-#: Bytes of a passage, kinds of characters, features of a passage.
-PASSAGE, KINDS, EXTRA = 400, 16, 6
-DIM = KINDS * KINDS + EXTRA
+#: Bytes of a passage, kinds of characters, cells that words and runs of three bytes are hashed to, further features.
+PASSAGE, KINDS, WORDS, GRAMS, EXTRA = 400, 16, 128, 128, 6
+DIM = KINDS * KINDS + WORDS + GRAMS + EXTRA
 #: Learning documents of either label, about, and passages that those of one label may have together.
 PER_LABEL, LABEL_PASSAGES = 1200, 1 << 15
 HIDDEN, GATE, STEPS, RATE, DECAY = 32, 16, 220, 0.02, 1e-3
@@ -34,6 +34,8 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+#: Where the hashed words and byte runs begin among the features.
+_WORD, _GRAM = KINDS * KINDS, KINDS * KINDS + WORDS
 _PLACE = np.random.default_rng(11).integers(1, 2**32, 64, dtype=np.uint32) | np.uint32(1)
 
 
@@ -56,6 +58,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pair = (passage[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:])[both]
     counts = np.bincount(pair, minlength=total * KINDS * KINDS).reshape(total, -1)
     out[:, : KINDS * KINDS] = np.sqrt(counts / np.maximum(1, size)[:, None])
+    if len(raw) > 2:
+        gram = raw[:-2].astype(np.uint32) * _PLACE[0] + raw[1:-1].astype(np.uint32) * _PLACE[1] + raw[2:].astype(np.uint32) * _PLACE[2]
+        inside = passage[2:] == passage[:-2]
+        cell = (passage[2:] * GRAMS + (gram >> np.uint32(25)).astype(np.int64))[inside]
+        counts = np.bincount(cell, minlength=total * GRAMS).reshape(total, -1)
+        out[:, _GRAM : _GRAM + GRAMS] = np.sqrt(counts / np.maximum(1, size)[:, None])
     # Words, and whether they repeat the last or the one before it.
     blank = (kind == 3) | (kind == 4)
     begins = ~blank
@@ -68,10 +76,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes = np.add.reduceat(letters, starts)
         of, doc = passage[starts], text[starts]
         words = np.maximum(1, np.bincount(of, minlength=total))
+        cell = of * WORDS + (hashes.astype(np.uint32) * _PLACE[3] >> np.uint32(25)).astype(np.int64)
+        out[:, _WORD : _WORD + WORDS] = np.sqrt(np.bincount(cell, minlength=total * WORDS).reshape(total, -1) / words[:, None])
         for k, column in ((1, 0), (2, 1)):
             again = np.zeros(len(starts))
             again[k:] = (hashes[k:] == hashes[:-k]) & (doc[k:] == doc[:-k])
-            out[:, KINDS * KINDS + column] = np.bincount(of, weights=again, minlength=total) / words
+            out[:, DIM - EXTRA + column] = np.bincount(of, weights=again, minlength=total) / words
         upper = np.bincount(of, weights=(kind[starts] == 1), minlength=total)
         out[:, -4] = upper / words
         out[:, -3] = np.log1p(np.bincount(of, minlength=total)) / 5
@@ -100,6 +110,22 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, first, axis=0)
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "s": _sigmoid(z @ p["c"] + p["cb"])}
 
+    def _slopes(self, x: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted log loss to each parameter."""
+        p, f, first = self.p, self._forward(x, n), np.cumsum(n) - n
+        d = ((f["s"] - y) * weight).astype(x.dtype)  # to the score before its sigmoid
+        grad = {"c": f["z"].T @ d, "cb": d.sum(keepdims=True)}
+        dz = np.repeat(d[:, None] * p["c"], n, axis=0)
+        da = (dz * f["h"]).sum(axis=1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first), n))
+        grad["a"] = (f["t"] * f["g"]).T @ de
+        dt = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2)
+        dg = de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
+        grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
+        dh = (f["a"][:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
+        grad["w"], grad["wb"] = x.T @ dh, dh.sum(axis=0)
+        return grad
+
     def _inputs(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6).astype(np.float32)
 
@@ -114,22 +140,11 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> Model:
     shapes = {"w": (DIM, HIDDEN), "wb": (HIDDEN,), "v": (HIDDEN, GATE), "u": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,), "cb": (1,)}
     p = {k: (rng.standard_normal(s) / np.sqrt(s[0]) if k not in ("wb", "cb") else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
     model = Model(x.mean(axis=0), np.maximum(x.std(axis=0), 0.02), p)
-    x, first = model._inputs(x), np.cumsum(n) - n
+    x = model._inputs(x)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        f = model._forward(x, n)
-        d = (f["s"] - y).astype(np.float32) * weight  # to the score before its sigmoid
-        grad = {"c": f["z"].T @ d, "cb": d.sum(keepdims=True)}
-        dz = np.repeat(d[:, None] * p["c"], n, axis=0)
-        da = (dz * f["h"]).sum(axis=1)
-        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first), n))
-        grad["a"] = (f["t"] * f["g"]).T @ de
-        dt = de[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2)
-        dg = de[:, None] * p["a"] * f["t"] * f["g"] * (1 - f["g"])
-        grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
-        dh = (f["a"][:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
-        grad["w"], grad["wb"] = x.T @ dh, dh.sum(axis=0)
+        grad = model._slopes(x, n, y, weight)
         for k in p:
             g = grad[k] + (DECAY * p[k] if k not in ("wb", "cb") else 0)
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -142,25 +157,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     """A model from a sample of the rows (id, text) with a quality label; a constant score if one label is missing.
 
     About ``per_label`` documents of either label come, with features of all their passages, to the driver: whole ones in
-    the order of the draw, without those that would exceed ``LABEL_PASSAGES`` passages of their label.
-    Several labels of an id count as the least, null ones not at all.
+    the order of the draw, without those that would exceed ``LABEL_PASSAGES`` passages of their label. Equal rows count
+    once, texts of a repeated id each. Several labels of an id count as the least, null ones and those of no document not
+    at all. With one label only the score is 1 if that is good, else 0; without any it is 1.
     """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg((F.min("quality") > 0).alias("good"))
     labels = labels.where(~held_out(F.col("label_id")))
-    n = {r["good"]: r["count"] for r in labels.groupBy("good").count().collect()}
+    draw = F.pmod(F.xxhash64("id", "text", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    size = F.greatest(F.lit(1), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    labelled = docs.select("id", "text", draw.alias("draw")).join(labels, F.col("id") == F.col("label_id")).select("text", "draw", "good")
+    n = {r["good"]: r["count"] for r in labelled.groupBy("good").count().collect()}
     if len(n) < 2:
         return 0.0 if n and not next(iter(n)) else 1.0
-    draw = F.pmod(F.xxhash64("label_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
-    sample = labels.where(draw < F.when(F.col("good"), per_label / n[True]).otherwise(per_label / n[False]))
-    size = F.greatest(F.lit(1), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
-    drawn = docs.join(F.broadcast(sample), docs["id"] == sample["label_id"]).groupBy("label_id", "good").agg(F.sum(size).alias("n")).withColumn("draw", draw).collect()
-    room, chosen = {True: LABEL_PASSAGES, False: LABEL_PASSAGES}, []
-    for r in sorted(drawn, key=lambda r: (r["draw"], r["label_id"])):
+    sample = labelled.where(F.col("draw") < F.when(F.col("good"), per_label / n[True]).otherwise(per_label / n[False]))
+    # However the draw falls, no more than four times the rows asked for come.
+    drawn = sample.groupBy("good", "draw").agg(F.max(size).alias("n")).orderBy("draw", "good").limit(4 * per_label).collect()
+    room, last = {True: LABEL_PASSAGES, False: LABEL_PASSAGES}, {True: [], False: []}
+    for r in drawn:
         if r["n"] <= room[r["good"]]:
             room[r["good"]] -= r["n"]
-            chosen.append((r["label_id"], r["good"]))
-    if len(chosen) < len(drawn):
-        sample = docs.sparkSession.createDataFrame(chosen, sample.schema)
+            last[r["good"]].append(r["draw"])
+    chosen = F.when(F.col("good"), F.col("draw").isin(last[True])).otherwise(F.col("draw").isin(last[False]))
 
     def run(batches):
         for batch in batches:
@@ -170,11 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
                 rows = [bag.astype(np.float16).tobytes() for bag in np.split(x, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary())], names=["good", "x"])
 
-    # The sample has about twice per_label ids, whatever the tables hold.
-    rows = docs.join(F.broadcast(sample), docs["id"] == sample["label_id"]).select("text", "good").mapInArrow(releasing(run), "good boolean, x binary").collect()
+    rows = sample.where(chosen).groupBy("good", "draw").agg(F.max("text").alias("text")).select("text", "good")
+    rows = rows.mapInArrow(releasing(run), "good boolean, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["good"], bytes(r["x"])))
     if len({r["good"] for r in rows}) < 2:
-        return 1.0
+        return 1.0 if not rows or rows[0]["good"] else 0.0
     bags = [np.frombuffer(r["x"], np.float16).reshape(-1, DIM).astype(np.float32) for r in rows]
     return train(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([r["good"] for r in rows], dtype=np.float32))
 
