@@ -21,7 +21,9 @@ from .common import Scratch, partitions
 CURVES, DIMS, BITS, SHIFT = 16, 6, 5, 0.3
 #: Vectors that ranges are fitted on, queries that windows are fitted on, about, and the recall that these should have.
 FIT_ROWS, FIT_QUERIES, FIT_RECALL = 4000, 100, 0.96
-LEAST_WINDOW, LEAST_BLOCK = 64, 512
+LEAST_WINDOW = 64
+#: Rows of a block of a curve, and queries that meet a block together.
+BLOCK, ASKED = 4096, 1024
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -125,24 +127,16 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     """The k nearest other rows of each query found: (query_id, rank, vec_id, score), ties to the smaller id.
 
     ``is_query`` is a condition on ``id_col``. Vectors that are null, zero, or hold null or non-finite components take
-    no part, nor do rows without an id, nor vectors of another length than most have. Rows that repeat an id with the
-    same vector count once; with another vector, each for itself. Copies of a query are found, itself not. With fewer
-    than k candidates all are returned; an empty table has no result. Other columns are not read.
+    no part, nor do rows without an id. Vectors of different lengths are searched apart, each length for itself. Rows that
+    repeat an id with the same vector count once; with another vector, each for itself. Copies of a query are found, itself
+    not. With fewer than k candidates all are returned; an empty table has no result. Other columns are not read.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     classes = scratch.save(_classes(vectors, id_col, vector_col, k), "classes")
-    lengths = classes.groupBy(F.length("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return none
     # A class has an index of its own: with repeated ids, several classes can share their least id.
-    classes = classes.where(F.length("vec") == lengths[0]["n"]).withColumn("cls", F.xxhash64("vec"))
-    n = classes.count()
-    share = lambda salt, want, of: F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, want / max(1, of)))
-    sample = sorted(bytes(r["vec"]) for r in classes.where(share("fit", FIT_ROWS, n)).select("vec").collect()) or [bytes(classes.first()["vec"])]
-    curves = Curves(_matrix(sample))
-
+    classes = classes.withColumn("cls", F.xxhash64("vec"))
     # Queries are classes too: all ids of a class have the same neighbours.
     asked = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).cast("array<double>").alias("v")).where(is_query & F.col("v").isNotNull()).distinct()
 
@@ -153,7 +147,22 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary())], names=["query_id", "qvec"])
 
     asked = asked.where(F.forall("v", lambda x: x.isNotNull())).mapInArrow(keyed, "query_id long, qvec binary").withColumn("cls", F.xxhash64("qvec"))
-    asked = scratch.save(asked.join(classes.select("cls", "vec"), "cls").where(F.col("qvec") == F.col("vec")).select("query_id", "cls"), "asked")
+    asked = scratch.save(asked.join(classes.select("cls", "vec"), "cls").where(F.col("qvec") == F.col("vec")).select("query_id", "cls", F.length("vec").alias("length")), "asked")
+    out = none
+    for r in asked.select("length").distinct().orderBy("length").collect():  # the lengths that vectors have: one, as a rule
+        mine = asked.where(F.col("length") == r["length"]).select("query_id", "cls")
+        found = _search(classes.where(F.length("vec") == r["length"]), mine, k, fit_recall, scratch)
+        out = found if out is none else out.unionByName(found)
+    return out
+
+
+def _search(classes: DataFrame, asked: DataFrame, k: int, fit_recall: float, scratch: Scratch) -> DataFrame:
+    """``search`` among vectors of one length: classes (cls, rep, ids, vec) and queries (query_id, cls)."""
+    spark = classes.sparkSession
+    n = classes.count()
+    share = lambda salt, want, of: F.pmod(F.xxhash64("vec", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, want / max(1, of)))
+    sample = sorted(bytes(r["vec"]) for r in classes.where(share("fit", FIT_ROWS, n)).select("vec").collect()) or [bytes(classes.first()["vec"])]
+    curves = Curves(_matrix(sample))
     queries = asked.select("cls").distinct().withColumn("query", F.lit(True))
 
     def lines(batches):
@@ -193,11 +202,13 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     ranked = ordered.join(start, ["curve", "pid"]).withColumn("place", F.col("start") + F.col("place")).drop("start", "pid")
 
     window = _fit_window(classes.join(queries, "cls"), classes, ranked, n, k, fit_recall)
-    block = max(LEAST_BLOCK, window)
-
-    blocks = ranked.select(F.col("curve").alias("on_curve"), F.floor(F.col("place") / block).alias("in_block"), F.col("cls").alias("cls_"), F.col("rep").alias("rep_"), F.col("vec").alias("vec_"))
-    low, high = F.floor(F.greatest(F.lit(0), F.col("place") - window) / block), F.floor(F.least(F.lit(n - 1), F.col("place") + window) / block)
-    visits = ranked.where("query").select("curve", F.explode(F.sequence(low, high)).alias("block"), "cls", "place", "vec")
+    # Every query visits the blocks that its window touches. A block's queries come in parts, each with its copy of the rows.
+    low, high = F.floor(F.greatest(F.lit(0), F.col("place") - window) / BLOCK), F.floor(F.least(F.lit(n - 1), F.col("place") + window) / BLOCK)
+    visits = ranked.where("query").select("curve", F.explode(F.sequence(low, high)).alias("block"), "cls", "vec")
+    parts = visits.groupBy("curve", "block").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    visits = visits.join(parts, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int")).drop("parts")
+    blocks = ranked.withColumn("block", F.floor(F.col("place") / BLOCK)).join(parts, ["curve", "block"])
+    blocks = blocks.select(F.col("curve").alias("on_curve"), F.col("block").alias("in_block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("in_part"), F.col("cls").alias("cls_"), F.col("rep").alias("rep_"), F.col("vec").alias("vec_"))
 
     def meet(q, rows):
         import pandas as pd
@@ -213,8 +224,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
             out.append(pd.DataFrame({"cls": part["cls"].to_numpy()[of], "found": classes_[place], "score": score}))
         return pd.concat(out)
 
-    # A block has a window's rows and the queries near it: both are bounded by the window.
-    met = visits.groupBy("curve", "block").cogroup(blocks.groupBy("on_curve", "in_block")).applyInPandas(meet, "cls long, found long, score double")
+    met = visits.groupBy("curve", "block", "part").cogroup(blocks.groupBy("on_curve", "in_block", "in_part")).applyInPandas(meet, "cls long, found long, score double")
     best = met.groupBy("cls", "found").agg(F.max("score").alias("score"))
     best = best.join(classes.select(F.col("cls").alias("found"), "rep", "ids"), "found")
     # A class's members tie, so its k + 1 least ids are enough.
