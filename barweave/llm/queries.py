@@ -52,7 +52,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_images(documents(spark, sf_dir), media=False)
+    return media.round_trip(documents(spark, sf_dir))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_sharding": f"""
-            WITH d AS (SELECT doc_id, COALESCE(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+            WITH e AS (SELECT doc_id, COALESCE(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '') || '|' || COALESCE(text, '')), 1, 15))::BIGINT AS h FROM documents),
+            n AS (SELECT doc_id, n_bytes, h, row_number() OVER (PARTITION BY h) AS k FROM e),
+            d AS (SELECT doc_id, n_bytes, CASE WHEN k = 1 THEN h ELSE ('0x' || substr(md5(h::VARCHAR || '|' || k::VARCHAR), 1, 15))::BIGINT END AS h FROM n),
             b AS (SELECT level, h >> (60 - level) AS prefix, sum(n_bytes) AS shard_bytes, min(h) = max(h) AS one FROM d, range(0, 61) AS r(level) GROUP BY ALL),
             leaf AS (SELECT doc_id, n_bytes, h, min(level) AS depth FROM d, range(0, 61) AS r(level) JOIN b USING (level) WHERE b.prefix = d.h >> (60 - level) AND (b.shard_bytes <= {SHARD_BYTES} OR b.one OR level = 60) GROUP BY ALL)
             SELECT doc_id, n_bytes, right(lpad(bin(prefix), 64, '0'), depth::INT) AS shard, depth::INT AS depth, shard_bytes::BIGINT AS shard_bytes, shard_bytes > {SHARD_BYTES} AS over_limit

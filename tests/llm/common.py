@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return: none of them may be touched by columns of that name.
-CLASHING = ["id", "n", "size", "score", "label", "rep", "token", "digest", "copies", "depth", "bucket", "hash", "order", "n_tokens", "held_out", "component_id", "spans", "rank", "vec", "cls", "key", "__n", "node"]
+CLASHING = ["id", "n", "size", "score", "label", "rep", "token", "digest", "copies", "depth", "bucket", "hash", "order", "n_tokens", "held_out", "component_id", "spans", "rank", "vec", "cls", "key", "__n", "node", "__shard", "row", "rest", "media", "order"]
 
 
 def docs(spark, rows, clash=False):

@@ -64,15 +64,60 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
 
 
 def test_quality_gradients():
-    """Training is gradient descent on the loss it claims: numeric and analytic slopes agree through one Adam step's sign."""
     rng = np.random.default_rng(0)
     n = np.array([3, 1, 4, 2] * 5)
     y = np.array([1, 0, 1, 0] * 5, dtype=np.float32)
     x = rng.normal(0, 0.3, (n.sum(), quality.DIM)).astype(np.float32) + np.repeat(y, n)[:, None] * 0.2
     model = quality.train(x, n, y)
-    score = model._forward(model._inputs(x), n)
+    x = model._inputs(x)
+    score = model._forward(x, n)
     assert ((score["s"] > 0.5) == (y > 0)).all()
-    np.testing.assert_allclose(np.add.reduceat(score["a"], np.cumsum(n) - n), 1, rtol=1e-5)
+
+    def plain(p, bag):  # one document, by the formulas
+        h = [np.tanh(row @ p["w"] + p["wb"]) for row in bag]
+        e = np.array([(np.tanh(k @ p["v"]) / (1 + np.exp(-(k @ p["u"])))) @ p["a"] for k in h])
+        a = np.exp(e) / np.exp(e).sum()
+        return 1 / (1 + np.exp(-(sum(w * k for w, k in zip(a, h, strict=True)) @ p["c"] + p["cb"][0])))
+
+    bags = np.split(x, np.cumsum(n)[:-1])
+    np.testing.assert_allclose(score["s"], [plain(model.p, b) for b in bags], atol=1e-5)
+    # Numeric slopes of the loss at a place where training has not ended.
+    p = {k: v.astype(np.float64) + rng.normal(0, 0.05, v.shape) for k, v in model.p.items()}
+    wide, weight = quality.Model(model.mean, model.scale, p), rng.random(len(n))
+    x, bags = x.astype(np.float64), [b.astype(np.float64) for b in bags]
+    slopes = wide._slopes(x, n, y.astype(np.float64), weight)
+
+    def loss():
+        s = np.array([plain(p, b) for b in bags])
+        return -(weight * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum()
+
+    for name, values in p.items():
+        for at in {tuple(rng.integers(0, k) for k in values.shape) for _ in range(4)}:
+            old, step = values[at], 1e-5
+            values[at] = old + step
+            up = loss()
+            values[at] = old - step
+            numeric = (up - loss()) / (2 * step)
+            values[at] = old
+            assert abs(numeric - slopes[name][at]) <= 1e-6 + 1e-4 * abs(numeric), (name, at)
+
+
+def test_quality_with_one_label_left(spark):
+    table = docs(spark, [(i, f"text {i}") for i in range(20)])
+    gone = [(1000 + i, 1) for i in range(40)]
+    for quality_, others in ((0, gone), (1, [(i, 0) for i, _ in gone])):
+        labels = spark.createDataFrame([(i, quality_) for i in range(20)] + others, "doc_id long, quality int")
+        assert {(r["score"], r["predicted"]) for r in quality.learn_and_score(table, labels).collect()} == {(float(quality_), quality_)}
+
+
+def test_equal_rows_are_learned_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, n, y: seen.append(len(n)) or 0.5)
+    rows = [(3, "good text here")] * 500 + [(4, "bad"), (7, "more of it"), (None, "no id")]
+    labels = spark.createDataFrame([(3, 1), (4, 0), (7, 0)], "doc_id long, quality int")
+    kept = [i for i in (3, 4, 7) if zlib.crc32(str(i).encode()) % 4 != 2]
+    quality.fit(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"), labels)
+    assert seen == [len(kept)]
 
 
 def test_languages_of_held_out_rows(spark):
@@ -161,6 +206,16 @@ def test_many_scaled_copies_tie_to_the_smaller_id(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=(8, 8, 3)[i % 3]).tolist()) for i in range(300)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=5).collect()
+    vecs = {i: np.array(v) for i, v in rows}
+    for q in range(0, 300, 50):
+        cos = sorted((-float(v @ vecs[q] / np.linalg.norm(v) / np.linalg.norm(vecs[q])), i) for i, v in vecs.items() if i != q and len(v) == len(vecs[q]))
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in cos[:5]]
+
+
 def test_few_and_no_candidates(spark):
     assert {q: [v for _, v, _ in r] for q, r in search(spark, [(0, [1.0, 0.0]), (3, [0.0, 1.0]), (2, [1.0, 1.0])]).items()} == {0: [2, 3]}
     assert search(spark, [(0, [1.0])]) == {} and search(spark, []) == {}
@@ -179,7 +234,10 @@ def test_hilbert_curve_is_one():
 
 def test_text_images(spark):
     rows = [(1, None), (2, ""), (3, "a" * 64), (4, "a" * 65), (5, "é" * 7000), (6, "é" * 7000), (None, "x"), (3, "a" * 64)]
-    got = media.text_images(docs(spark, rows, clash=True)).collect()
+    images = media.text_images(docs(spark, rows, clash=True))
+    stored = {(r["doc_id"], bytes(r["media"])) for r in images.collect()}
+    assert {(r["doc_id"], r["media_sha256"]) for r in media.round_trip(docs(spark, rows)).collect()} == {(i, hashlib.sha256(m).hexdigest()) for i, m in stored}
+    got = [{**r.asDict(), "media": m} for r in media.payload_features(images).collect() for i, m in stored if i == r["doc_id"]]
     assert len(got) == 8
     for r in got:
         raw = next(((t or "") for i, t in rows if i == r["doc_id"])).encode()
@@ -187,8 +245,28 @@ def test_text_images(spark):
         assert r["n_bytes"] == len(raw) and r["payload_bytes"] == len(payload) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
         assert media.read_png(bytes(r["media"])).tobytes() == payload
-    assert len({tuple(r)[1:] for r in got if r["doc_id"] in (5, 6)}) == 1
-    assert media.text_images(docs(spark, [])).count() == 0
+        assert r["feature"] == plain_hash(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+    assert len({(r["feature"], r["media_sha256"]) for r in got if r["doc_id"] in (5, 6)}) == 1
+    assert media.round_trip(docs(spark, [])).count() == 0
+
+
+def plain_hash(image):
+    """The cosine hash by its definition: an image averaged to 32 x 32, sums of cosines, bits above the median."""
+    h, w = image.shape
+    share = lambda n: [[max(0.0, min((k + 1) * n / 32, i + 1) - max(k * n / 32, i)) * 32 / n for i in range(n)] for k in range(32)]
+    small = np.array(share(h)) @ image.astype(float) @ np.array(share(w)).T
+    k = np.arange(32)
+    low = np.array([[(small * np.outer(np.cos(np.pi * (2 * k + 1) * u / 64), np.cos(np.pi * (2 * k + 1) * v / 64))).sum() for v in range(8)] for u in range(8)])
+    low = np.round(low, 6).ravel()
+    return f"{int(''.join('01'[b] for b in (low > np.median(low[1:])).tolist()), 2):016x}"
+
+
+def test_image_features_of_empty_and_clashing_tables(spark):
+    good, _ = media.store_bytes(b"hello")
+    rows = spark.createDataFrame([(None, bytearray(good)), (1, bytearray(good)), (1, bytearray(good))], "media_id int, media binary")
+    got = media.image_features(rows.withColumns({c: F.lit("x") for c in ("id", "width", "feature", "error")})).collect()
+    assert len(got) == 3 and {r["error"] for r in got} == {None}
+    assert media.image_features(rows.limit(0)).count() == 0
 
 
 def png(rows, width, cut=None):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from barweave.llm import mixing, queries, sharding
 from tests.llm.common import docs, words
@@ -37,16 +38,34 @@ def test_shards_fit(spark):
     assert {r["shard"] for r in sharding.assign(docs(spark, [(1, "a")]), 10).collect()} == {""}
 
 
-def test_repeats_that_can_not_be_split(spark):
-    got = sharding.assign(docs(spark, [(1, "x" * 60), (1, "y" * 60), (2, "z" * 60)]), 100).collect()
-    assert {(r["doc_id"], r["over_limit"]) for r in got} == {(1, True), (2, False)}
+def test_repeated_and_null_ids_are_split(spark):
+    rows = [(None, "x" * 100)] * 50 + [(1, "y" * 100)] * 50 + [(2, "z" * 60), (2, "u" * 60)]
+    one, two = (sharding.assign(docs(spark, rows[::step]), 1000).collect() for step in (1, -1))
+    by = {}
+    for r in one:
+        by.setdefault(r["shard"], []).append(r["n_bytes"])
+        assert not r["over_limit"]
+    assert len(one) == len(rows) and max(map(sum, by.values())) <= 1000
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
+
+
+def test_sql_of_repeated_rows(spark, tmp_path):
+    rows = [(i % 40, "x" * (i % 40 * 900)) for i in range(120)] + [(None, "n" * 30_000)] * 90
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert same(spark, queries.op6_sharding, queries.oracle_sql()["op6_sharding"], str(tmp_path)) == 210
 
 
 def test_written_shards(spark, tmp_path):
-    rows = [(i, "x" * 100) for i in range(50)]
-    sharding.write_shards(docs(spark, rows), str(tmp_path / "s"), 1000)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 50 and back.select("__shard").distinct().count() >= 5
+    rows = [(i, "x" * 100) for i in range(50)] + [(None, "y" * 90)] * 30 + [(7, None), (7, "")]
+    for k, table in enumerate((docs(spark, rows), docs(spark, rows, clash=True), docs(spark, []))):
+        sharding.write_shards(table, str(tmp_path / f"{k}"), 1000)
+        if table.isEmpty():
+            continue
+        back = spark.read.parquet(str(tmp_path / f"{k}"))
+        name = back.columns[-1]
+        assert name == ("___shard" if "__shard" in table.columns else "__shard")
+        assert sorted(map(repr, back.select(table.columns).collect())) == sorted(map(repr, table.collect()))
+        assert max(r[1] for r in back.groupBy(name).agg({"n_chars": "sum"}).collect()) <= 1000
 
 
 def test_targets_by_hand():
@@ -99,6 +118,39 @@ def test_rates_are_exponential_tilts(spark):
     assert np.allclose(odds / odds[0], [1, 2, 3, 4], rtol=0.05), odds
 
 
+def test_copies_are_those_of_the_dual_solution(spark):
+    """A source's multiplier by bisection; a size's copies are its rate's, but for rounding and a few repairs."""
+    import math
+
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.choice([5, 10, 300, 700])), "en", "abc"[i % 3]) for i in range(1500)] + [(None, "one two three", "en", "a")] * 200
+    got = mixing.mix(docs(spark, rows))
+    cells = {(r["source"], r["size"]): (r["n"], r["c"]) for r in got.groupBy("source", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("c")).collect()}
+    goal = mixing.targets({s: sum(n * z for (t, z), (n, _) in cells.items() if t == s) for s in "abc"})
+    for s in "abc":
+        rate = lambda theta, z: 2 / (1 + math.exp(min(700, -theta * z)))
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            theta = (low + high) / 2
+            words_taken = sum(n * z * rate(theta, z) for (t, z), (n, _) in cells.items() if t == s)
+            low, high = (theta, high) if words_taken < goal[s] else (low, theta)
+        for (t, z), (n, c) in cells.items():
+            if t == s:
+                assert abs(c - n * (2 if goal[s] == 2 * sum(k * y for (u, y), (k, _) in cells.items() if u == s) else rate(theta, z))) <= 1 + mixing.REPAIRS, (s, z)
+
+
+def test_copies_of_repeated_rows_are_carried_to_them(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(7)
+    rows = [(None, words(rng, rng.randrange(1, 40)), "en", rng.choice("ab")) for _ in range(200)] + [(5, words(rng, n), "en", "b") for n in range(1, 60)] + [(6, "the same row", "en", "a")] * 100
+    table = docs(spark, rows)
+    want = {tuple(r) for r in mixing.mix(table).groupBy("source").agg(F.sum("taken")).collect()}
+    got = P.mixed_sources(spark, table, SF)
+    size = F.size(F.split("text", " "))
+    assert {tuple(r) for r in got.groupBy("source").agg(F.sum(size)).collect()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
