@@ -16,7 +16,8 @@ from barweave.llm.queries import tokenizer_file
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject: it learns from labelled documents that are not held out.
 
-    Texts that are null or empty are scored like others; rows keep their order of columns and their repeats.
+    Texts that are null or empty are scored like others; repeated rows stay, with or without an id; an empty table stays
+    empty, and where both labels are not there to learn from, all rows have one score (see ``quality.fit``).
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs.select(F.col("doc_id").alias("id"), "text"), labels.select("doc_id", "quality"))
@@ -40,30 +41,34 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that an earlier one has; those with no word left go.
 
-    A document that had no word before stays, and n_chars is counted anew where a text changed.
+    A document that had no word before stays, and n_chars is counted anew where a text changed. Rows that repeat an id are
+    cut each for itself; rows without an id stay as they are. An empty table stays empty.
     """
-    cut = substrings.dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("text").alias("cut_text")).dropDuplicates(["cut_id"])
-    new, of = free_name(docs, "cut_text"), free_name(docs, "cut_id")
-    cut = cut.toDF(of, new)
-    joined = docs.join(cut, docs["doc_id"] == cut[of], "left").where(F.col(new).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
-    changed = {"text": F.coalesce(new, "text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(changed).select(docs.columns)
+    cut = substrings.dedup(docs, rest="row").where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = {c: F.col("text") if c == "text" else F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(column.alias(c) for c, column in columns.items()))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice; copies keep their id."""
-    times = mixing.mix(docs).select("doc_id", "copies")
-    of, n = free_name(docs, "mix_id"), free_name(docs, "mix_copies")
-    times = times.groupBy("doc_id").agg(F.max("copies").alias("copies")).toDF(of, n)
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[of])).where(F.col(n) > 0)
-    copy = free_name(docs, "mix_copy")
+    """Each row as often as the mix takes it: not at all, once or twice; copies keep their id.
+
+    Rows that repeat an id, or have none, are taken each for itself; rows that are equal in id, text and source share their
+    copies in any order. Documents without a word have no weight and stay once. An empty table stays empty.
+    """
+    row, of, n, copy = (free_name(docs, x) for x in ("mix_row", "mix_of", "mix_copies", "mix_copy"))
+    rows = mixing.number_rows(docs, row, Scratch(spark, "mix"))
+    times = mixing.mix(rows, row_col=row).select(F.col("row").alias(of), F.col("copies").alias(n))
+    joined = rows.join(times, rows[row] == times[of]).where(F.col(n) > 0)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text that they decode to."""
+    """Token ids of every document, and the text that they decode to.
+
+    A row for each row, repeats included; null and empty texts have no ids; null ids stay; an empty table stays empty.
+    """
     return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json"), ("n_tokens", "ids", "decoded"))
 
 
