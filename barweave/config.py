@@ -1,8 +1,18 @@
-"""Settings of an experiment, with the checks that keep them consistent."""
+"""Settings of an experiment. Each field states its own range; ``ORDER`` states which must follow each other."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
+from datetime import date
+
+#: Fields that must rise from one to the next.
+ORDER = (("train_end", "val_start", "val_end", "test_start"), ("min_hold", "max_hold"), ("min_depth", "max_depth"), ("stop_loss", "trailing_stop"))
+_ANY = float("inf")
+
+
+def setting(default, least=None, most=None):
+    """A field with the least and the greatest value that the queries can work with."""
+    return field(default=default, metadata={"least": least, "most": most})
 
 
 @dataclass(frozen=True)
@@ -13,42 +23,40 @@ class Config:
     val_start: str = "2023-01-01"
     val_end: str = "2023-12-31"
     test_start: str = "2024-01-01"
-    min_hold: int = 5
-    max_hold: int = 60
-    cost: float = 0.0003 + 0.0002
-    stop_loss: float = 0.05
-    trailing_stop: float = 0.07
-    population: int = 5000
-    generations: int = 100
-    crossover: float = 0.70
-    mutation: float = 0.25
-    elite: int = 30
-    tournament: int = 4
-    min_depth: int = 2
-    max_depth: int = 5
-    max_nodes: int = 20
-    patience: int = 25
-    min_delta: float = 0.01
+    min_hold: int = setting(5, 0)
+    max_hold: int = setting(60, 1)
+    cost: float = setting(0.0003 + 0.0002, 0, 0.5)
+    stop_loss: float = setting(0.05, 0, 1)
+    trailing_stop: float = setting(0.07, 0, 1)
+    population: int = setting(5000, 1)
+    generations: int = setting(100, 1)
+    crossover: float = setting(0.70, 0.001, 0.999)
+    mutation: float = setting(0.25, 0.001, 0.999)
+    elite: int = setting(30, 0)
+    tournament: int = setting(4, 1)
+    min_depth: int = setting(2, 0)
+    max_depth: int = setting(5, 1)
+    max_nodes: int = setting(20, 1)
+    patience: int = setting(25, 1)
+    min_delta: float = setting(0.01, 0)
     seed: int = 42
 
     def validate(self) -> Config:
-        checks = {
-            "population must be positive": self.population > 0,
-            "generations must be positive": self.generations > 0,
-            "crossover must lie between 0 and 1": 0 < self.crossover < 1,
-            "mutation must lie between 0 and 1": 0 < self.mutation < 1,
-            "crossover and mutation together must not exceed 1": self.crossover + self.mutation <= 1,
-            "the least hold must be shorter than the longest": self.min_hold < self.max_hold,
-            "the least depth must be smaller than the greatest": self.min_depth < self.max_depth,
-            "the stop must be tighter than the trailing stop": self.stop_loss < self.trailing_stop,
-        }
-        if wrong := [text for text, holds in checks.items() if not holds]:
+        """This object, if its values are usable; else an error that names every field that is not."""
+        wrong = []
+        for f in fields(self):
+            value, least, most = getattr(self, f.name), f.metadata.get("least"), f.metadata.get("most")
+            if isinstance(value, str):
+                try:
+                    date.fromisoformat(value)
+                except ValueError:
+                    wrong.append(f"{f.name} is no date")
+            elif not (-_ANY if least is None else least) <= value <= (_ANY if most is None else most):
+                wrong.append(f"{f.name} = {value} is out of range")
+        for names in ORDER:
+            wrong += [f"{a} must come before {b}" for a, b in zip(names, names[1:]) if not getattr(self, a) < getattr(self, b)]
+        if self.crossover + self.mutation > 1 + 1e-12:
+            wrong.append("crossover and mutation leave no share below 1")
+        if wrong:
             raise ValueError("; ".join(wrong))
         return self
-
-
-#: The features that formulas use by default (those of the index under its prefix).
-FORMULA_FEATURES = (
-    "vol_60d", "index_rsi14", "pct_from_high52w", "index_ret_20d", "index_ret_5d", "rel_strength", "vol_20d", "pct_from_low52w",
-    "rsi_7", "close_vs_sma200", "bb_width_20", "atr_pct_7", "ret_20d", "ret_5d", "bb_upper_20", "upper_wick",
-)

@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, value: str, out: str) -> DataFrame:
+#: Width of a stretch of times that are plain numbers.
+NUMBERS = 4096
+
+
+def asof(left: DataFrame, right: DataFrame, on: str, value: str, out: str, forward: bool = False) -> DataFrame:
     """Left rows with the value of the latest right row that is not later; right (an index) has one row for each time.
 
-    The times of both sides become one stream along which the last value is carried, one row for each distinct time; an
-    equality join brings the values back, so neither side is joined by range or copied to each symbol.
+    With ``forward`` of the earliest that is not earlier. The times of both sides become one stream along which the last
+    value is carried, one row for each distinct time: within each month first (or ``NUMBERS`` numbers, if times are
+    those), then over the ends of months, of which there are a few hundred. An equality join brings the values back, so neither side is joined by range or copied to each
+    symbol. Where the right value is null, an older one counts.
     """
     times = left.select(on).distinct().withColumn("__v", F.lit(None).cast(right.schema[value].dataType))
     stream = times.unionByName(right.select(F.col(on), F.col(value).alias("__v"))).groupBy(on).agg(F.first("__v", ignorenulls=True).alias("__v"))
-    w = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
-    values = stream.select(F.col(on).alias("__on"), F.last("__v", ignorenulls=True).over(w).alias(out))
+    dated = stream.schema[on].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+    stream = stream.withColumn("__month", F.date_trunc("month", on) if dated else F.floor(F.col(on) / NUMBERS))
+    order = lambda c: F.desc(c) if forward else F.asc(c)
+    within = Window.partitionBy("__month").orderBy(order(on)).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.min_by("__v", on) if forward else F.max_by("__v", on)
+    ends = stream.where(F.col("__v").isNotNull()).groupBy("__month").agg(last.alias("__end"))
+    ends = stream.select("__month").distinct().join(ends, "__month", "left")
+    before = Window.orderBy(order("__month")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__month", F.last("__end", ignorenulls=True).over(before).alias("__end"))
+    values = stream.withColumn("__v", F.last("__v", ignorenulls=True).over(within)).join(ends, "__month")
+    values = values.select(F.col(on).alias("__on"), F.coalesce("__v", "__end").alias(out))
     return left.join(values, left[on] == F.col("__on"), "left").drop("__on")
 
 
@@ -40,11 +55,13 @@ def gated(df: DataFrame, column: str, least: float = 0.8, by: str = "symbol") ->
 
 
 def nearest(left: DataFrame, right: DataFrame, on: str, columns: list[str]) -> DataFrame:
-    """Each left row (few: annotations) with the right row nearest in time, the earlier one on ties."""
-    l, r = left.select(F.col(on).alias("asked"), *[c for c in left.columns if c != on]), right.select(on, *columns)
-    apart = F.struct(F.abs(F.datediff(F.col(on), F.col("asked"))), F.col(on))
-    keys = [c for c in l.columns]
-    return r.join(F.broadcast(l)).groupBy(*keys).agg(F.min_by(F.struct(on, *columns), apart).alias("__r")).select(*keys, "__r.*")
+    """Each left row with the right row nearest in time, the earlier one on ties; of several of one time, the least."""
+    others = [c for c in left.columns if c != on]
+    found = right.groupBy(on).agg(F.min(F.struct(on, *columns)).alias("__r"))
+    both = asof(asof(left, found, on, "__r", "__before"), found, on, "__r", "__after", forward=True)
+    apart = lambda r: F.abs(F.unix_seconds(F.col(f"{r}.{on}").cast("timestamp")) - F.unix_seconds(F.col(on).cast("timestamp")))
+    nearer = F.when(F.col("__after").isNull() | (apart("__before") <= apart("__after")), F.col("__before")).otherwise(F.col("__after"))
+    return both.withColumn("__r", nearer).where(F.col("__r").isNotNull()).select(F.col(on).alias("asked"), *others, "__r.*")
 
 
 def split(on: Column, train_end: str, val_start: str, val_end: str, test_start: str, val_end_included: bool = False) -> Column:

@@ -106,11 +106,11 @@ def trades(bars: DataFrame, by: list[str] = ["symbol"], on: str = "date", rules:
     return bars.select(*columns).groupBy(*by).applyInPandas(group, f"{keys}, {TRADE}")
 
 
-def trades_folded(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same trades by a fold over each symbol's sorted rows, without Python."""
+def trades_folded(bars: DataFrame, by: list[str] = ["symbol"], on: str = "date", rules: Rules = Rules()) -> DataFrame:
+    """The same trades by a fold over each group's sorted rows, without Python."""
     r = rules
-    row = F.struct("date", "signal", "close", "open", F.col("regime").cast("int").alias("regime"))
-    rows = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    row = F.struct(F.col(on).alias("date"), "signal", "close", "open", F.col("regime").cast("int").alias("regime"))
+    rows = bars.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     trade = "struct<direction:int,entry_day:int,exit_day:int,entry_price:double,exit_price:double,hold_days:int,net_return:double,signal_entry:double,exit_reason:string>"
     state = f"struct<i:int,side:int,day:int,entry:double,peak:double,sig:double,prev:double,out:array<{trade}>>"
     zero = F.lit(0.0)
@@ -145,7 +145,7 @@ def trades_folded(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     ended = rows.withColumn("ahead", ahead).withColumn("end", F.aggregate("ahead", init, step))
     end = F.col("end")
     closed = F.when(end["side"] != 0, F.array_append(end["out"], leave(end, F.size("rows") - 1, last, F.lit("OPEN_TRADE")))).otherwise(end["out"])
-    return ended.select("symbol", F.inline(closed))
+    return ended.select(*by, F.inline(closed))
 
 
 def log(bars: DataFrame, found: DataFrame, on: str = "date") -> DataFrame:

@@ -1,7 +1,9 @@
 """Evolution of formulas: the population lives on the driver, its evaluation is one Spark job a generation.
 
-The job sends the population, which is bounded by its size times the nodes of a tree, to the data: every group of
-(symbol, split) evaluates its share of the formulas over its rows. Known formulas are not evaluated again.
+The data are prepared once: one row for each (symbol, split) with its series as arrays. A generation's job sends the
+population, which is bounded by its size times the nodes of a tree, to these rows, and each evaluates its share of the
+formulas. Known formulas are not evaluated again. A checkpoint holds all that the search knows, so that it goes on from
+there as if it had not stopped.
 """
 
 from __future__ import annotations
@@ -9,13 +11,15 @@ from __future__ import annotations
 import json
 import random
 import time
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import Config
+from ..session import shared_folder
 from . import backtest, formula, metrics
 from .formula import CONSTANTS, OPS, Node
 
@@ -96,27 +100,39 @@ class EarlyStop:
         return self.since >= self.patience
 
 
-def evaluate(data: DataFrame, trees: list[Node], features: list[str], chunks: int = 8, rules: backtest.Rules = backtest.Rules()) -> DataFrame:
-    """(tree, fitness) of formulas over rows (symbol, split, date, open, close, regime, features); errors surface."""
-    spark = data.sparkSession
+def prepare(data: DataFrame, features: list[str]) -> DataFrame:
+    """One row for each (symbol, split) of rows (symbol, split, date, open, close, regime, features), written once."""
+    columns = ["open", "close", *features]
+    row = F.struct("date", *(F.col(c).cast("double").alias(c) for c in columns), F.col("regime").cast("int").alias("regime"))
+    series = data.where(F.col("split").isin("train", "val")).groupBy("symbol", "split").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    series = series.select("symbol", "split", *(F.col(f"rows.{c}").alias(c) for c in (*columns, "regime")))
+    path = f"{shared_folder(data.sparkSession)}/series-{uuid.uuid4().hex}"
+    series.write.parquet(path)
+    return data.sparkSession.read.parquet(path)
+
+
+def evaluate(series: DataFrame, trees: list[Node], features: list[str], chunks: int = 8, rules: backtest.Rules = backtest.Rules()) -> DataFrame:
+    """(tree, fitness) of formulas over the series of ``prepare``; errors surface."""
+    spark = series.sparkSession
     texts = sorted({str(t) for t in trees})
     shared = spark.sparkContext.broadcast(texts)  # population x nodes at most
     names = [x.split()[0] for x in backtest.TRADE.split(", ")]
-
-    def group(key, pdf):
-        symbol, split, chunk = key
-        pdf = pdf.sort_values("date", kind="stable")
-        arrays = {f: pdf[f].to_numpy(float) for f in features}
-        close, opens, regime = (pdf[c].to_numpy() for c in ("close", "open", "regime"))
-        out = []
-        for k in range(int(chunk), len(shared.value), chunks):
-            signal = formula.evaluate(formula.parse(shared.value[k]), arrays, len(pdf))
-            out.append((symbol, split, shared.value[k], formula.parse(shared.value[k]).size(), *summary(backtest.run(signal, close, regime, opens, rules), len(pdf), names)))
-        return pd.DataFrame(out, columns=["symbol", "split", "tree", "size", *METRICS])
-
-    rows = data.select("symbol", "split", "date", "open", "close", "regime", *features).where(F.col("split").isin("train", "val"))
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    scored = rows.groupBy("symbol", "split", "chunk").applyInPandas(group, "symbol string, split string, tree string, size int, " + ", ".join(f"{m} {'int' if m == 'n_trades' else 'double'}" for m in METRICS))
+    chunks = min(chunks, len(texts)) or 1
+
+    def run(frames):
+        for frame in frames:
+            for x in frame.to_dict("records"):
+                arrays = {f: np.asarray(x[f], float) for f in features}
+                close, opens, regime = (np.asarray(x[c]) for c in ("close", "open", "regime"))
+                out = []
+                for text in shared.value[x["chunk"] :: chunks]:
+                    tree = formula.parse(text)
+                    found = backtest.run(formula.evaluate(tree, arrays, len(close)), close, regime, opens, rules)
+                    out.append((x["symbol"], x["split"], text, tree.size(), *summary(found, len(close), names)))
+                yield pd.DataFrame(out, columns=["symbol", "split", "tree", "size", *METRICS])
+
+    shares = series.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("symbol", "split", "chunk")
+    scored = shares.mapInPandas(run, "symbol string, split string, tree string, size int, " + ", ".join(f"{m} {'int' if m == 'n_trades' else 'double'}" for m in METRICS))
     scored = scored.withColumn("fitness", metrics.single_fitness(F.col("size")))
     by_split = metrics.portfolio_fitness(scored, ["tree", "split"])
     both = by_split.groupBy("tree").pivot("split", ["train", "val"]).agg(F.first("fitness").alias("f"), F.first("n_trades").alias("n"))
@@ -150,27 +166,49 @@ class Result:
     stats: list[dict] = field(default_factory=list)
 
 
-def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str] = (), hall: int = 10, checkpoint: str | None = None) -> Result:
-    """Search; seeds that name unknown features raise. Statistics of each generation come along, checkpoints are Parquet."""
+#: Generations from one checkpoint to the next, and clones of a saved model that a population starts with.
+SAVED, CLONES = 5, 10
+
+
+def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str] = (), hall: int = 10, checkpoint: str | None = None, resume: bool = False, model: str | None = None) -> Result:
+    """Search over rows (symbol, split, date, open, close, regime, features); statistics of each generation come along.
+
+    A population starts with the ``seeds``, then a saved ``model`` and ``CLONES`` mutated clones of it; seeds that name
+    unknown features raise. A ``checkpoint`` folder gets all of the search every ``SAVED`` generations; with ``resume`` it
+    goes on from the last of them, if there is one, with the same result as without a stop.
+    """
     config.validate()
     rng = random.Random(config.seed)
-    spark, known, stop = data.sparkSession, {}, EarlyStop(config.patience, config.min_delta)
-    population = [formula.parse(s, set(features)) for s in seeds][: config.population]
-    population += [ramped(rng, features, config) for _ in range(config.population - len(population))]
-    result = Result([])
-    for gen in range(config.generations):
+    spark, known, stop, result, begin = data.sparkSession, {}, EarlyStop(config.patience, config.min_delta), Result([]), 0
+    saved = load(spark, checkpoint) if resume and checkpoint else None
+    if saved:
+        begin, ranked, known, stop, result = saved["gen"] + 1, saved["ranked"], saved["known"], saved["stop"], saved["result"]
+        rng.setstate(saved["rng"])
+        if stop.since >= stop.patience or begin >= config.generations:
+            return Result(result.best[:hall], result.stats)
+        population = breed(rng, ranked, [t for t, _ in result.best], features, config)
+    else:
+        first = [formula.parse(s, set(features)) for s in seeds]
+        if model is not None:
+            tree = formula.parse(model, set(features))
+            first += [tree, *seeded(rng, tree, CLONES, features, config)]
+        population = first[: config.population]
+        population += [ramped(rng, features, config) for _ in range(config.population - len(population))]
+    series = prepare(data, features)
+    for gen in range(begin, config.generations):
         began = time.time()
         new = [t for t in population if str(t) not in known]
         if new:
-            known |= {r["tree"]: r["fitness"] for r in evaluate(data, new, features).collect()}
+            known |= {r["tree"]: r["fitness"] for r in evaluate(series, new, features).collect()}
         ranked = [(t, known[str(t)]) for t in population]
         best = {str(t): (t, f) for t, f in [*result.best, *ranked]}
         result.best = sorted(best.values(), key=lambda p: (-p[1], str(p[0])))[: max(hall, config.elite)]
         values = np.array([f for _, f in ranked if f > -99])
         result.stats.append({"gen": gen, "best": float(values.max()), "avg": float(values.mean()), "std": float(values.std()), "min": float(values.min()), "n_valid": len(values), "n_total": len(ranked), "elapsed_s": time.time() - began})
-        if checkpoint and gen % 5 == 4:
-            save(spark, checkpoint, gen, ranked, result)
-        if stop.update(result.best[0][1]):
+        ends = stop.update(result.best[0][1])
+        if checkpoint and gen % SAVED == SAVED - 1:
+            save(spark, checkpoint, gen, ranked, known, stop, result, rng)
+        if ends:
             break
         if gen + 1 < config.generations:
             population = breed(rng, ranked, [t for t, _ in result.best], features, config)
@@ -178,23 +216,30 @@ def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str
     return result
 
 
-def save(spark, path: str, gen: int, ranked: list[tuple[Node, float]], result: Result) -> None:
-    rows = [(gen, str(t), float(f)) for t, f in ranked]
-    spark.createDataFrame(rows, "gen int, tree string, fitness double").coalesce(1).write.mode("overwrite").parquet(f"{path}/gen={gen}")
-    spark.createDataFrame([(json.dumps(result.stats),)], "stats string").coalesce(1).write.mode("overwrite").text(f"{path}-stats")
-
+def save(spark, path: str, gen: int, ranked: list[tuple[Node, float]], known: dict[str, float], stop: EarlyStop, result: Result, rng: random.Random) -> None:
+    """All of a search after a generation; the state comes last, so a folder with one is whole."""
+    place = f"{path}/gen={gen:06d}"
+    order = [(i, str(t), float(f)) for i, (t, f) in enumerate(ranked)]
+    spark.createDataFrame(order, "at int, tree string, fitness double").coalesce(1).write.mode("overwrite").parquet(f"{place}/population")
+    spark.createDataFrame(list(known.items()), "tree string, fitness double").coalesce(1).write.mode("overwrite").parquet(f"{place}/known")
+    state = {"gen": gen, "stop": asdict(stop), "stats": result.stats, "best": [(str(t), f) for t, f in result.best], "rng": rng.getstate()}
+    spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(f"{place}/state")
 
-def resume(spark, path: str) -> tuple[int, list[tuple[Node, float]]] | None:
-    """The last generation saved, or None."""
-    from pyspark.errors import AnalysisException
 
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
+def load(spark, path: str) -> dict | None:
+    """What ``save`` wrote last, or None."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/gen=*/state/_SUCCESS"))
+    if not done:
         return None
-    last = table.agg(F.max("gen").alias("g")).first()["g"]
-    rows = table.where(F.col("gen") == last).select("tree", "fitness").collect()
-    return (last, [(formula.parse(r["tree"]), r["fitness"]) for r in rows]) if rows else None
+    place = max(f.getPath().getParent().getParent().toString() for f in done)
+    state = json.loads(spark.read.text(f"{place}/state").first()[0])
+    version, numbers, gauss = state["rng"]
+    ranked = [(formula.parse(r["tree"]), r["fitness"]) for r in spark.read.parquet(f"{place}/population").orderBy("at").collect()]
+    known = {r["tree"]: r["fitness"] for r in spark.read.parquet(f"{place}/known").collect()}
+    result = Result([(formula.parse(t), f) for t, f in state["best"]], state["stats"])
+    return {"gen": state["gen"], "ranked": ranked, "known": known, "stop": EarlyStop(**state["stop"]), "result": result, "rng": (version, tuple(numbers), gauss)}
 
 
 def seeded(rng: random.Random, model: Node, n: int, features: list[str], config: Config) -> list[Node]:

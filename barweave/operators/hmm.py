@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -11,11 +12,6 @@ from pyspark.sql import DataFrame
 from .regimes import STATES
 
 
-def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
-
-
 @dataclass
 class Hmm:
     start: np.ndarray
@@ -33,14 +29,25 @@ class Hmm:
         return out
 
     def _passes(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        log_move = np.log(self.move + 1e-300)
-        f, g = np.empty_like(b), np.zeros_like(b)
-        f[0] = np.log(self.start + 1e-300) + b[0]
-        for t in range(1, len(b)):
-            f[t] = _log_sum(f[t - 1][:, None] + log_move, 0) + b[t]
-        for t in range(len(b) - 2, -1, -1):
-            g[t] = _log_sum(log_move + b[t + 1] + g[t + 1], 1)
-        return f, g, float(_log_sum(f[-1], 0))
+        """Log probabilities up to and after each row, and of all: each row is scaled to one, and the scales are kept."""
+        top = b.max(axis=1)
+        e = np.exp(b - top[:, None]).tolist()
+        into, out_of = self.move.T.tolist(), self.move.tolist()  # plain numbers: states are few, rows many
+        now, f, scale = [p * x for p, x in zip(self.start.tolist(), e[0], strict=True)], [], []
+        for t, row in enumerate(e):
+            if t:
+                now = [sum(map(mul, f[-1], ways)) * x for ways, x in zip(into, row, strict=True)]
+            scale.append(sum(now) or 1e-300)
+            f.append([x / scale[-1] for x in now])
+        g = [[1.0] * len(self.means)]
+        for t in range(len(e) - 2, -1, -1):
+            ahead = [x * y / scale[t + 1] for x, y in zip(e[t + 1], g[-1], strict=True)]
+            g.append([sum(map(mul, ways, ahead)) for ways in out_of])
+        f, g, scale = np.array(f), np.array(g[::-1]), np.array(scale)
+        upto = np.cumsum(np.log(scale) + top)
+        total = float(upto[-1])
+        with np.errstate(divide="ignore"):
+            return np.log(f) + upto[:, None], np.log(g) + (total - upto)[:, None], total
 
     def posterior(self, x: np.ndarray) -> np.ndarray:
         f, g, total = self._passes(self._density(x))
@@ -114,22 +121,38 @@ def names(x: np.ndarray, p: np.ndarray, vol: int, drawdown: int) -> list[str]:
 FEATURES = ("ret_1d", "ret_5d", "vol_5d", "vol_20d", "trend", "drawdown")
 
 
+#: Rows below which a history is too short for a model: its rows get no state.
+SHORT = 60
+
+
+def _fitted(pdf: pd.DataFrame, on: str, steps: int, seed: int):
+    """The rows in order, the model over their scaled features, the features as they are, and each state's place in STATES."""
+    pdf = pdf.sort_values(on, kind="stable")
+    raw = pdf[list(FEATURES)].to_numpy(float)
+    if len(raw) < SHORT:
+        return pdf, None, raw, raw, []
+    sd = raw.std(axis=0)
+    x = (raw - raw.mean(axis=0)) / np.where(sd == 0, 1, sd)
+    model = fit(x, len(STATES), steps, seed=seed)
+    name = names(raw, model.posterior(x), FEATURES.index("vol_20d"), FEATURES.index("drawdown"))
+    return pdf, model, x, raw, [STATES.index(s) for s in name]
+
+
 def detect(df: DataFrame, on: str = "date", steps: int = 2000, seed: int = 42) -> DataFrame:
-    """Of one or more indices with the columns of ``state_features``, each fitted by itself: state, regime, probabilities."""
+    """Of one or more indices with the columns of ``state_features``, each fitted by itself: state, regime, probabilities.
+
+    Histories of less than ``SHORT`` rows have null in all of them.
+    """
     extra = "state int, regime string, " + ", ".join(f"prob_{s} double" for s in STATES)
     keep = ["symbol", on, "close", "ret_1d", "ret_20d", "vol_20d", "drawdown"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(keep).schema) + ", " + extra
 
     def group(pdf):
-        pdf = pdf.sort_values(on, kind="stable")
-        raw = pdf[list(FEATURES)].to_numpy(float)
-        sd = raw.std(axis=0)
-        x = (raw - raw.mean(axis=0)) / np.where(sd == 0, 1, sd)
-        model = fit(x, len(STATES), steps, seed=seed)
-        p, path = model.posterior(x), model.path(x)
-        name = names(raw, p, FEATURES.index("vol_20d"), FEATURES.index("drawdown"))
-        column = [STATES.index(s) for s in name]
+        pdf, model, x, _, column = _fitted(pdf, on, steps, seed)
         out = pdf[keep].copy()
+        if model is None:
+            return out.assign(state=pd.array([None] * len(out), "Int32"), regime=None, **{f"prob_{s}": np.nan for s in STATES})
+        p, path = model.posterior(x), model.path(x)
         out["state"] = np.array(column)[path]
         out["regime"] = [STATES[k].upper() for k in out["state"]]
         for k, c in enumerate(column):
@@ -137,3 +160,23 @@ def detect(df: DataFrame, on: str = "date", steps: int = 2000, seed: int = 42) -
         return out[keep + ["state", "regime"] + [f"prob_{s}" for s in STATES]]
 
     return df.groupBy("symbol").applyInPandas(group, schema)
+
+
+def transitions(df: DataFrame, on: str = "date", steps: int = 2000, seed: int = 42) -> DataFrame:
+    """The models of ``detect``: (symbol, state, next_state, probability, share, and the state's mean of each feature).
+
+    ``share`` is the state's part of all days, by their probabilities. Histories that are too short have no rows.
+    """
+    schema = "symbol string, state string, next_state string, probability double, share double, " + ", ".join(f"mean_{f} double" for f in FEATURES)
+
+    def group(pdf):
+        pdf, model, x, raw, column = _fitted(pdf, on, steps, seed)
+        rows = []
+        if model is not None:
+            p = model.posterior(x)
+            for i, a in enumerate(column):
+                mean = p[:, i] @ raw / max(p[:, i].sum(), 1e-12)
+                rows += [(pdf["symbol"].iloc[0], STATES[a], STATES[b], model.move[i, j], p[:, i].mean(), *mean) for j, b in enumerate(column)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.groupBy("symbol").applyInPandas(group, schema)

@@ -8,28 +8,42 @@ EPS = 1e-8
 YEAR = 252.0
 
 
-def equity(bars: DataFrame, trades: DataFrame, by: list[str] = ["symbol"], on: str = "date") -> DataFrame:
-    """(by, on, day, pnl, equity, peak, drawdown, ret) of every row: returns of trades compound on their exit day."""
+def _by_day(trades: DataFrame, by: list[str]) -> DataFrame:
+    """What the trades that end on a day amount to."""
+    r = F.col("net_return")
+    won, lost = F.when(r > 0, r), F.when(r <= 0, r)
+    return trades.groupBy(*by, F.col("exit_day").alias("day")).agg(F.sum(r).alias("pnl"), F.count("*").alias("n"), F.count(won).alias("wins"), F.sum("hold_days").alias("hold"), F.sum(won).alias("won"), F.sum(lost).alias("lost"))
+
+
+def _curve(bars: DataFrame, ended: DataFrame, by: list[str], on: str) -> DataFrame:
+    """``equity`` with the columns of ``ended``: (by, day, pnl) of days on which trades end, and others."""
     w = Window.partitionBy(*by).orderBy(on)
     days = bars.select(*by, on, (F.row_number().over(w) - 1).alias("day"))
-    pnl = trades.groupBy(*by, F.col("exit_day").alias("day")).agg(F.sum("net_return").alias("pnl"))
-    out = days.join(pnl, [*by, "day"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
+    out = days.join(ended, [*by, "day"], "left").withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
     w = Window.partitionBy(*by).orderBy("day")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumn("equity", F.exp(F.sum(F.when(F.col("day") > 0, F.log1p("pnl")).otherwise(0.0)).over(upto)))
+    # Nothing is left after a total loss, whose logarithm doesn't exist.
+    lost = F.max(F.when((F.col("day") > 0) & (F.col("pnl") <= -1), 1).otherwise(0)).over(upto)
+    grown = F.exp(F.sum(F.when((F.col("day") > 0) & (F.col("pnl") > -1), F.log1p("pnl")).otherwise(0.0)).over(upto))
+    out = out.withColumn("equity", F.when(lost == 1, 0.0).otherwise(grown))
     out = out.withColumn("peak", F.max("equity").over(upto))
     before = F.lag("equity").over(w)
     return out.withColumns({"drawdown": (F.col("equity") - F.col("peak")) / (F.col("peak") + EPS), "ret": (F.col("equity") - before) / (before + EPS)})
 
 
+def equity(bars: DataFrame, trades: DataFrame, by: list[str] = ["symbol"], on: str = "date") -> DataFrame:
+    """(by, on, day, pnl, equity, peak, drawdown, ret) of every row: returns of trades compound on their exit day."""
+    ended = trades.groupBy(*by, F.col("exit_day").alias("day")).agg(F.sum("net_return").alias("pnl"))
+    return _curve(bars, ended, by, on).select(*by, "day", on, "pnl", "equity", "peak", "drawdown", "ret")
+
+
 def metrics(bars: DataFrame, trades: DataFrame, by: list[str] = ["symbol"], on: str = "date") -> DataFrame:
-    """One row for each group of bars; all zero where there are no trades."""
-    curve = equity(bars, trades, by, on)
-    down = F.when(F.col("ret") < 0, F.col("ret"))
-    of_curve = curve.groupBy(*by).agg(F.count("*").alias("n_days"), F.max_by("equity", "day").alias("last"), F.avg("ret").alias("m"), F.stddev_pop("ret").alias("sd"), F.count("ret").alias("n_ret"), F.stddev_pop(down).alias("dsd"), F.count(down).alias("n_down"), F.min("drawdown").alias("dd"))
-    win, loss = F.col("net_return") > 0, F.col("net_return") <= 0
-    of_trades = trades.groupBy(*by).agg(F.count("*").cast("int").alias("n_trades"), F.avg(F.when(win, 1.0).otherwise(0.0)).alias("wins"), F.avg("hold_days").alias("hold"), F.sum(F.when(win, F.col("net_return")).otherwise(0.0)).alias("won"), F.coalesce(-F.sum(F.when(loss, F.col("net_return"))), F.lit(EPS)).alias("lost"))
-    x = of_curve.join(of_trades, by, "left")
+    """One row for each group of bars, of one pass over its trades; all zero where there are none."""
+    down, n = F.when(F.col("ret") < 0, F.col("ret")), F.sum("n")
+    x = _curve(bars, _by_day(trades, by), by, on).groupBy(*by).agg(
+        F.count("*").alias("n_days"), F.max_by("equity", "day").alias("last"), F.avg("ret").alias("m"), F.stddev_pop("ret").alias("sd"), F.count("ret").alias("n_ret"), F.stddev_pop(down).alias("dsd"), F.count(down).alias("n_down"), F.min("drawdown").alias("dd"),
+        n.cast("int").alias("n_trades"), (F.sum("wins") / n).alias("wins"), (F.sum("hold") / n).alias("hold"), F.coalesce(F.sum("won"), F.lit(0.0)).alias("won"), F.coalesce(-F.sum("lost"), F.lit(EPS)).alias("lost"),
+    )
     years, c = F.greatest(F.col("n_days") / YEAR, F.lit(EPS)), F.col
     ratio = lambda sd, n: F.when((c(n) > 1) & (c(sd) > EPS), c("m") / c(sd) * F.sqrt(F.lit(YEAR))).otherwise(0.0)
     traded = lambda v: F.when(c("n_trades") > 0, v).otherwise(0.0)

@@ -8,14 +8,21 @@ from .align import sanitised
 
 THRESHOLD = 0.85
 
-# Categories of which each should be represented.
+# The features that may be selected, and the categories of which each should be represented.
+CANDIDATES = (
+    "ret_1d", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "close_vs_sma5", "close_vs_sma10", "close_vs_sma20", "close_vs_sma50", "close_vs_sma200",
+    "macd", "rsi_7", "rsi_14", "rsi_21", "bb_upper_20", "bb_lower_20", "bb_width_20", "bb_pos_20", "atr_pct_7", "atr_pct_14", "vol_ratio", "vol_ret",
+    "mom_5", "mom_10", "mom_20", "pct_from_high20", "pct_from_low20", "pct_from_high52w", "pct_from_low52w", "body", "upper_wick", "lower_wick",
+    "vol_20d", "vol_60d", "index_ret_1d", "index_ret_5d", "index_ret_20d", "index_vs_sma20", "index_rsi14", "rel_strength",
+)
 CATEGORIES = {
-    "momentum": ("ret_1d", "ret_3d", "ret_5d", "ret_10d", "ret_20d", "mom_5", "mom_10", "mom_20"),
-    "trend": ("close_vs_sma5", "close_vs_sma10", "close_vs_sma20", "close_vs_sma50", "close_vs_sma200", "macd"),
-    "oscillator": ("rsi_7", "rsi_14", "rsi_21"),
-    "volatility": ("vol_20d", "vol_60d", "atr_pct_7", "atr_pct_14", "bb_width_20"),
-    "volume": ("vol_ratio", "vol_ret"),
-    "index": ("index_ret_1d", "index_ret_5d", "index_ret_20d", "index_vs_sma20", "index_rsi14", "rel_strength"),
+    "trend": ("close_vs_sma20", "close_vs_sma50", "close_vs_sma200", "macd", "mom_20"),
+    "momentum": ("ret_1d", "ret_5d", "ret_20d", "rsi_14"),
+    "mean_reversion": ("bb_pos_20", "bb_width_20", "pct_from_high20", "pct_from_low20"),
+    "volatility": ("atr_pct_14", "vol_ratio", "vol_20d"),
+    "range_52w": ("pct_from_high52w", "pct_from_low52w"),
+    "candle": ("body", "upper_wick", "lower_wick"),
+    "index": ("index_ret_1d", "index_ret_5d", "rel_strength"),
 }
 
 
@@ -24,12 +31,23 @@ def available(df: DataFrame, names: list[str]) -> list[str]:
 
 
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
-    """(first, second, corr) of every pair, absolute, in one aggregate; features come before each other as given."""
-    clean = sanitised(df, features)
-    pairs = [(a, b) for j, b in enumerate(features) for a in features[:j]]
-    row = clean.agg(*(F.abs(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs))
-    stacked = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
-    return row.select(F.expr(f"stack({len(pairs)}, {stacked}) AS (first, second, corr)"))
+    """(first, second, corr) of every pair, absolute, features as given before each other; null where one is constant.
+
+    One pass sums all products; the driver holds the matrix of the features alone. Columns are centred first, so that sums
+    of squares keep their digits.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    clean = sanitised(df, features).select(features)
+    means = clean.agg(*(F.avg(f).alias(f) for f in features)).first()
+    centred = clean.select(*((F.col(f) - F.lit(means[f] or 0.0)).alias(f) for f in features))
+    spark, schema = df.sparkSession, "first string, second string, corr double"
+    if clean.limit(2).count() < 2:
+        return spark.createDataFrame([(a, b, None) for j, b in enumerate(features) for a in features[:j]], schema)
+    matrix = Correlation.corr(VectorAssembler(inputCols=features, outputCol="x").transform(centred).select("x"), "x").first()[0].toArray()
+    pairs = [(a, b, abs(float(matrix[i, j]))) for j, b in enumerate(features) for i, a in enumerate(features[:j])]
+    return spark.createDataFrame([(a, b, None if c != c else c) for a, b, c in pairs], schema)
 
 
 def pruned(pairs: list[tuple[str, str, float]], features: list[str], threshold: float = THRESHOLD) -> list[str]:
@@ -63,3 +81,11 @@ def covered(ranked: list[tuple[str, float]], top: int, categories: dict[str, tup
             if best:
                 chosen.append(best)
     return list(dict.fromkeys(chosen))
+
+
+def select(df: DataFrame, features: list[str] = list(CANDIDATES), top: int = 15, trees: int = 300, threshold: float = THRESHOLD) -> list[str]:
+    """The whole selection over rows with the features and ``target``: available, pruned, ranked, covered."""
+    names = available(df, features)
+    left = pruned([tuple(r) for r in correlations(df, names).collect()], names, threshold)
+    ranked = [(r["feature"], r["importance"]) for r in importance(df, left, trees=trees).orderBy("rank").collect()]
+    return covered(ranked, top)

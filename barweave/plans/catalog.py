@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -95,6 +96,12 @@ def symbols_distinct(spark, d):
     return S.symbols(fixtures.daily_bars(spark, d).unionByName(fixtures.index_bars(spark, d)), without="INDEX")
 
 
+@query("symbols_first", f"WITH {Q.DAILY} SELECT DISTINCT symbol FROM daily ORDER BY symbol LIMIT 20")
+def symbols_first(spark, d):
+    """A look at what is there: the first twenty symbols."""
+    return S.symbols(fixtures.daily_bars(spark, d)).orderBy("symbol").limit(20)
+
+
 _SNAP = f"WITH {Q.TICKS}, {Q.DAILY}, {Q.MARKET}"
 
 
@@ -164,6 +171,12 @@ _FIRST = {
     "volume_rel_20": f"v / (({Q.roll('avg', 'v', 20)}) + 1e-8)",
     "index_ret_5d": Q.change("index_close", 5),
     "index_vs_sma50": f"index_close / ({Q.roll('avg', 'index_close', 50)}) - 1",
+    "index_ret_20d": Q.change("index_close", 20),
+    "rs_5d": f"ret_5d - ({Q.change('index_close', 5)})",
+    "atr_pct_14": f"({Q.roll('avg', 'tr', 14)}) / (close + 1e-8)",
+    "rsi_14": f"(100 - 100 / (1 + ({Q.roll('avg', 'gain', 14)}) / (({Q.roll('avg', 'loss', 14)}) + 1e-8))) / 100",
+    "close_vs_sma20": f"close / ({Q.roll('avg', 'close', 20)}) - 1",
+    "close_vs_sma200": f"close / ({Q.roll('avg', 'close', 200)}) - 1",
     "rs_20d": f"ret_20d - ({Q.change('index_close', 20)})",
 }
 _EXACT = f"exact0 AS (SELECT b.*, i.close AS ic FROM base b LEFT JOIN idx i ON b.date = i.date), exact AS (SELECT *, COALESCE(last_value(ic IGNORE NULLS) OVER ({Q.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(ic IGNORE NULLS) OVER ({Q.W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS index_close FROM exact0)"
@@ -174,11 +187,25 @@ def feat_first(spark, d):
     return rounded(features.minute_features(fixtures.daily_bars(spark, d), fixtures.index_bars(spark, d)).select("symbol", "date", *_FIRST))
 
 
-@query("feature_dataset", f"WITH {Q.DAILY}, {Q.INDEX}, {Q.BASE}, {Q.WITH_INDEX}, f AS (SELECT symbol, date, {Q.roll('avg', 'close', 200)} AS s, round({Q.rsi('gain', 'loss', 14)}, 6) AS rsi_14, round({Q.roll('avg', 'tr', 14)}, 6) AS atr_14, round(COALESCE({Q.relative('(' + Q.roll('max', 'high', 252) + ')')}, 0), 6) AS pct_from_high52w, round({Q.INDEX_FEATURES['rel_strength']}, 6) AS rel_strength FROM moved) SELECT symbol, date, rsi_14, atr_14, pct_from_high52w, rel_strength, CASE WHEN date <= '1998-12-31' THEN 'train' WHEN date >= '1999-01-01' AND date <= '1999-12-31' THEN 'val' WHEN date >= '2000-01-01' THEN 'test' END AS split FROM f WHERE s IS NOT NULL AND rsi_14 IS NOT NULL AND atr_14 IS NOT NULL")
+#: All features of the dataset, as SQL: those of the bars, then those of the aligned index.
+_DATASET = {c: x for columns in Q.FEATURES.values() for c, x in columns.items()} | Q.INDEX_FEATURES
+_INDEXED = f"WITH {Q.DAILY}, {Q.INDEX}, {Q.BASE}, {Q.WITH_INDEX}"
+_FINITE = ("pct_from_high52w", "pct_from_low52w", "high_52w", "low_52w")
+
+
+@query("feature_dataset", f"{_INDEXED}, f AS (SELECT symbol, date, open, high, low, close, volume, {Q.roll('avg', 'close', 200)} AS warm, " + ", ".join(f"round({'COALESCE((' + x + '), 0)' if c in _FINITE else x}, 6) AS {c}" for c, x in _DATASET.items()) + " FROM moved) SELECT * EXCLUDE (warm, open, high, low, close), round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN date <= '1998-12-31' THEN 'train' WHEN date >= '1999-01-01' AND date <= '1999-12-31' THEN 'val' WHEN date >= '2000-01-01' THEN 'test' END AS split FROM f WHERE warm IS NOT NULL AND rsi_14 IS NOT NULL AND atr_14 IS NOT NULL")
 def feature_dataset(spark, d):
-    df = align.sanitised(features.warm(_features(spark, d, True)), ["pct_from_high52w"])
+    """The whole dataset: bars, 54 features, split."""
+    df = align.sanitised(features.warm(_features(spark, d, True)), list(_FINITE))
     df = df.withColumn("split", align.split(F.col("date"), *SPLITS, val_end_included=True))
-    return rounded(df.select("symbol", "date", "rsi_14", "atr_14", "pct_from_high52w", "rel_strength", "split"))
+    return rounded(df.select("symbol", "date", *S.PRICES, "volume", *_DATASET, "split"))
+
+
+@query("regime_of_features", f"{_INDEXED}, f AS (SELECT symbol, date, {Q.INDEX_FEATURES['index_vs_sma20']} AS x FROM moved) SELECT symbol, date, CASE WHEN COALESCE(round(x, 9), 0) >= 0 THEN 1 ELSE -1 END AS regime FROM f")
+def regime_of_features(spark, d):
+    """The side that trades may take by the index in the feature table."""
+    df = _features(spark, d, True).withColumn("index_vs_sma20", F.round("index_vs_sma20", 9))
+    return df.select("symbol", "date", backtest.regime_of(df, "index_vs_sma20").alias("regime"))
 
 
 # -- alignment
@@ -228,9 +255,12 @@ def sanitize(spark, d):
     return rounded(align.sanitised(features.base(fixtures.daily_bars(spark, d)), ["ret_20d"]).select("symbol", "date", "ret_20d"))
 
 
-@query("min_history", f"WITH {Q.DAILY} SELECT symbol, date FROM daily QUALIFY count(*) OVER (PARTITION BY symbol) >= 2440")
+@query("min_history", f"WITH {Q.DAILY} SELECT symbol, date FROM daily QUALIFY count(*) OVER (PARTITION BY symbol) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM daily GROUP BY symbol))")
 def min_history(spark, d):
-    return B.with_history(fixtures.daily_bars(spark, d).select("symbol", "date"), 2440)
+    """Symbols with as many rows as symbols have on average."""
+    bars = fixtures.daily_bars(spark, d).select("symbol", "date")
+    least = math.ceil(bars.groupBy("symbol").count().agg(F.avg("count")).first()[0] or 0)
+    return B.with_history(bars, least)
 
 
 @query("traded_bars", f"WITH {Q.DAILY} SELECT symbol, count(*) AS n FROM daily WHERE volume > 0 GROUP BY symbol")
@@ -363,6 +393,17 @@ def hold_histogram(spark, d):
     return metrics.return_histogram(_log(spark, d), "hold_days", 30, 0.0, 60.0)
 
 
+@query("return_distribution", f"{_LOG_TRADES} SELECT CASE WHEN round(pnl_pct, 6) < -20 THEN 0 WHEN round(pnl_pct, 6) >= 20 THEN 41 ELSE floor(round(pnl_pct, 6) + 20)::BIGINT + 1 END AS bin, count(*) AS n, count(*) FILTER (pnl_pct > 0) AS wins, count(*) FILTER (pnl_pct <= 0) AS losses FROM log GROUP BY 1")
+def return_distribution(spark, d):
+    """Trades by their result, in bins of one per cent."""
+    return metrics.return_histogram(_log(spark, d).withColumn("pnl_pct", F.round("pnl_pct", 6)), "pnl_pct", 40, -20.0, 20.0)
+
+
+@query("trades_per_symbol", f"{_LOG_TRADES} SELECT symbol, direction, count(*) AS n FROM log GROUP BY ALL")
+def trades_per_symbol(spark, d):
+    return _log(spark, d).groupBy("symbol", "direction").agg(F.count("*").alias("n"))
+
+
 @query("results_by_split", f"{Q.TRADES}, {Q.CURVE}, {Q.METRICS} SELECT 'all' AS split, count(*) AS n_symbols, sum(n_trades)::BIGINT AS n_trades, " + ", ".join(f"round(avg({m}), 6) AS avg_{m}, round(stddev_pop({m}), 6) AS std_{m}" for m in ("total_return_pct", "annual_return_pct", "sharpe_ratio", "max_drawdown_pct", "win_rate")) + " FROM metrics")
 def results_by_split(spark, d):
     return rounded(metrics.across_symbols(_metrics(spark, d).withColumn("split", F.lit("all")), "split"))
@@ -502,7 +543,7 @@ def regime_state_stats(spark, d):
 
 @query("hmm_labels")
 def hmm_labels(spark, d):
-    return hmm.detect(regimes.state_features(fixtures.index_bars(spark, d)), steps=200)
+    return hmm.detect(regimes.state_features(fixtures.index_bars(spark, d)))
 
 
 _MARKET_SQL = f"reg0 AS (SELECT symbol, date, {Q.change('close', 50)} AS trend FROM daily), grouped0 AS (SELECT g.*, CASE WHEN trend > 0.05 THEN 'BULL' WHEN trend < -0.05 THEN 'BEAR' ELSE 'FLAT' END AS market FROM signals0 g JOIN reg0 USING (symbol, date)), grouped AS (SELECT * FROM grouped0 QUALIFY count(*) OVER (PARTITION BY market) >= 100 AND count(*) OVER (PARTITION BY market, symbol) >= 50)"
@@ -516,7 +557,19 @@ def regime_backtest(spark, d):
     return rounded(metrics.metrics(s, backtest.trades(s, ["market", "symbol"]), ["market", "symbol"]))
 
 
-@query("regime_backtest_by_split")
+_ACROSS = ("total_return_pct", "annual_return_pct", "sharpe_ratio", "max_drawdown_pct", "win_rate")
+
+
+@query("across_by_regime", f"SELECT market, count(*) AS n_symbols, sum(n_trades)::BIGINT AS n_trades, " + ", ".join(f"round(avg({m}), 4) AS avg_{m}, round(stddev_pop({m}), 4) AS std_{m}" for m in _ACROSS) + f" FROM ({_grouped_sql('market', _MARKET_SQL, 'true')}) GROUP BY market")
+def across_by_regime(spark, d):
+    """Mean and deviation over symbols, regime by regime."""
+    return rounded(metrics.across_symbols(regime_backtest(spark, d), "market"), 4)
+
+
+_SPLIT_MARKET = _MARKET_SQL[: _MARKET_SQL.index(", grouped AS")] + f", grouped1 AS (SELECT *, {_SPLIT.format(op='<')} AS split FROM grouped0), grouped AS (SELECT *, split || '~' || market AS cell FROM grouped1 WHERE split IS NOT NULL QUALIFY count(*) OVER (PARTITION BY split, market, symbol) >= 50)"
+
+
+@query("regime_backtest_by_split", f"SELECT split_part(cell, '~', 1) AS split, split_part(cell, '~', 2) AS market, * EXCLUDE (cell) FROM ({_grouped_sql('cell', _SPLIT_MARKET, 'true')})")
 def regime_backtest_by_split(spark, d):
     """The full analysis: by split, regime and symbol."""
     s = signals(spark, d).join(_reg(spark, d).select("symbol", "date", F.col("regime").alias("market")), ["symbol", "date"])
@@ -526,27 +579,47 @@ def regime_backtest_by_split(spark, d):
     return rounded(metrics.metrics(s, backtest.trades(s, by), by))
 
 
+@query("hmm_transitions")
+def hmm_transitions(spark, d):
+    """The fitted model's probabilities of a move from state to state, and the states' own statistics."""
+    return hmm.transitions(regimes.state_features(fixtures.index_bars(spark, d)))
+
+
 # -- selection and search
 
-_CORR = ("ret_5d", "ret_20d", "rsi_7", "rsi_14", "close_vs_sma20", "bb_pos_20", "vol_20d", "atr_pct_14")
-_CSQL = {"ret_5d": "ret_5d", "ret_20d": "ret_20d", "rsi_7": Q.FEATURES["rsi"]["rsi_7"], "rsi_14": Q.FEATURES["rsi"]["rsi_14"], "close_vs_sma20": Q.FEATURES["sma"]["close_vs_sma20"], "bb_pos_20": Q.FEATURES["bollinger"]["bb_pos_20"], "vol_20d": Q.FEATURES["volatility"]["vol_20d"], "atr_pct_14": Q.FEATURES["atr"]["atr_pct_14"]}
+_PAIRS = [(a, b) for j, b in enumerate(selection.CANDIDATES) for a in selection.CANDIDATES[:j]]
+_CORR_SQL = f"{_INDEXED}, c AS (SELECT " + ", ".join(f"COALESCE({_DATASET[n]}, 0) AS {n}" for n in selection.CANDIDATES) + " FROM moved), pairs AS (SELECT unnest([" + ", ".join(f"{{'first': '{a}', 'second': '{b}', 'corr': abs(corr({a}, {b}))}}" for a, b in _PAIRS) + "], recursive := true) FROM c)"
 
 
-@query("corr_pairs", f"WITH {Q.DAILY}, {Q.BASE}, c AS (SELECT " + ", ".join(f"COALESCE({x}, 0) AS {n}" for n, x in _CSQL.items()) + " FROM base) " + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, round(abs(corr({a}, {b})), 6) AS corr FROM c" for j, b in enumerate(_CORR) for a in _CORR[:j]))
+@query("corr_pairs", f"{_CORR_SQL} SELECT first, second, round(corr, 6) AS corr FROM pairs")
 def corr_pairs(spark, d):
-    return rounded(selection.correlations(_features(spark, d), list(_CORR)))
+    """All pairs of the candidate features."""
+    return rounded(selection.correlations(_features(spark, d, True), list(selection.CANDIDATES)))
 
 
-@query("corr_prune")
+_AT = "list_position([" + ", ".join(f"'{f}'" for f in selection.CANDIDATES) + "], {})"
+
+
+@query("corr_prune", f"WITH RECURSIVE {_CORR_SQL[5:]}, ranked AS MATERIALIZED (SELECT first, second, row_number() OVER (ORDER BY corr DESC, {_AT.format('second')}, {_AT.format('first')}) AS i FROM pairs WHERE corr > {selection.THRESHOLD}), walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone UNION ALL SELECT r.i, CASE WHEN list_contains(gone, first) OR list_contains(gone, second) THEN gone ELSE list_append(gone, second) END FROM walk w JOIN ranked r ON r.i = w.i + 1) SELECT feature FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in selection.CANDIDATES) + "]) AS feature), (SELECT arg_max(gone, i) AS gone FROM walk) WHERE NOT list_contains(gone, feature)")
 def corr_prune(spark, d):
-    pairs = [tuple(r) for r in selection.correlations(_features(spark, d), list(_CORR)).collect()]
-    return spark.createDataFrame([(f,) for f in selection.pruned(pairs, list(_CORR))], "feature string")
+    pairs = [tuple(r) for r in selection.correlations(_features(spark, d, True), list(selection.CANDIDATES)).collect()]
+    return spark.createDataFrame([(f,) for f in selection.pruned(pairs, list(selection.CANDIDATES))], "feature string")
+
+
+def _train(spark, d):
+    return features.forward_target(_features(spark, d, True).where(F.col("date") <= F.lit(SPLITS[0]).cast("date")))
 
 
 @query("rf_importance")
 def rf_importance(spark, d):
-    df = features.forward_target(_features(spark, d).where(F.col("date") <= F.lit(SPLITS[0]).cast("date")))
-    return selection.importance(df, list(_CORR), trees=20)
+    """Ranks of all candidates by the whole forest."""
+    return selection.importance(_train(spark, d), list(selection.CANDIDATES))
+
+
+@query("selected_features")
+def selected_features(spark, d):
+    """The selection as one flow: pruned by correlation, the best fifteen of the forest, every category covered."""
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(selection.select(_train(spark, d)))], "rank int, feature string")
 
 
 @query("evolve_smoke")
@@ -560,11 +633,10 @@ def evolve_smoke(spark, d):
 
 @query("stream_bars", f"WITH {Q.TICKS} {Q.bars('hour')}")
 def stream_bars(spark, d):
-    import tempfile
     import uuid
 
+    from ..session import shared_folder
     from ..streaming import ticks
 
     name = f"bars_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barweave-stream-")
-    return plain_bars(ticks.drained(ticks.stream_bars(ticks.tick_stream(spark, f"{d}/events.parquet")), name, f"{root}/{name}"))
+    return plain_bars(ticks.drained(ticks.stream_bars(ticks.tick_stream(spark, f"{d}/events.parquet")), name, f"{shared_folder(spark)}/{name}"))

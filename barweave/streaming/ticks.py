@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
     """Ticks from the events table as it grows, or from any folder of Parquet files with its schema."""
-    folder, name = path.rsplit("/", 1)
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        events = reader.parquet(path)
+    else:  # a stream reads folders, so of this one the file of that name
+        folder, name = path.rsplit("/", 1)
+        events = reader.option("pathGlobFilter", name).parquet(folder)
     return events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
 
 

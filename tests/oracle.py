@@ -16,6 +16,8 @@ def connect(sf_dir: str = DATA) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
+        if not os.path.exists(path):
+            continue
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
 

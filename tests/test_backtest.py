@@ -105,7 +105,7 @@ def test_fold_equals_kernel(spark, rules):
     bars = frame(spark, 7)
     cols = ["symbol", "direction", "entry_day", "exit_day", "entry_price", "exit_price", "hold_days", "net_return", "signal_entry", "exit_reason"]
     a = sorted(map(tuple, B.trades(bars, rules=rules).select(*cols).collect()))
-    b = sorted(map(tuple, B.trades_folded(bars, rules).select(*cols).collect()))
+    b = sorted(map(tuple, B.trades_folded(bars, rules=rules).select(*cols).collect()))
     assert a == b and len(a) > 20
     for s in "ABC":  # trades of a symbol do not overlap
         spans = sorted((t[2], t[3]) for t in a if t[0] == s)
@@ -133,3 +133,12 @@ def test_group_without_trades_has_zero_metrics(spark):
     bars = spark.createDataFrame([("A", i, 1.0, 1.0, 0.0, 1) for i in range(5)], "symbol string, date int, open double, close double, signal double, regime int")
     (row,) = metrics.metrics(bars, B.trades(bars)).collect()
     assert row["n_trades"] == 0 and row["sharpe_ratio"] == 0 and row["total_return_pct"] == 0
+
+
+def test_a_total_loss_ends_the_curve(spark):
+    from barweave.operators import metrics
+
+    bars = spark.createDataFrame([("A", i) for i in range(6)], "symbol string, date int")
+    trades = spark.createDataFrame([("A", 1, 0.5), ("A", 3, -1.0), ("A", 4, 0.5)], "symbol string, exit_day int, net_return double")
+    got = metrics.equity(bars, trades).orderBy("day").collect()
+    assert [r["equity"] for r in got] == pytest.approx([1, 1.5, 1.5, 0, 0, 0]) and got[-1]["drawdown"] == pytest.approx(-1)

@@ -5,14 +5,10 @@ import pytest
 from barweave.plans import catalog
 from tests.oracle import DATA, same
 
-#: Windows of 200 and more rows need the longer histories of the next scale, which the driver runs all queries at.
-EMPTY_HERE = {"min_history"}
-
-
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_sql(spark, name):
     n = same(spark, catalog.QUERIES[name], catalog.ORACLE[name])
-    assert n > 0 or name in EMPTY_HERE
+    assert n > 0
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))

@@ -81,16 +81,32 @@ def test_evolution_repeats_itself_and_keeps_the_best(spark, market, tmp_path):
     two = evolve.evolve(market, NAMES, SMALL, seeds=["a"], hall=3)
     assert [(str(t), f) for t, f in one.best] == [(str(t), f) for t, f in two.best]
     assert len(one.stats) == 2 and one.stats[1]["best"] >= one.stats[0]["best"] - 1e-12
-    assert evolve.resume(spark, str(tmp_path / "none")) is None
-    evolve.save(spark, str(tmp_path / "g"), 4, one.best, one)
-    gen, ranked = evolve.resume(spark, str(tmp_path / "g"))
-    assert gen == 4 and {str(t) for t, _ in ranked} == {str(t) for t, _ in one.best}
+    assert evolve.load(spark, str(tmp_path / "none")) is None
     with pytest.raises(ValueError):
         evolve.evolve(market, NAMES, SMALL, seeds=["zzz"])
 
 
+def test_a_search_that_resumes_ends_as_one_that_did_not_stop(spark, market, tmp_path, monkeypatch):
+    monkeypatch.setattr(evolve, "SAVED", 1)
+    long = Config(population=12, generations=3, elite=2, max_depth=3)
+    whole = evolve.evolve(market, NAMES, long, seeds=["a"], hall=3)
+    path = str(tmp_path / "gens")
+    evolve.evolve(market, NAMES, Config(population=12, generations=2, elite=2, max_depth=3), seeds=["a"], hall=3, checkpoint=path)
+    rest = evolve.evolve(market, NAMES, long, seeds=["a"], hall=3, checkpoint=path, resume=True)
+    assert [str(t) for t, _ in rest.best] == [str(t) for t, _ in whole.best]
+    assert [f for _, f in rest.best] == pytest.approx([f for _, f in whole.best])
+    assert [s["gen"] for s in rest.stats] == [0, 1, 2] and rest.stats[2]["best"] == pytest.approx(whole.stats[2]["best"])
+
+
+def test_a_search_starts_with_a_saved_model(market, monkeypatch):
+    seen = []
+    monkeypatch.setattr(evolve, "evaluate", lambda series, trees, features: seen.append([str(t) for t in trees]) or market.sparkSession.createDataFrame([(str(t), 1.0) for t in trees], "tree string, fitness double"))
+    evolve.evolve(market, NAMES, Config(population=15, generations=1, elite=2), model="sub(a, b)")
+    assert seen[0][0] == "sub(a, b)" and evolve.CLONES == 10 and len(seen[0]) == 15
+
+
 def test_planted_signal_beats_noise(market):
-    got = {r["tree"]: r["fitness"] for r in evolve.evaluate(market, [formula.parse("a"), formula.parse("b"), formula.parse("zero")], NAMES).collect()}
+    got = {r["tree"]: r["fitness"] for r in evolve.evaluate(evolve.prepare(market, NAMES), [formula.parse("a"), formula.parse("b"), formula.parse("zero")], NAMES).collect()}
     assert got["a"] > got["b"] and got["zero"] == -50
 
 
@@ -111,7 +127,9 @@ def test_hmm_finds_planted_states():
 def test_pruning_order():
     pairs = [("a", "b", 0.9), ("a", "c", 0.95), ("b", "c", 0.99), ("a", "d", 0.5)]
     assert selection.pruned(pairs, ["a", "b", "c", "d"]) == ["a", "d"]
-    assert selection.covered([("x", 0.5), ("rsi_7", 0.3), ("ret_1d", 0.1), ("vol_ratio", 0.05)], 2) == ["x", "rsi_7", "ret_1d", "vol_ratio"]
+    ranked = [("x", 0.5), ("rsi_14", 0.3), ("ret_1d", 0.1), ("vol_ratio", 0.05), ("body", 0.04), ("upper_wick", 0.03), ("pct_from_low52w", 0.02)]
+    assert selection.covered(ranked, 2) == ["x", "rsi_14", "vol_ratio", "pct_from_low52w", "body"]
+    assert len(selection.CANDIDATES) == 40 and {f for m in selection.CATEGORIES.values() for f in m} <= set(selection.CANDIDATES)
 
 
 def test_forest_ranks_planted_feature_first(spark):

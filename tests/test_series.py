@@ -72,6 +72,41 @@ def test_index_that_starts_late(spark):
     assert got == [20.0] * 5
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_over_many_months(spark, forward):
+    rng = np.random.default_rng(3)
+    day = np.datetime64("2020-01-01")
+    asked = sorted(set(rng.integers(0, 900, 80).tolist()))
+    known = sorted(set(rng.integers(150, 700, 30).tolist()) - {400, 401})
+    left = spark.createDataFrame([("A", (day + i).item()) for i in asked] + [("B", (day + i).item()) for i in asked[::2]], "symbol string, date date")
+    right = spark.createDataFrame([((day + i).item(), float(i)) for i in known], "date date, close double")
+    want = {(day + i).item(): next((float(k) for k in (known if forward else known[::-1]) if (k >= i if forward else k <= i)), None) for i in asked}
+    got = align.asof(left, right, "date", "close", "v", forward).collect()
+    assert len(got) == len(asked) + len(asked[::2]) and all(r["v"] == want[r["date"]] for r in got)
+
+
+def test_nearest_takes_the_earlier_on_ties(spark):
+    import datetime
+
+    day = lambda i: datetime.date(2021, 1, 1) + datetime.timedelta(i)
+    notes = spark.createDataFrame([(day(5), "tie"), (day(0), "before all"), (day(400), "after all"), (day(9), "later")], "date date, note string")
+    bars = spark.createDataFrame([(day(3), 1.0), (day(7), 2.0), (day(10), 3.0)], "date date, close double")
+    assert {(r["note"], r["close"]) for r in align.nearest(notes, bars, "date", ["close"]).collect()} == {("tie", 1.0), ("before all", 1.0), ("after all", 3.0), ("later", 3.0)}
+    assert align.nearest(notes, bars.limit(0), "date", ["close"]).count() == 0
+
+
+def test_streams_read_files_and_folders(spark, tmp_path):
+    from barweave.streaming import ticks
+
+    events = spark.createDataFrame([(i, "click", f"2024-01-01 0{i % 3}:00:00", float(i)) for i in range(9)], "event_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    (tmp_path / "one").mkdir()
+    events.toPandas().to_parquet(tmp_path / "one" / "events.parquet", coerce_timestamps="us", index=False)
+    for k, path in enumerate((tmp_path / "events.parquet", tmp_path / "one" / "events.parquet")):
+        bars = ticks.drained(ticks.stream_bars(ticks.tick_stream(spark, str(path))), f"t{k}", str(tmp_path / f"c{k}"))
+        assert bars.agg(F.count("*"), F.sum("n")).first() == (3, 9)
+
+
 def test_fill_stays_within_symbols_unless_asked(spark):
     df = spark.createDataFrame([("A", 1, 1.0), ("B", 1, None), ("B", 2, 3.0)], "symbol string, date int, x double")
     assert [r["x"] for r in align.filled(df, "x", "date", ["symbol"]).orderBy("symbol", "date").collect()] == [1.0, 3.0, 3.0]
