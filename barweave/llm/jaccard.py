@@ -9,8 +9,8 @@ Texts with equal sets are one class. Buckets with many classes (groups of near c
 class leads, and the others are compared to it. A pair that is similar without both being similar to the leader also
 shares some of its differences to the leader, more than a known number, so the differences are joined next, by their own
 prefixes: a smaller join of the same kind, in which copies of one text no longer meet in what they are copies of. What
-has become one component is never compared again. What is left of a bucket after that is compared in blocks inside tasks, which emit
-nothing but links, or led once more if it is still large. So every link between different components is found.
+has become one component is never compared again. What is left of a bucket after that is compared in blocks inside tasks,
+which emit nothing but links, or led once more if it is still large. So every link between different components is found.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ from .common import held_out, releasing
 PASSAGE, KINDS, WORDS, GRAMS, EXTRA = 400, 16, 128, 128, 6
 DIM = KINDS * KINDS + WORDS + GRAMS + EXTRA
 #: Learning documents of either label, about, and passages that those of one label may have together.
-PER_LABEL, LABEL_PASSAGES = 1200, 1 << 15
+PER_LABEL, LABEL_PASSAGES = 1200, 1 << 14
 HIDDEN, GATE, STEPS, RATE, DECAY = 32, 16, 220, 0.02, 1e-3
 THRESHOLD = 0.7
 
