@@ -198,7 +198,8 @@ class ByteBpe(Library):
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.special = tuple(special)
-        self.long = re.compile(f"{self.BLANK}{{{self.LONG},}}")
+        # Only a run's start may match: else each place in a run that is too short would look to its end.
+        self.long = re.compile(f"(?<!{self.BLANK}){self.BLANK}{{{self.LONG},}}")
 
     def _ids(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4")
