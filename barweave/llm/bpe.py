@@ -217,7 +217,7 @@ class Bpe:
     def _plain(self, text: str) -> list:
         if text.isascii():
             return _ASCII_WORDS.findall(text.lower())
-        if _unknown().search(text):
+        if _unknown(text):
             rules = _library(self.path)
             return [bytes(map(self.bytes_of.__getitem__, word)) for word, _ in rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(text))]
         # Each letter by itself: no rule for a final sigma.
@@ -227,12 +227,20 @@ class Bpe:
         return " ".join(self.tokens[i] for i in ids)
 
 
+#: Characters of a text that are looked up at a time.
+LOOKUP = 1 << 18
+
+
 @lru_cache(maxsize=1)
-def _unknown() -> re.Pattern:
-    """Characters that Python's tables don't assign or keep for private use: the library's tables may be newer."""
-    flags = np.array([unicodedata.category(chr(c)) in ("Cn", "Co") for c in range(0x110000)])
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)) + "]")
+def _unassigned() -> np.ndarray:
+    """For each code point whether Python's tables don't assign it or keep it for private use: the library's may be newer."""
+    return np.array([unicodedata.category(chr(c)) in ("Cn", "Co") for c in range(0x110000)])
+
+
+def _unknown(text: str) -> bool:
+    flags = _unassigned()
+    parts = (text[a : a + LOOKUP].encode("utf-32-le", "surrogatepass") for a in range(0, len(text), LOOKUP))
+    return any(flags[np.frombuffer(part, "<u4")].any() for part in parts)
 
 
 @lru_cache(maxsize=4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -116,6 +117,16 @@ def test_long_white_space_in_files(spark, library):
         assert got[i]["n_tokens"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_white_space_just_under_the_limit_in_a_long_text(library):
+    engine = token_files.encoder(BYTE)
+    n = token_files.ByteBpe.LONG
+    for text in [("x" + " " * (n - 1)) * 8 + "y", (" " * (n - 1) + "x") * 4 + " " * n + "y", "\n" * n + "a" + "\t" * (n - 1)]:
+        began = time.perf_counter()
+        got = engine.text(text).tolist()
+        assert time.perf_counter() - began < 5
+        assert got == library[BYTE].encode(text, add_special_tokens=False).ids
+
+
 def test_split_white_space_keeps_ids(library, monkeypatch):
     monkeypatch.setattr(token_files.ByteBpe, "LONG", 3)
     split, rng = token_files.encoder.__wrapped__(BYTE), random.Random(12)
