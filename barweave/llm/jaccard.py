@@ -563,7 +563,7 @@ def _blocks(rows: DataFrame, differ: DataFrame, bucket: list[str]) -> DataFrame:
             part = np.zeros((len(sets), 4096), dtype=np.float32)
             part[row[i:j], column[i:j] - a] = 1
             shared += part[met] @ part.T
-        near = 2 * (NUM + DEN) * shared >= ((NUM + DEN) * d - n)[met][:, None] + ((NUM + DEN) * d - n)
+        near = 2 * (NUM + DEN) * shared.astype(np.int64) >= ((NUM + DEN) * d - n)[met][:, None] + ((NUM + DEN) * d - n)
         near &= label[met][:, None] != label
         if len(set(own)) > 1:
             near &= own[met][:, None] != own
