@@ -26,16 +26,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates; of repeated rows of an id, one.
+    """One document of each group of near duplicates: the one with the least id, without an id the one of least hash.
 
-    Documents without words link with nothing and stay, as do rows without an id.
+    Each row is a document by itself, also where ids are null or repeat: unlike texts of one id stay, and of rows that are
+    repeated one does. Documents without words link with nothing and stay. An empty table stays empty.
     """
-    groups = jaccard.join(docs)
-    member = free_name(docs, "member")
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(member)).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(keep, named["doc_id"] == keep[member], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    scratch = Scratch(spark, "groups")
+    row, member = free_name(docs, "group_row"), free_name(docs, "group_member")
+    rows = mixing.number_rows(docs, row, scratch)
+    groups = jaccard.join(rows, row).withColumnRenamed(row, member)
+    ids = rows.select(F.col(row).alias("of"), F.col("doc_id").alias("named"))
+    # In order: those with an id before those without, then by id; rows of one id by their hash.
+    order = F.struct(F.col("named").isNull().alias("none"), "named", F.col("of").alias(member))
+    keep = groups.join(ids, groups[member] == ids["of"]).groupBy("component_id").agg(F.min(order).alias("first")).select(f"first.{member}")
+    return rows.join(keep, rows[row] == keep[member], "left_semi").select(docs.columns)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
