@@ -80,6 +80,73 @@ def run(signal: np.ndarray, close: np.ndarray, regime: np.ndarray, opens: np.nda
     return out
 
 
+class Machine:
+    """The state machine a row at a time, for series that do not come whole: ``state`` is all that it knows of earlier rows.
+
+    A position that waits is filled at the next row's open, or at its own row's close if there is none.
+    """
+
+    FIELDS = "i long, before double, side int, day long, entry double, peak double, signal double, waits boolean, close double"
+
+    def __init__(self, rules: Rules = Rules(), state: tuple | None = None):
+        self.rules = rules
+        self.i, self.before, self.side, self.day, self.entry, self.peak, self.signal, self.waits, self.close = state or (0, 0.0, 0, 0, 0.0, 0.0, 0.0, False, 0.0)
+
+    @property
+    def state(self) -> tuple:
+        return self.i, self.before, self.side, self.day, self.entry, self.peak, self.signal, self.waits, self.close
+
+    def _fill(self, price: float) -> None:
+        self.entry = self.peak = price * (1 + self.side * self.rules.cost)
+        self.waits = False
+
+    def _leave(self, i: int, price: float, now: float, reason: str) -> tuple:
+        price = price * (1 - self.side * self.rules.cost)
+        gain = price / self.entry - 1 if self.side == 1 else self.entry / price - 1
+        return self.side, self.day, i, self.entry, price, 1.0, i - self.day, gain, gain, self.signal, now, reason
+
+    def step(self, now: float, price: float, regime: int, opens: float | None = None) -> tuple | None:
+        """Take a row; the trade that ends with it, in the order of TRADE."""
+        r, i, before, trade = self.rules, self.i, self.before, None
+        self.i, self.before, last, self.close = i + 1, now, self.close, price
+        if self.waits:
+            self._fill(last if opens is None else opens)
+        if not self.side:
+            if i and regime in (1, -1) and regime * before <= 0 < regime * now and regime * now >= r.threshold:
+                self.side, self.day, self.signal, self.waits = regime, i, now, True
+                if not r.entry_at_next_open:
+                    self._fill(price)
+            return None
+        side, held = self.side, i - self.day
+        self.peak = max(self.peak, price) if side == 1 else min(self.peak, price)
+        stop, trail = self.entry * (1 - side * r.stop_loss), self.peak * (1 - side * r.trailing_stop)
+        reason, at = None, price
+        if side * price <= side * stop:
+            reason, at = "STOP_LOSS", stop
+        elif side * price <= side * trail:
+            reason, at = "TRAIL_STOP", trail
+        elif held >= r.min_hold and side * now <= 0:
+            reason = "SIGNAL"
+        elif regime == -side:
+            reason = "REGIME_FLIP"
+        if held >= r.max_hold:
+            reason, at = "MAX_HOLD", price if r.max_hold_at_close else at
+        if reason:
+            trade = self._leave(i, at, now, reason)
+            self.side = 0
+        return trade
+
+    def end(self) -> tuple | None:
+        """The trade that is open after the last row."""
+        if not self.side:
+            return None
+        if self.waits:
+            self._fill(self.close)
+        trade = self._leave(self.i - 1, self.close, self.before, "OPEN_TRADE")
+        self.side = 0
+        return trade
+
+
 def regime_of(df: DataFrame, column: str = "index_vs_sma50") -> Column:
     """1 where the index is not below its mean, -1 where it is; 1 throughout if the table has no such column."""
     return F.when(F.coalesce(F.col(column), F.lit(0.0)) >= 0, 1).otherwise(-1) if column in df.columns else F.lit(1)
