@@ -41,11 +41,16 @@ def exact_filled(left: DataFrame, right: DataFrame, on: str, value: str, out: st
 
 
 def filled(df: DataFrame, column: str, on: str, by: list[str] | None) -> DataFrame:
-    """Nulls take the value before, else the one after; ``by`` None fills across groups in one order."""
-    w = Window.partitionBy(*(by or [])).orderBy(on) if by else Window.orderBy("symbol", on)
-    before = F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(column, F.coalesce(before, after))
+    """Nulls take the value before, else the one after; ``by`` None fills across groups in one order.
+
+    Both ways each row is looked at once: the value after is the last one in the order backwards.
+    """
+    def carried(way) -> Column:
+        order = [way(c) for c in ((on,) if by else ("symbol", on))]
+        w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.last(column, ignorenulls=True).over(w)
+
+    return df.withColumn(column, F.coalesce(carried(F.asc), carried(F.desc)))
 
 
 def gated(df: DataFrame, column: str, least: float = 0.8, by: str = "symbol") -> DataFrame:
