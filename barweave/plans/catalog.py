@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
 from ..functions import rolling, safe
-from ..operators import align, backtest, bars as B, evolve, features, formula, hmm, metrics, regimes, selection
+from ..operators import align, backtest, bars as B, blocks, evolve, features, formula, hmm, metrics, regimes, selection
+from ..session import shared_folder, written
 from ..sources import bars as S, fixtures
 from . import sql as Q
 
@@ -323,6 +324,8 @@ def signals(spark, d) -> DataFrame:
     return df.select("symbol", "date", "open", "close", F.round(formula.column(FORMULAS["f1"]), 6).alias("signal"), regime.alias("regime"))
 
 
+#: Rows of a block of time in the query: few, so that the smallest table has several.
+BLOCK_ROWS = 1000
 _TRADE_COLS = ("symbol", "direction", "entry_day", "exit_day", "entry_price", "exit_price", "hold_days", "net_return", "signal_entry", "exit_reason")
 _TRADE_SQL = "SELECT symbol, direction::INT AS direction, entry_day::INT AS entry_day, exit_day::INT AS exit_day, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, hold_days::INT AS hold_days, round(net_return, 6) AS net_return, signal_entry, exit_reason FROM trades"
 
@@ -337,6 +340,23 @@ def backtest_folded(spark, d):
     return rounded(backtest.trades_folded(signals(spark, d)).select(*_TRADE_COLS))
 
 
+@query("backtest_trades_blocks", f"{Q.TRADES} {_TRADE_SQL}")
+def backtest_blocks(spark, d):
+    """The same trades from blocks of time, several to a symbol, each a task of its own."""
+    return rounded(blocks.trades(signals(spark, d), rows=BLOCK_ROWS).select(*_TRADE_COLS))
+
+
+@query("stream_trades", f"{Q.TRADES} {_TRADE_SQL}")
+def stream_trades(spark, d):
+    """The same trades from a stream of bars in three batches, stopped and restarted after each."""
+    import uuid
+
+    from ..streaming import machine
+
+    bars = signals(spark, d).withColumn("ts", F.col("date").cast("timestamp"))
+    return rounded(machine.replayed(bars, f"{shared_folder(spark)}/trades_{uuid.uuid4().hex}").select(*_TRADE_COLS))
+
+
 @query("equity_curve", f"{Q.TRADES}, {Q.CURVE} SELECT symbol, date, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM curve")
 def equity_curve(spark, d):
     s = signals(spark, d)
@@ -437,22 +457,41 @@ def fitness_portfolio(spark, d):
     return rounded(metrics.portfolio_fitness(scores, ["tree"]))
 
 
-_GRID = [(t, v, n) for t in (-45.0, -1.0, 0.0, 0.5, 2.0, 8.0) for v in (-3.0, 0.0, 0.1, 0.9, 1.5, 9.0) for n in (9, 10)]
-_GRID_SQL = "grid(train, val, n_train) AS (VALUES " + ", ".join(f"({t}::DOUBLE, {v}::DOUBLE, {n})" for t, v, n in _GRID) + ")"
+# Formulas on the rows of each split, symbol by symbol: what a search makes of a population.
 _FINAL = "CASE WHEN n_train < 10 OR train <= -40 THEN -50e0 ELSE (0.4e0 * train + 0.6e0 * val) * (CASE WHEN train > 1e-8 THEN CASE WHEN val <= 0 THEN 0.1e0 WHEN val / (train + 1e-8) < 0.3 THEN 0.2e0 WHEN val / (train + 1e-8) < 0.6 THEN 0.6e0 ELSE 1e0 END ELSE 0.5e0 END) END"
-
-
-@query("fitness_final", f"WITH {_GRID_SQL} SELECT train, val, n_train, round({_FINAL}, 6) AS fitness FROM grid")
+_SIZE = "CASE tree " + " ".join(f"WHEN '{n}' THEN {formula.parse(text).size()}" for n, text in FORMULAS.items()) + " END"
+_TREES_SQL = f"{_FSQL[_FSQL.index('feats AS'):]}, trees AS (SELECT symbol, date, unnest([" + ", ".join(f"{{'tree': '{n}', 'signal': round({x}, 6)}}" for n, x in _FEXPR.items()) + "], recursive := true) FROM feats)"
+_TREES_SQL += f", grouped AS (SELECT s.* EXCLUDE (signal), t.signal, tree || '~' || {_SPLIT.format(op='<')} AS cell FROM signals0 s JOIN trees t USING (symbol, date))"
+_SCORES_SQL = _grouped_sql("cell", _TREES_SQL, "cell IS NOT NULL AND cell NOT LIKE '%~test'").replace(Q.ASOF, Q.WITH_INDEX)
+_SCORES_SQL = f"WITH c AS (SELECT split_part(cell, '~', 1) AS tree, split_part(cell, '~', 2) AS split, * FROM ({_SCORES_SQL})), s AS (SELECT tree, split, {Q.SINGLE.replace('0.02e0 * 3', f'0.02e0 * {_SIZE}')} AS f, n_trades FROM c), p AS (SELECT tree, split, CASE WHEN count(*) FILTER (f > -50) < 3 THEN -50 + 5e0 * count(*) FILTER (f > -50) ELSE avg(f) FILTER (f > -50) - 1.5e0 * stddev_pop(f) FILTER (f > -50) END AS fitness, sum(n_trades)::BIGINT AS n_trades FROM s GROUP BY ALL)"
+
+
+def _scores(spark, d) -> DataFrame:
+    """(tree, split, fitness, n_trades) of the six formulas over all symbols, trained and validated."""
+    sized = spark.createDataFrame([(n, formula.parse(text).size()) for n, text in FORMULAS.items()], "tree string, size int")
+    trees = F.explode(F.array(*(F.struct(F.lit(n).alias("tree"), F.round(formula.column(text), 6).alias("signal")) for n, text in FORMULAS.items()))).alias("t")
+    rows = _features(spark, d, True).select("symbol", "date", trees).select("symbol", "date", "t.tree", "t.signal")
+    rows = rows.join(signals(spark, d).drop("signal"), ["symbol", "date"]).withColumn("split", align.split(F.col("date"), *SPLITS)).where("split IN ('train', 'val')")
+    rows = written(rows, "populations")
+    by = ["tree", "split", "symbol"]
+    scored = metrics.metrics(rows, backtest.trades(rows, by), by).join(F.broadcast(sized), "tree")
+    return metrics.portfolio_fitness(scored.withColumn("fitness", metrics.single_fitness(F.col("size"))), ["tree", "split"])
+
+
+@query("fitness_final", f"{_SCORES_SQL}, t AS (SELECT tree, COALESCE(max(fitness) FILTER (split = 'train'), -50) AS train, COALESCE(max(fitness) FILTER (split = 'val'), -50) AS val, COALESCE(max(n_trades) FILTER (split = 'train'), 0)::BIGINT AS n_train FROM p GROUP BY tree) SELECT tree, round(train, 4) AS train, round(val, 4) AS val, n_train, round({_FINAL}, 4) AS fitness FROM t")
 def fitness_final(spark, d):
-    grid = spark.createDataFrame(_GRID, "train double, val double, n_train int")
-    return grid.withColumn("fitness", F.round(metrics.final_fitness(), 6))
+    """Each formula's fitness on training and validation rows, and both together."""
+    by_tree = _scores(spark, d).groupBy("tree")
+    of = lambda split, c: F.max(F.when(F.col("split") == split, F.col(c)))
+    both = by_tree.agg(F.coalesce(of("train", "fitness"), F.lit(metrics.FAILED)).alias("train"), F.coalesce(of("val", "fitness"), F.lit(metrics.FAILED)).alias("val"), F.coalesce(of("train", "n_trades"), F.lit(0)).alias("n_train"))
+    return rounded(both.withColumn("fitness", metrics.final_fitness()), 4)
 
 
-@query("gen_stats", f"WITH {_GRID_SQL}, g AS (SELECT n_train - 9 AS gen, CASE WHEN train = 8 AND val = 9 THEN -99e0 ELSE {_FINAL} END AS f FROM grid) SELECT gen, round(max(f) FILTER (f > -99), 6) AS best, round(avg(f) FILTER (f > -99), 6) AS avg, round(stddev_pop(f) FILTER (f > -99), 6) AS std, round(min(f) FILTER (f > -99), 6) AS min, (count(*) FILTER (f > -99))::INT AS n_valid, count(*)::INT AS n_total FROM g GROUP BY gen")
+@query("gen_stats", f"{_SCORES_SQL} SELECT CASE split WHEN 'train' THEN 0 ELSE 1 END AS gen, round(max(f), 4) AS best, round(avg(f), 4) AS avg, round(stddev_pop(f), 4) AS std, round(min(f), 4) AS min, count(f)::INT AS n_valid, count(*)::INT AS n_total FROM (SELECT split, CASE WHEN tree <> 'f6' OR split = 'train' THEN fitness ELSE NULL END AS f FROM p) GROUP BY ALL")
 def gen_stats(spark, d):
-    grid = spark.createDataFrame(_GRID, "train double, val double, n_train int")
-    gone = (F.col("train") == 8) & (F.col("val") == 9)
-    return rounded(metrics.generation_stats(grid.select((F.col("n_train") - 9).alias("gen"), F.when(gone, -99.0).otherwise(metrics.final_fitness()).alias("fitness"))))
+    """Statistics of the formulas' fitness, the training rows as generation 0 and the validation rows as 1; one that could not be evaluated (f6 in the second) is left out."""
+    scores = _scores(spark, d).select(F.when(F.col("split") == "train", 0).otherwise(1).alias("gen"), F.when((F.col("tree") == "f6") & (F.col("split") == "val"), -99.0).otherwise(F.col("fitness")).alias("fitness"))
+    return rounded(metrics.generation_stats(scores), 4)
 
 
 # -- regimes
@@ -541,9 +580,22 @@ def regime_state_stats(spark, d):
     return rounded(regimes.state_stats(df.withColumn("regime", regimes.label("trend"))))
 
 
+_MODELS: dict[tuple[str, str], tuple] = {}
+
+
+def _hmm(spark, d):
+    """The states' features, written once, and the models fitted to them: one fit a session for all that read it."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _MODELS:
+        df = written(regimes.state_features(fixtures.index_bars(spark, d)), "states")
+        _MODELS[key] = df, hmm.fitted(df)
+    return _MODELS[key]
+
+
 @query("hmm_labels")
 def hmm_labels(spark, d):
-    return hmm.detect(regimes.state_features(fixtures.index_bars(spark, d)))
+    df, models = _hmm(spark, d)
+    return hmm.detect(df, models=models)
 
 
 _MARKET_SQL = f"reg0 AS (SELECT symbol, date, {Q.change('close', 50)} AS trend FROM daily), grouped0 AS (SELECT g.*, CASE WHEN trend > 0.05 THEN 'BULL' WHEN trend < -0.05 THEN 'BEAR' ELSE 'FLAT' END AS market FROM signals0 g JOIN reg0 USING (symbol, date)), grouped AS (SELECT * FROM grouped0 QUALIFY count(*) OVER (PARTITION BY market) >= 100 AND count(*) OVER (PARTITION BY market, symbol) >= 50)"
@@ -582,7 +634,8 @@ def regime_backtest_by_split(spark, d):
 @query("hmm_transitions")
 def hmm_transitions(spark, d):
     """The fitted model's probabilities of a move from state to state, and the states' own statistics."""
-    return hmm.transitions(regimes.state_features(fixtures.index_bars(spark, d)))
+    df, models = _hmm(spark, d)
+    return hmm.transitions(df, models=models)
 
 
 # -- selection and search
@@ -635,7 +688,6 @@ def evolve_smoke(spark, d):
 def stream_bars(spark, d):
     import uuid
 
-    from ..session import shared_folder
     from ..streaming import ticks
 
     name = f"bars_{uuid.uuid4().hex}"
