@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .align import sanitised
@@ -30,24 +34,69 @@ def available(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
+#: Groups in which partitions' moments are merged before the driver sees them.
+MERGED = 64
+
+
+def merged(parts) -> tuple[int, np.ndarray, np.ndarray]:
+    """Counts, means and co-moments of several sets of rows as those of all, by Chan's formula: means enter by differences only."""
+    n, mean, moments = 0, None, None
+    for k, m, c in parts:
+        if mean is None:
+            n, mean, moments = k, m, c
+            continue
+        apart = m - mean
+        moments = moments + c + np.outer(apart, apart) * (n * k / (n + k))
+        mean = mean + apart * (k / (n + k))
+        n += k
+    return n, mean, moments
+
+
+def comoments(df: DataFrame, features: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and centred sums of products of the columns over all rows, in one pass.
+
+    A task keeps one matrix, groups of tasks merge theirs, and the driver the groups'. Each batch is centred by itself, so
+    digits stay whatever the means are; a column that is constant has exact zeros. Without rows the means are zero.
+    """
+    d = len(features)
+
+    def run(batches):
+        def blocks():
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.stack([np.asarray(batch.column(k), float) for k in range(d)], axis=1)
+                    low = x[0]
+                    mean = (x - low).mean(axis=0)
+                    x = x - low - mean
+                    yield len(x), low + mean, x.T @ x
+
+        n, mean, moments = merged(blocks())
+        if n:
+            values = [n], [TaskContext.get().partitionId()], [mean.tolist()], [moments.ravel().tolist()]
+            kinds = pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["n", "part", "mean", "moments"])
+
+    def merge(pdf):
+        pdf = pdf.sort_values("part")
+        n, mean, moments = merged((int(n), np.array(m), np.array(c).reshape(d, d)) for n, m, c in zip(pdf["n"], pdf["mean"], pdf["moments"], strict=True))
+        return pd.DataFrame({"n": [n], "part": [int(pdf["part"].iloc[0])], "mean": [mean], "moments": [moments.ravel()]})
+
+    schema = "n long, part int, mean array<double>, moments array<double>"
+    parts = df.select(*(F.col(f).cast("double") for f in features)).mapInArrow(run, schema)
+    rows = parts.groupBy(F.pmod("part", F.lit(MERGED))).applyInPandas(merge, schema).collect()
+    n, mean, moments = merged((r["n"], np.array(r["mean"]), np.array(r["moments"]).reshape(d, d)) for r in sorted(rows, key=lambda r: r["part"]))
+    return (n, mean, moments) if n else (0, np.zeros(d), np.zeros((d, d)))
+
+
 def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """(first, second, corr) of every pair, absolute, features as given before each other; null where one is constant.
 
-    One pass sums all products; the driver holds the matrix of the features alone. Columns are centred first, so that sums
-    of squares keep their digits.
+    One pass over the rows (see ``comoments``); the driver holds the matrix of the features alone.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    clean = sanitised(df, features).select(features)
-    means = clean.agg(*(F.avg(f).alias(f) for f in features)).first()
-    centred = clean.select(*((F.col(f) - F.lit(means[f] or 0.0)).alias(f) for f in features))
-    spark, schema = df.sparkSession, "first string, second string, corr double"
-    if clean.limit(2).count() < 2:
-        return spark.createDataFrame([(a, b, None) for j, b in enumerate(features) for a in features[:j]], schema)
-    matrix = Correlation.corr(VectorAssembler(inputCols=features, outputCol="x").transform(centred).select("x"), "x").first()[0].toArray()
-    pairs = [(a, b, abs(float(matrix[i, j]))) for j, b in enumerate(features) for i, a in enumerate(features[:j])]
-    return spark.createDataFrame([(a, b, None if c != c else c) for a, b, c in pairs], schema)
+    _, _, c = comoments(sanitised(df, features).select(features), features)
+    size = np.sqrt(np.diag(c))
+    pairs = [(a, b, abs(float(c[i, j] / size[i] / size[j])) if size[i] and size[j] else None) for j, b in enumerate(features) for i, a in enumerate(features[:j])]
+    return df.sparkSession.createDataFrame(pairs, "first string, second string, corr double")
 
 
 def pruned(pairs: list[tuple[str, str, float]], features: list[str], threshold: float = THRESHOLD) -> list[str]:

@@ -641,13 +641,13 @@ def hmm_transitions(spark, d):
 # -- selection and search
 
 _PAIRS = [(a, b) for j, b in enumerate(selection.CANDIDATES) for a in selection.CANDIDATES[:j]]
-_CORR_SQL = f"{_INDEXED}, c AS (SELECT " + ", ".join(f"COALESCE({_DATASET[n]}, 0) AS {n}" for n in selection.CANDIDATES) + " FROM moved), pairs AS (SELECT unnest([" + ", ".join(f"{{'first': '{a}', 'second': '{b}', 'corr': abs(corr({a}, {b}))}}" for a, b in _PAIRS) + "], recursive := true) FROM c)"
+_CORR_SQL = f"{_INDEXED}, c AS (SELECT " + ", ".join(f"COALESCE({_DATASET[n]}, 0) AS {n}" for n in selection.CANDIDATES) + f" FROM moved QUALIFY date <= '{SPLITS[0]}'), pairs AS (SELECT unnest([" + ", ".join(f"{{'first': '{a}', 'second': '{b}', 'corr': abs(corr({a}, {b}))}}" for a, b in _PAIRS) + "], recursive := true) FROM c)"
 
 
 @query("corr_pairs", f"{_CORR_SQL} SELECT first, second, round(corr, 6) AS corr FROM pairs")
 def corr_pairs(spark, d):
-    """All pairs of the candidate features."""
-    return rounded(selection.correlations(_features(spark, d, True), list(selection.CANDIDATES)))
+    """All pairs of the candidate features, on the training rows."""
+    return rounded(selection.correlations(_trained(spark, d), list(selection.CANDIDATES)))
 
 
 _AT = "list_position([" + ", ".join(f"'{f}'" for f in selection.CANDIDATES) + "], {})"
@@ -655,12 +655,16 @@ _AT = "list_position([" + ", ".join(f"'{f}'" for f in selection.CANDIDATES) + "]
 
 @query("corr_prune", f"WITH RECURSIVE {_CORR_SQL[5:]}, ranked AS MATERIALIZED (SELECT first, second, row_number() OVER (ORDER BY corr DESC, {_AT.format('second')}, {_AT.format('first')}) AS i FROM pairs WHERE corr > {selection.THRESHOLD}), walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone UNION ALL SELECT r.i, CASE WHEN list_contains(gone, first) OR list_contains(gone, second) THEN gone ELSE list_append(gone, second) END FROM walk w JOIN ranked r ON r.i = w.i + 1) SELECT feature FROM (SELECT unnest([" + ", ".join(f"'{f}'" for f in selection.CANDIDATES) + "]) AS feature), (SELECT arg_max(gone, i) AS gone FROM walk) WHERE NOT list_contains(gone, feature)")
 def corr_prune(spark, d):
-    pairs = [tuple(r) for r in selection.correlations(_features(spark, d, True), list(selection.CANDIDATES)).collect()]
+    pairs = [tuple(r) for r in selection.correlations(_trained(spark, d), list(selection.CANDIDATES)).collect()]
     return spark.createDataFrame([(f,) for f in selection.pruned(pairs, list(selection.CANDIDATES))], "feature string")
 
 
+def _trained(spark, d):
+    return _features(spark, d, True).where(F.col("date") <= F.lit(SPLITS[0]).cast("date"))
+
+
 def _train(spark, d):
-    return features.forward_target(_features(spark, d, True).where(F.col("date") <= F.lit(SPLITS[0]).cast("date")))
+    return features.forward_target(_trained(spark, d))
 
 
 @query("rf_importance")

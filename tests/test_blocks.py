@@ -182,3 +182,35 @@ def test_fills_take_time_in_proportion_to_rows(spark):
 
     took(1000)
     assert took(160_000) < 15
+
+
+# Co-moments
+
+
+def test_comoments_merge_to_those_of_all_rows(spark):
+    from barweave.operators import selection
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5000, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1e-3]]) + np.array([1e6, -3.0, 1e3])
+    frame = pd.DataFrame(x, columns=list("abc")).assign(same=0.1)
+    df = spark.createDataFrame(frame).repartition(7)
+    n, mean, c = selection.comoments(df, ["a", "b", "c", "same"])
+    assert n == 5000 and np.allclose(mean[:3], x.mean(axis=0), rtol=1e-14)
+    want = np.cov(x.T) * 4999
+    assert np.abs(c[:3, :3] / want - 1).max() < 1e-9 and (c[3] == 0).all()
+    pairs = {(r["first"], r["second"]): r["corr"] for r in selection.correlations(df, ["a", "b", "c", "same"]).collect()}
+    assert abs(pairs["a", "b"] - abs(np.corrcoef(x.T)[0, 1])) < 1e-9 and pairs["a", "same"] is None and len(pairs) == 6
+    empty = selection.correlations(df.where("a < 0"), ["a", "b"]).collect()
+    assert [tuple(r) for r in empty] == [("a", "b", None)]
+    assert selection.comoments(df.where("a < 0"), ["a"])[0] == 0
+
+
+def test_selection_as_a_whole(spark):
+    from barweave.operators import selection
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(3000, 4))
+    frame = pd.DataFrame({"ret_1d": base[:, 0], "mom_20": base[:, 0] + 1e-3 * base[:, 1], "body": base[:, 2], "vol_20d": base[:, 3], "target": base[:, 2] + 0.1 * base[:, 1]})
+    chosen = selection.select(spark.createDataFrame(frame), top=1, trees=10)
+    assert chosen[0] == "body" and "mom_20" not in chosen and set(chosen) == {"body", "ret_1d", "vol_20d"}
+    assert selection.covered([("a", 3.0), ("b", 2.0), ("c", 1.0)], 1, {"x": ("b", "c"), "y": ("a",), "z": ("none",)}) == ["a", "b"]
