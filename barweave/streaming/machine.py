@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.backtest import TRADE, Machine, Rules
+from . import ticks
 
 #: A bar that waits for the watermark to pass it; without a close it ends the series.
 BAR = "at long, signal double, close double, open double, regime int"
@@ -76,14 +77,12 @@ def stream_trades(bars: DataFrame, rules: Rules = Rules(), late: str = "0 second
 
 
 def drained(out: DataFrame, folder: str, checkpoint: str) -> None:
-    """Run a stream over what is there now; each batch has a folder of its own, so a batch that is run again replaces itself."""
+    """As ``ticks.appended``, with the state store that keyed state needs."""
     spark = out.sparkSession
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        write = lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
-        query = out.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
+        ticks.appended(out, folder, checkpoint)
     finally:
         if old is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

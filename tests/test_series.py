@@ -99,14 +99,36 @@ def test_streams_read_files_and_folders(spark, tmp_path):
     from barweave.streaming import ticks
 
     events = spark.createDataFrame([(i, "click", f"2024-01-01 0{i % 3}:00:00", float(i)) for i in range(9)], "event_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.union(spark.createDataFrame([(99, "end", "2024-01-02 00:00:00", None)], "event_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")))
     events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     (tmp_path / "one").mkdir()
     events.toPandas().to_parquet(tmp_path / "one" / "events.parquet", coerce_timestamps="us", index=False)
     for k, path in enumerate((tmp_path / "events.parquet", tmp_path / "one" / "events.parquet")):
-        bars = ticks.drained(ticks.stream_bars(ticks.tick_stream(spark, str(path))), f"t{k}", str(tmp_path / f"c{k}"))
+        bars = ticks.appended(ticks.stream_bars(ticks.tick_stream(spark, str(path))), str(tmp_path / f"b{k}"), str(tmp_path / f"c{k}"))
         assert bars.agg(F.count("*"), F.sum("n")).first() == (3, 9)
 
 
+def test_stream_counts_late_ticks_within_the_watermark_once(spark, tmp_path):
+    from barweave.streaming import ticks
+
+    def arrive(*rows):
+        df = spark.createDataFrame([(i, "click", f"2024-01-01 {at}", float(i)) for i, at in rows], "event_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = ticks.appended(ticks.stream_bars(ticks.tick_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "c"))
+        return sorted((str(r["bar"])[11:16], r["open"], r["close"], r["n"]) for r in out.collect())
+
+    assert arrive((1, "00:10:00"), (2, "01:05:00")) == []  # ten minutes before the latest tick the first hour is not over
+    assert arrive((3, "00:57:00")) == []  # late, but within the watermark
+    assert arrive((4, "01:20:00")) == [("00:00", 1.0, 3.0, 2)]
+    assert arrive((5, "00:59:00"), (6, "02:30:00")) == [("00:00", 1.0, 3.0, 2), ("01:00", 2.0, 4.0, 2)]  # the first is too late
+    # A batch that is run again replaces what it has written.
+    again = spark.read.parquet(str(tmp_path / "out"))
+    batch = again.agg(F.max("batch")).first()[0]
+    spark.read.parquet(str(tmp_path / "out" / f"batch={batch}")).write.mode("overwrite").parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={batch}"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def test_fill_stays_within_symbols_unless_asked(spark):
     df = spark.createDataFrame([("A", 1, 1.0), ("B", 1, None), ("B", 2, 3.0)], "symbol string, date int, x double")
     assert [r["x"] for r in align.filled(df, "x", "date", ["symbol"]).orderBy("symbol", "date").collect()] == [1.0, 3.0, 3.0]
