@@ -11,7 +11,7 @@ from ..config import Config
 from ..functions import rolling, safe
 from ..operators import align, backtest, bars as B, blocks, evolve, features, formula, hmm, metrics, regimes, selection
 from ..session import shared_folder, written
-from ..sources import bars as S, fixtures
+from ..sources import bars as S, fixtures, sinks
 from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,7 +318,12 @@ def signal_diversity(spark, d):
 
 def signals(spark, d) -> DataFrame:
     """Bars with a signal of the first formula and a regime of the index against its mean; both rounded before they decide."""
-    df = align.asof(features.base(fixtures.daily_bars(spark, d)), fixtures.index_bars(spark, d), "date", "close", "index_close")
+    return signals_of(align.asof(fixtures.daily_bars(spark, d), fixtures.index_bars(spark, d), "date", "close", "index_close"))
+
+
+def signals_of(bars: DataFrame) -> DataFrame:
+    """The same of bars that have the index's close."""
+    df = features.base(bars)
     df = df.withColumns({"rsi_7": rolling.rsi("__gain", "__loss", 7), "index_mean": F.avg("index_close").over(rolling.rows(50))})
     regime = F.when(F.round("index_close", 4) >= F.round("index_mean", 4), 1).otherwise(-1)
     return df.select("symbol", "date", "open", "close", F.round(formula.column(FORMULAS["f1"]), 6).alias("signal"), regime.alias("regime"))
@@ -346,6 +351,21 @@ def backtest_blocks(spark, d):
     return rounded(blocks.trades(signals(spark, d), rows=BLOCK_ROWS).select(*_TRADE_COLS))
 
 
+def bucketed_bars(spark, d) -> DataFrame:
+    """Bars with the index's close as a catalogue table in buckets of symbols."""
+    import uuid
+
+    name = f"bars_{uuid.uuid4().hex}"
+    aligned = align.asof(fixtures.daily_bars(spark, d), fixtures.index_bars(spark, d), "date", "close", "index_close")
+    return sinks.save_bucketed(aligned, name, f"{shared_folder(spark)}/{name}")
+
+
+@query("backtest_trades_bucketed", f"{Q.TRADES} {_TRADE_SQL}")
+def backtest_bucketed(spark, d):
+    """The same trades from a stored table in buckets: from there on without an exchange."""
+    return rounded(backtest.trades(signals_of(bucketed_bars(spark, d))).select(*_TRADE_COLS))
+
+
 @query("stream_trades", f"{Q.TRADES} {_TRADE_SQL}")
 def stream_trades(spark, d):
     """The same trades from a stream of bars in three batches, stopped and restarted after each."""

@@ -214,3 +214,41 @@ def test_selection_as_a_whole(spark):
     chosen = selection.select(spark.createDataFrame(frame), top=1, trees=10)
     assert chosen[0] == "body" and "mom_20" not in chosen and set(chosen) == {"body", "ret_1d", "vol_20d"}
     assert selection.covered([("a", 3.0), ("b", 2.0), ("c", 1.0)], 1, {"x": ("b", "c"), "y": ("a",), "z": ("none",)}) == ["a", "b"]
+
+
+# Catalogue tables
+
+
+def test_trades_of_a_bucketed_table_need_no_exchange(spark):
+    from barweave.operators import metrics
+    from barweave.plans import catalog
+    from barweave.sources import sinks
+    from tests.oracle import DATA
+
+    table = catalog.bucketed_bars(spark, DATA)
+    signals = catalog.signals_of(table)
+    found = backtest.trades(signals)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroupsInPandas" in plan and "Window" in plan
+    curve = metrics.equity(signals, found)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in curve or curve.count("Exchange hashpartitioning") < backtest_exchanges(spark, catalog, DATA)
+    name = next(t for t in sinks.tables(spark) if t.startswith("bars_"))
+    sinks.drop_table(spark, name)
+    assert name not in sinks.tables(spark)
+
+
+def backtest_exchanges(spark, catalog, data):
+    from barweave.operators import metrics
+
+    s = catalog.signals(spark, data)
+    return metrics.equity(s, backtest.trades(s))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_bucketed_tables_are_replaced(spark, tmp_path):
+    from barweave.sources import sinks
+
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "symbol string, date int")
+    for rows in (df, df.where("date = 2")):
+        table = sinks.save_bucketed(rows, "some_bars", str(tmp_path / "t"), buckets=3)
+    assert [tuple(r) for r in table.collect()] == [("b", 2)] and "some_bars" in sinks.tables(spark)
+    sinks.drop_table(spark, "some_bars")
