@@ -24,6 +24,38 @@ def roll(agg, x: str, n: int, on: str = ON) -> Column:
     return F.when(F.count(x).over(w) == n, agg(F.col(x)).over(w))
 
 
+def with_extremes(df: DataFrame, wanted: dict[str, tuple[str, str, int]], on: str = ON) -> DataFrame:
+    """Columns ``{name: ("max" or "min", column, rows)}`` of the last rows, as by ``roll``; each row is looked at a fixed
+    number of times, however long the frame.
+
+    A frame of n rows reaches over one border of blocks of n rows at most: its extreme is that of the end of the block
+    before and of the start of its own. Best for long frames: each length costs two sorts within symbols.
+    """
+    w, temporary = along(on), []
+
+    def add(name: str, column: Column) -> str:
+        nonlocal df
+        df = df.withColumn(name, column)
+        temporary.append(name)
+        return name
+
+    row = add("__row", F.row_number().over(w))
+    upto = {x: add(f"__n_{x}", F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0))) for x in dict.fromkeys(x for _, x, _ in wanted.values())}
+    for n in dict.fromkeys(n for _, _, n in wanted.values()):
+        block = add(f"__block_{n}", F.floor((F.col(row) - 1) / n))
+        for way, order in (("start", F.asc(row)), ("end", F.desc(row))):
+            frame = Window.partitionBy(BY, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            for name, (kind, x, m) in wanted.items():
+                if m == n:
+                    add(f"__{way}_{name}", (F.max if kind == "max" else F.min)(x).over(frame))
+    out = {}
+    for name, (kind, x, n) in wanted.items():
+        full = F.col(upto[x]) - F.coalesce(F.lag(upto[x], n).over(w), F.lit(0)) == n
+        ends = F.lag(f"__end_{name}", n - 1).over(w), F.col(f"__start_{name}")
+        out[name] = F.when(full, (F.greatest if kind == "max" else F.least)(*ends))
+    return df.withColumns(out).drop(*temporary)
+
+
 def mean(x: str, n: int, on: str = ON) -> Column:
     return roll(F.avg, x, n, on)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.rolling import EPS, along, change, mean, roll, rsi, std, with_ema
+from ..functions.rolling import EPS, along, change, mean, roll, rsi, std, with_ema, with_extremes
 from .align import asof, exact_filled, gated
 
 INDEX_FEATURES = ("index_ret_1d", "index_ret_5d", "index_ret_20d", "index_vs_sma20", "index_rsi14", "rel_strength")
@@ -53,10 +53,11 @@ def daily_features(bars: DataFrame, index: DataFrame | None = None) -> DataFrame
         "vol_sma20": mean("__volume", 20),
         "__vol_ret": F.when((last_volume == 0) & (v > 0), 5.0).otherwise(F.try_divide(v, last_volume) - 1),
         **{f"mom_{k}": c / (F.lag("close", k).over(w) + EPS) - 1 for k in (5, 10, 20)},
-        "high_20d": roll(F.max, "high", 20), "low_20d": roll(F.min, "low", 20), "high_52w": roll(F.max, "high", 252), "low_52w": roll(F.min, "low", 252),
+        "high_20d": roll(F.max, "high", 20), "low_20d": roll(F.min, "low", 20),
         "vol_20d": std("ret_1d", 20), "vol_60d": std("ret_1d", 60),
         "body": (c - o) / (o + EPS), "upper_wick": (h - F.greatest(c, o)) / (c + EPS), "lower_wick": (F.least(c, o) - low) / (c + EPS),
     })
+    df = with_extremes(df, {"high_52w": ("max", "high", 252), "low_52w": ("min", "low", 252)})
     df = df.withColumns({
         "vol_ratio": v / (F.col("vol_sma20") + EPS),
         "vol_ret": F.when(F.col("__vol_ret").isNotNull(), F.greatest(F.lit(-5.0), F.least(F.lit(5.0), F.col("__vol_ret")))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.rolling import EPS, change, mean, roll, smooth, std
+from ..functions.rolling import EPS, change, mean, smooth, std, with_extremes
 from .align import filled
 
 #: Labels, and the order in which ties are decided.
@@ -45,7 +45,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def state_features(index: DataFrame) -> DataFrame:
     """What regimes are learned from: returns, volatilities, trend and drawdown of closes; rows with any null go."""
     df = index.withColumns({f"ret_{k}d": change("close", k) for k in (1, 5, 20)})
-    df = df.withColumns({**{f"vol_{n}d": std("ret_1d", n) for n in (5, 20, 60)}, "sma50": mean("close", 50), "sma200": mean("close", 200), "high_52w": roll(F.max, "close", 252)})
+    df = df.withColumns({**{f"vol_{n}d": std("ret_1d", n) for n in (5, 20, 60)}, "sma50": mean("close", 50), "sma200": mean("close", 200)})
+    df = with_extremes(df, {"high_52w": ("max", "close", 252)})
     df = df.withColumns({"trend": (F.col("close") - F.col("sma50")) / (F.col("sma50") + EPS), "drawdown": (F.col("close") - F.col("high_52w")) / (F.col("high_52w") + EPS)})
     return df.dropna()
 

@@ -252,3 +252,19 @@ def test_bucketed_tables_are_replaced(spark, tmp_path):
         table = sinks.save_bucketed(rows, "some_bars", str(tmp_path / "t"), buckets=3)
     assert [tuple(r) for r in table.collect()] == [("b", 2)] and "some_bars" in sinks.tables(spark)
     sinks.drop_table(spark, "some_bars")
+
+
+# Sliding extremes
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40, 500])
+def test_extremes_by_blocks_equal_frames(spark, n):
+    from barweave.functions.rolling import roll, with_extremes
+
+    rng = np.random.default_rng(n)
+    frame = pd.DataFrame({"symbol": rng.choice(list("abc"), 600), "date": np.arange(600), "x": rng.normal(size=600), "y": rng.integers(0, 5, 600).astype(float), "kept": 1})
+    df = spark.createDataFrame(frame).withColumn("x", F.when(F.rand(2) < 0.97, F.col("x")))
+    df = df.withColumns({"high": roll(F.max, "x", n), "low": roll(F.min, "y", n)})
+    both = with_extremes(df, {"h": ("max", "x", n), "k": ("min", "y", n), "one": ("max", "y", 3)})
+    assert both.columns == [*df.columns, "h", "k", "one"]
+    assert both.where("NOT (high <=> h AND low <=> k)").count() == 0 and both.where("one IS NULL").count() == 6
