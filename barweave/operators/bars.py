@@ -41,3 +41,14 @@ def runs(df: DataFrame, label: str, on: str, by: list[str]) -> DataFrame:
     new = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & F.lag(on).over(w).isNotNull(), 0).otherwise(1)
     marked = df.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*by, "__run", label).agg(F.min(on).alias("start"), F.max(on).alias("end"), F.count("*").alias("n")).drop("__run")
+
+
+def max_row(df: DataFrame, value: str, where: Column, by: list[str], on: str = "date") -> DataFrame:
+    """Of each group the row with the greatest value among those that ``where`` holds for; of equal ones the first in time.
+
+    Groups without such a row, or with nulls only, have none. One pass, combined before the shuffle.
+    """
+    rest = [c for c in df.columns if c not in by]
+    order = F.struct(F.col(value), (-F.unix_date(on) if df.schema[on].dataType.typeName() == "date" else -F.col(on)).alias("first"))
+    best = df.where(where & F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("row"))
+    return best.select(*by, *(F.col(f"row.{c}").alias(c) for c in rest))

@@ -313,6 +313,13 @@ def signal_diversity(spark, d):
     return rounded(formula.diverse(df, "ret_5d", rows=2**31 - 1))
 
 
+@query("max_row", f"WITH {Q.DAILY}, {Q.BASE} SELECT symbol, date, round(ret_5d, 6) AS ret_5d, round(base.close, 6) AS close, volume FROM base WHERE base.close > base.open AND volume >= 20 AND ret_5d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ret_5d DESC, date) = 1")
+def max_row(spark, d):
+    """Each symbol's best five days among those that end with a gain on some volume."""
+    df = features.base(fixtures.daily_bars(spark, d)).select("symbol", "date", "open", "close", "volume", "ret_5d")
+    return rounded(B.max_row(df, "ret_5d", (F.col("close") > F.col("open")) & (F.col("volume") >= 20), ["symbol"]).drop("open"))
+
+
 # -- backtest
 
 

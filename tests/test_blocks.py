@@ -268,3 +268,10 @@ def test_extremes_by_blocks_equal_frames(spark, n):
     both = with_extremes(df, {"h": ("max", "x", n), "k": ("min", "y", n), "one": ("max", "y", 3)})
     assert both.columns == [*df.columns, "h", "k", "one"]
     assert both.where("NOT (high <=> h AND low <=> k)").count() == 0 and both.where("one IS NULL").count() == 6
+
+
+def test_max_row_with_a_filter(spark):
+    from barweave.operators import bars as B
+
+    df = spark.createDataFrame([("a", 1, 5.0, True), ("a", 2, 7.0, False), ("a", 3, 5.0, True), ("b", 1, None, True), ("c", 1, 1.0, False)], "symbol string, date int, x double, ok boolean")
+    assert [tuple(r) for r in B.max_row(df, "x", F.col("ok"), ["symbol"]).collect()] == [("a", 1, 5.0, True)]
