@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
 from ..functions import rolling, safe
-from ..operators import align, backtest, bars as B, blocks, evolve, features, formula, hmm, metrics, regimes, selection
+from ..operators import align, backtest, bars as B, blocks, evolve, features, formula, halo, hmm, metrics, regimes, selection
 from ..session import shared_folder, written
 from ..sources import bars as S, fixtures, sinks
 from . import sql as Q
@@ -194,14 +194,32 @@ _INDEXED = f"WITH {Q.DAILY}, {Q.INDEX}, {Q.BASE}, {Q.WITH_INDEX}"
 _FINITE = ("pct_from_high52w", "pct_from_low52w", "high_52w", "low_52w")
 
 
-@query("feature_dataset", f"{_INDEXED}, f AS (SELECT symbol, date, open, high, low, close, volume, {Q.roll('avg', 'close', 200)} AS warm, " + ", ".join(f"round({'COALESCE((' + x + '), 0)' if c in _FINITE else x}, 6) AS {c}" for c, x in _DATASET.items()) + " FROM moved) SELECT * EXCLUDE (warm, open, high, low, close), round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN date <= '1998-12-31' THEN 'train' WHEN date >= '1999-01-01' AND date <= '1999-12-31' THEN 'val' WHEN date >= '2000-01-01' THEN 'test' END AS split FROM f WHERE warm IS NOT NULL AND rsi_14 IS NOT NULL AND atr_14 IS NOT NULL")
+_DATASET_SQL = f"{_INDEXED}, f AS (SELECT symbol, date, open, high, low, close, volume, {Q.roll('avg', 'close', 200)} AS warm, " + ", ".join(f"round({'COALESCE((' + x + '), 0)' if c in _FINITE else x}, 6) AS {c}" for c, x in _DATASET.items()) + " FROM moved) SELECT * EXCLUDE (warm, open, high, low, close), round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN date <= '1998-12-31' THEN 'train' WHEN date >= '1999-01-01' AND date <= '1999-12-31' THEN 'val' WHEN date >= '2000-01-01' THEN 'test' END AS split FROM f WHERE warm IS NOT NULL AND rsi_14 IS NOT NULL AND atr_14 IS NOT NULL"
+
+
+@query("feature_dataset", _DATASET_SQL)
 def feature_dataset(spark, d):
     """The whole dataset: bars, 54 features, split."""
-    df = align.sanitised(features.warm(_features(spark, d, True)), list(_FINITE))
+    return _dataset(_features(spark, d, True))
+
+
+def _dataset(df: DataFrame) -> DataFrame:
+    df = align.sanitised(features.warm(df), list(_FINITE))
     df = df.withColumn("split", align.split(F.col("date"), *SPLITS, val_end_included=True))
     return rounded(df.select("symbol", "date", *S.PRICES, "volume", *_DATASET, "split"))
 
 
+#: Rows of a block of windows in the query: few, so that the smallest table has several to a symbol.
+HALO_ROWS = 700
+
+
+@query("feature_dataset_blocks", _DATASET_SQL)
+def feature_dataset_blocks(spark, d):
+    """The same dataset from blocks of rows, several to a symbol, each with the rows before it that it reaches back to."""
+    index = fixtures.index_bars(spark, d)
+    return _dataset(halo.over_blocks(fixtures.daily_bars(spark, d), lambda bars: features.daily_features(bars, index), rows=HALO_ROWS))
+
+
 @query("regime_of_features", f"{_INDEXED}, f AS (SELECT symbol, date, {Q.INDEX_FEATURES['index_vs_sma20']} AS x FROM moved) SELECT symbol, date, CASE WHEN COALESCE(round(x, 9), 0) >= 0 THEN 1 ELSE -1 END AS regime FROM f")
 def regime_of_features(spark, d):
     """The side that trades may take by the index in the feature table."""
