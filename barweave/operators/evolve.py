@@ -2,8 +2,9 @@
 
 The data are prepared once: one row for each (symbol, split) with its series as arrays. A generation's job sends the
 population, which is bounded by its size times the nodes of a tree, to these rows, and each evaluates its share of the
-formulas. Known formulas are not evaluated again. A checkpoint holds all that the search knows, so that it goes on from
-there as if it had not stopped.
+formulas as one graph, so that what formulas have in common is computed once. Known formulas, or such as differ from
+them only in the order of commutative arguments, are not evaluated again. A checkpoint holds all that the search knows,
+so that it goes on from there as if it had not stopped.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from . import backtest, formula, metrics
 from .formula import CONSTANTS, OPS, Node
 
 
+#: Shares of a population, each of them a task on each series.
+CHUNKS = 8
+
+
 def constant(rng: random.Random) -> Node:
     return Node(f"{rng.uniform(-1, 1):.4f}")
 
@@ -111,28 +116,36 @@ def prepare(data: DataFrame, features: list[str]) -> DataFrame:
     return data.sparkSession.read.parquet(path)
 
 
-def evaluate(series: DataFrame, trees: list[Node], features: list[str], chunks: int = 8, rules: backtest.Rules = backtest.Rules()) -> DataFrame:
+def dealt(trees: list[Node], chunks: int = CHUNKS) -> list[list[Node]]:
+    """Distinct formulas in about equal shares; neighbours in order of their normal form are together, as they have more in common."""
+    distinct = sorted({str(t): t for t in trees}.values(), key=lambda t: (str(formula.normal(t)), str(t)))
+    chunks = min(chunks, len(distinct)) or 1
+    at = [len(distinct) * k // chunks for k in range(chunks + 1)]
+    return [distinct[a:b] for a, b in zip(at, at[1:])]
+
+
+def evaluate(series: DataFrame, trees: list[Node], features: list[str], chunks: int = CHUNKS, rules: backtest.Rules = backtest.Rules()) -> DataFrame:
     """(tree, fitness) of formulas over the series of ``prepare``; errors surface."""
     spark = series.sparkSession
-    texts = sorted({str(t) for t in trees})
-    shared = spark.sparkContext.broadcast(texts)  # population x nodes at most
+    shares = dealt(trees, chunks)
+    shared = spark.sparkContext.broadcast([[str(t) for t in share] for share in shares])  # population x nodes at most
     names = [x.split()[0] for x in backtest.TRADE.split(", ")]
-    chunks = min(chunks, len(texts)) or 1
+    chunks = len(shares)
 
     def run(frames):
         for frame in frames:
             for x in frame.to_dict("records"):
                 arrays = {f: np.asarray(x[f], float) for f in features}
                 close, opens, regime = (np.asarray(x[c]) for c in ("close", "open", "regime"))
-                out = []
-                for text in shared.value[x["chunk"] :: chunks]:
-                    tree = formula.parse(text)
-                    found = backtest.run(formula.evaluate(tree, arrays, len(close)), close, regime, opens, rules)
-                    out.append((x["symbol"], x["split"], text, tree.size(), *summary(found, len(close), names)))
+                out, texts = [], shared.value[x["chunk"]]
+                trees = [formula.parse(t) for t in texts]
+                for which, signal in formula.Graph(trees).signals(arrays, len(close)):
+                    found = summary(backtest.run(signal, close, regime, opens, rules), len(close), names)
+                    out += [(x["symbol"], x["split"], texts[i], trees[i].size(), *found) for i in which]
                 yield pd.DataFrame(out, columns=["symbol", "split", "tree", "size", *METRICS])
 
-    shares = series.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("symbol", "split", "chunk")
-    scored = shares.mapInPandas(run, "symbol string, split string, tree string, size int, " + ", ".join(f"{m} {'int' if m == 'n_trades' else 'double'}" for m in METRICS))
+    work = series.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("symbol", "split", "chunk")
+    scored = work.mapInPandas(run, "symbol string, split string, tree string, size int, " + ", ".join(f"{m} {'int' if m == 'n_trades' else 'double'}" for m in METRICS))
     scored = scored.withColumn("fitness", metrics.single_fitness(F.col("size")))
     by_split = metrics.portfolio_fitness(scored, ["tree", "split"])
     both = by_split.groupBy("tree").pivot("split", ["train", "val"]).agg(F.first("fitness").alias("f"), F.first("n_trades").alias("n"))
@@ -173,6 +186,8 @@ SAVED, CLONES = 5, 10
 def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str] = (), hall: int = 10, checkpoint: str | None = None, resume: bool = False, model: str | None = None) -> Result:
     """Search over rows (symbol, split, date, open, close, regime, features); statistics of each generation come along.
 
+    Among them are the ``nodes`` of the formulas evaluated, and how many of them the graphs leave to be ``evaluated``.
+
     A population starts with the ``seeds``, then a saved ``model`` and ``CLONES`` mutated clones of it; seeds that name
     unknown features raise. A ``checkpoint`` folder gets all of the search every ``SAVED`` generations; with ``resume`` it
     goes on from the last of them, if there is one, with the same result as without a stop.
@@ -197,14 +212,17 @@ def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str
     series = prepare(data, features)
     for gen in range(begin, config.generations):
         began = time.time()
-        new = [t for t in population if str(t) not in known]
+        forms = {t: str(formula.normal(t)) for t in population}
+        new = [t for t in population if forms[t] not in known]
+        shares = dealt(new)
         if new:
-            known |= {r["tree"]: r["fitness"] for r in evaluate(series, new, features).collect()}
-        ranked = [(t, known[str(t)]) for t in population]
+            found = {r["tree"]: r["fitness"] for r in evaluate(series, new, features).collect()}
+            known |= {forms[t]: found[str(t)] for t in new}
+        ranked = [(t, known[forms[t]]) for t in population]
         best = {str(t): (t, f) for t, f in [*result.best, *ranked]}
         result.best = sorted(best.values(), key=lambda p: (-p[1], str(p[0])))[: max(hall, config.elite)]
         values = np.array([f for _, f in ranked if f > -99])
-        result.stats.append({"gen": gen, "best": float(values.max()), "avg": float(values.mean()), "std": float(values.std()), "min": float(values.min()), "n_valid": len(values), "n_total": len(ranked), "elapsed_s": time.time() - began})
+        result.stats.append({"gen": gen, "best": float(values.max()), "avg": float(values.mean()), "std": float(values.std()), "min": float(values.min()), "n_valid": len(values), "n_total": len(ranked), "nodes": sum(t.size() for share in shares for t in share), "evaluated": sum(len(formula.Graph(share)) for share in shares), "elapsed_s": time.time() - began})
         ends = stop.update(result.best[0][1])
         if checkpoint and gen % SAVED == SAVED - 1:
             save(spark, checkpoint, gen, ranked, known, stop, result, rng)

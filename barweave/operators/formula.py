@@ -147,6 +147,69 @@ def evaluate(tree: Node, features: dict[str, np.ndarray], n: int) -> np.ndarray:
         return np.full(n, value) if value is not None else _finite(features[tree.name].astype(np.float64))
 
 
+#: Operators whose arguments may change places.
+COMMUTATIVE = frozenset({"add", "mul", "max", "min"})
+
+
+def normal(tree: Node) -> Node:
+    """The tree with arguments of commutative operators in order, and numbers by value: equal for formulas that differ in that alone.
+
+    It has the size of the tree, and the same signal.
+    """
+    value = tree.number()
+    if value is not None:
+        return Node(repr(value))
+    args = tuple(normal(a) for a in tree.args)
+    return Node(tree.name, tuple(sorted(args, key=str)) if tree.name in COMMUTATIVE else args)
+
+
+class Graph:
+    """Formulas as one graph, in which each distinct subtree is one node, however many formulas hold it.
+
+    Nodes come after their arguments; trees that are equal but for the order of commutative arguments have one root.
+    """
+
+    def __init__(self, trees: list[Node]):
+        self._ids: dict[tuple, int] = {}
+        self.nodes: list[tuple[Node, tuple[int, ...]]] = []
+        self.roots: dict[int, list[int]] = {}
+        for i, tree in enumerate(trees):
+            self.roots.setdefault(self._add(tree), []).append(i)
+        self._uses = [0] * len(self.nodes)
+        for _, args in self.nodes:
+            for a in args:
+                self._uses[a] += 1
+
+    def _add(self, tree: Node) -> int:
+        args = tuple(self._add(a) for a in tree.args)
+        if tree.name in COMMUTATIVE:
+            args = tuple(sorted(args))
+        value = tree.number()
+        key = (tree.name, args) if value is None else (repr(value), None)
+        if key not in self._ids:
+            self._ids[key] = len(self.nodes)
+            self.nodes.append((tree, args))
+        return self._ids[key]
+
+    def __len__(self) -> int:
+        return len(self.nodes)
+
+    def signals(self, features: dict[str, np.ndarray], n: int) -> Iterator[tuple[list[int], np.ndarray]]:
+        """(numbers of the trees, their signal over n rows), root by root: each node is computed once and kept until its last use."""
+        left, values = list(self._uses), {}
+        for i, (tree, args) in enumerate(self.nodes):
+            with np.errstate(all="ignore"):
+                values[i] = _finite(OPS[tree.name].array(*(values[a] for a in args))) if args else evaluate(tree, features, n)
+            if i in self.roots:
+                yield self.roots[i], values[i]
+            for a in args:
+                left[a] -= 1
+                if not left[a]:
+                    values.pop(a, None)
+            if not left[i]:
+                del values[i]
+
+
 def infix(tree: Node | str) -> str:
     tree = parse(tree) if isinstance(tree, str) else tree
     return OPS[tree.name].infix.format(*map(infix, tree.args)) if tree.args else tree.name
