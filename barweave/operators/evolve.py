@@ -183,13 +183,13 @@ class Result:
 SAVED, CLONES = 5, 10
 
 
-def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str] = (), hall: int = 10, checkpoint: str | None = None, resume: bool = False, model: str | None = None) -> Result:
+def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str] = (), hall: int = 10, checkpoint: str | None = None, resume: bool = False, model: str | None = None, every: int | None = None) -> Result:
     """Search over rows (symbol, split, date, open, close, regime, features); statistics of each generation come along.
 
     Among them are the ``nodes`` of the formulas evaluated, and how many of them the graphs leave to be ``evaluated``.
 
     A population starts with the ``seeds``, then a saved ``model`` and ``CLONES`` mutated clones of it; seeds that name
-    unknown features raise. A ``checkpoint`` folder gets all of the search every ``SAVED`` generations; with ``resume`` it
+    unknown features raise. A ``checkpoint`` folder gets all of the search ``every`` so many generations (``SAVED``); with ``resume`` it
     goes on from the last of them, if there is one, with the same result as without a stop.
     """
     config.validate()
@@ -224,7 +224,7 @@ def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str
         values = np.array([f for _, f in ranked if f > -99])
         result.stats.append({"gen": gen, "best": float(values.max()), "avg": float(values.mean()), "std": float(values.std()), "min": float(values.min()), "n_valid": len(values), "n_total": len(ranked), "nodes": sum(t.size() for share in shares for t in share), "evaluated": sum(len(formula.Graph(share)) for share in shares), "elapsed_s": time.time() - began})
         ends = stop.update(result.best[0][1])
-        if checkpoint and gen % SAVED == SAVED - 1:
+        if checkpoint and (gen + 1) % (every or SAVED) == 0:
             save(spark, checkpoint, gen, ranked, known, stop, result, rng)
         if ends:
             break

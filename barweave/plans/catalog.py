@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -141,6 +142,27 @@ def quality_checks(spark, d):
     return S.quality(fixtures.ticks(spark, d).select("symbol", "ts", *(F.col("price").alias(c) for c in S.PRICES)))
 
 
+_PLAIN = "SELECT '{}' AS sink, symbol, date, {} AS close, {} AS volume FROM daily"
+
+
+@query("sinks_round_trip", f"WITH {Q.DAILY} " + " UNION ALL ".join(_PLAIN.format(*x) for x in (("parquet", "close", "volume"), ("replaced", "close", "volume + 1"), ("csv", "round_even(close, 2)", "volume"), ("table", "close", "volume"))))
+def sinks_round_trip(spark, d):
+    """Bars as they come back from each sink: Parquet by symbol, the same read, changed and replaced, CSV of display, a catalogue table."""
+    import uuid
+
+    place, name = f"{shared_folder(spark)}/sinks_{uuid.uuid4().hex}", f"bars_{uuid.uuid4().hex}"
+    bars = fixtures.daily_bars(spark, d)
+    columns = ["symbol", "date", "close", "volume"]
+    for folder in ("parquet", "replaced"):
+        sinks.write_bars(bars, f"{place}/{folder}")
+    sinks.replace_table(spark.read.parquet(f"{place}/replaced").withColumn("volume", F.col("volume") + 1), f"{place}/replaced")
+    sinks.write_csv(sinks.display_rounded(bars.select(*columns), {"close": 2}), f"{place}/csv")
+    back = {k: spark.read.parquet(f"{place}/{k}") for k in ("parquet", "replaced")}
+    back["csv"] = spark.read.schema("symbol string, date date, close double, volume long").csv(f"{place}/csv", header=True)
+    back["table"] = sinks.save_bucketed(bars, name, f"{place}/table")
+    return reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("sink"), *columns) for k, df in back.items()])
+
+
 # -- features
 
 
@@ -331,6 +353,15 @@ def signal_diversity(spark, d):
     return rounded(formula.diverse(df, "ret_5d", rows=2**31 - 1))
 
 
+@query("signal_sample")
+def signal_sample(spark, d):
+    """The spread of each formula over a repeatable sample of 500 rows: a look before a formula is searched with."""
+    df = _features(spark, d, True).select("symbol", "date", *{f for text in FORMULAS.values() for f in sorted(formula.parse(text).features())})
+    df = written(df, "sampled")
+    looks = [formula.diverse(df, text).withColumn("tree", F.lit(n)) for n, text in FORMULAS.items()]
+    return rounded(reduce(DataFrame.unionByName, looks))
+
+
 @query("max_row", f"WITH {Q.DAILY}, {Q.BASE} SELECT symbol, date, round(ret_5d, 6) AS ret_5d, round(base.close, 6) AS close, volume FROM base WHERE base.close > base.open AND volume >= 20 AND ret_5d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ret_5d DESC, date) = 1")
 def max_row(spark, d):
     """Each symbol's best five days among those that end with a gain on some volume."""
@@ -488,6 +519,19 @@ def portfolio_by_split(spark, d):
     return rounded(metrics.metrics(s, backtest.trades(s, ["split", "symbol"]), ["split", "symbol"]))
 
 
+_ACROSS = ("total_return_pct", "annual_return_pct", "sharpe_ratio", "max_drawdown_pct", "win_rate")
+
+
+def _across_sql(group: str, of: str) -> str:
+    return f"SELECT {group}, count(*) AS n_symbols, sum(n_trades)::BIGINT AS n_trades, " + ", ".join(f"round(avg({m}), 4) AS avg_{m}, round(stddev_pop({m}), 4) AS std_{m}" for m in _ACROSS) + f" FROM ({of}) GROUP BY {group}"
+
+
+@query("results_table", _across_sql("split", ORACLE["portfolio_by_split"]))
+def results_table(spark, d):
+    """Mean and deviation over symbols: training, validation and test rows."""
+    return rounded(metrics.across_symbols(portfolio_by_split(spark, d), "split"), 4)
+
+
 @query("fitness_single", f"{Q.TRADES}, {Q.CURVE}, {Q.METRICS} SELECT symbol, round({Q.SINGLE}, 6) AS fitness FROM metrics")
 def fitness_single(spark, d):
     return rounded(_metrics(spark, d).select("symbol", metrics.single_fitness(3).alias("fitness")))
@@ -523,7 +567,10 @@ def _scores(spark, d) -> DataFrame:
     return metrics.portfolio_fitness(scored.withColumn("fitness", metrics.single_fitness(F.col("size"))), ["tree", "split"])
 
 
-@query("fitness_final", f"{_SCORES_SQL}, t AS (SELECT tree, COALESCE(max(fitness) FILTER (split = 'train'), -50) AS train, COALESCE(max(fitness) FILTER (split = 'val'), -50) AS val, COALESCE(max(n_trades) FILTER (split = 'train'), 0)::BIGINT AS n_train FROM p GROUP BY tree) SELECT tree, round(train, 4) AS train, round(val, 4) AS val, n_train, round({_FINAL}, 4) AS fitness FROM t")
+_FITNESS_SQL = f"{_SCORES_SQL}, t AS (SELECT tree, COALESCE(max(fitness) FILTER (split = 'train'), -50) AS train, COALESCE(max(fitness) FILTER (split = 'val'), -50) AS val, COALESCE(max(n_trades) FILTER (split = 'train'), 0)::BIGINT AS n_train FROM p GROUP BY tree)"
+
+
+@query("fitness_final", f"{_FITNESS_SQL} SELECT tree, round(train, 4) AS train, round(val, 4) AS val, n_train, round({_FINAL}, 4) AS fitness FROM t")
 def fitness_final(spark, d):
     """Each formula's fitness on training and validation rows, and both together."""
     by_tree = _scores(spark, d).groupBy("tree")
@@ -539,6 +586,30 @@ def gen_stats(spark, d):
     return rounded(metrics.generation_stats(scores), 4)
 
 
+#: A population over the signals of the formulas, with parts in common; its SQL takes the same numbers.
+POPULATION = {
+    "f1": "f1", "neg(f1)": "-f1", "max(f2, f4)": "greatest(f2, f4)", "sub(f3, f6)": "f3 - f6", "mul(f1, f2)": "f1 * f2",
+    "add(f2, mul(f1, f2))": "f2 + f1 * f2", "add(mul(f2, f1), f2)": "f2 + f1 * f2", "neg(add(f2, mul(f1, f2)))": "-(f2 + f1 * f2)", "min(sub(f3, f6), f1)": "least(f3 - f6, f1)",
+}
+_POP_SIZE = "CASE tree " + " ".join(f"WHEN '{t}' THEN {formula.parse(t).size()}" for t in POPULATION) + " END"
+_POP_TREES = f"rounded_ AS (SELECT symbol, date, {', '.join(f'round({x}, 6) AS {n}' for n, x in _FEXPR.items())} FROM feats), trees AS (SELECT symbol, date, unnest([" + ", ".join(f"{{'tree': '{t}', 'signal': {x}}}" for t, x in POPULATION.items()) + "], recursive := true) FROM rounded_)"
+_POP_SQL = _FITNESS_SQL.replace(_TREES_SQL[_TREES_SQL.index("trees AS") : _TREES_SQL.index(", grouped AS")], _POP_TREES).replace(_SIZE, _POP_SIZE)
+
+
+def searchable(spark, d) -> DataFrame:
+    """Rows of the training and validation splits with the formulas' signals, as features to search over."""
+    of = _features(spark, d, True).select("symbol", "date", *(F.round(formula.column(text), 6).alias(n) for n, text in FORMULAS.items()))
+    rows = of.join(signals(spark, d).drop("signal"), ["symbol", "date"])
+    return rows.withColumn("split", align.split(F.col("date"), *SPLITS)).where("split IN ('train', 'val')")
+
+
+@query("population_fitness", f"{_POP_SQL} SELECT tree, round({_FINAL}, 4) AS fitness FROM t")
+def population_fitness(spark, d):
+    """Fitness of a population as a search has it: one graph of expressions over each series."""
+    series = evolve.prepare(searchable(spark, d), list(FORMULAS))
+    return rounded(evolve.evaluate(series, [formula.parse(t) for t in POPULATION], list(FORMULAS), chunks=2), 4)
+
+
 # -- regimes
 
 _REG = f"WITH {Q.DAILY}, reg0 AS (SELECT symbol, date, close, {Q.change('close', 50)} AS trend FROM daily), reg AS (SELECT *, CASE WHEN trend > 0.05 THEN 'BULL' WHEN trend < -0.05 THEN 'BEAR' ELSE 'FLAT' END AS regime FROM reg0)"
@@ -654,9 +725,6 @@ def regime_backtest(spark, d):
     return rounded(metrics.metrics(s, backtest.trades(s, ["market", "symbol"]), ["market", "symbol"]))
 
 
-_ACROSS = ("total_return_pct", "annual_return_pct", "sharpe_ratio", "max_drawdown_pct", "win_rate")
-
-
 @query("across_by_regime", f"SELECT market, count(*) AS n_symbols, sum(n_trades)::BIGINT AS n_trades, " + ", ".join(f"round(avg({m}), 4) AS avg_{m}, round(stddev_pop({m}), 4) AS std_{m}" for m in _ACROSS) + f" FROM ({_grouped_sql('market', _MARKET_SQL, 'true')}) GROUP BY market")
 def across_by_regime(spark, d):
     """Mean and deviation over symbols, regime by regime."""
@@ -724,6 +792,36 @@ def selected_features(spark, d):
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(selection.select(_train(spark, d)))], "rank int, feature string")
 
 
+def _search(spark, d, **kw) -> evolve.Result:
+    """A search over the whole table, ``kw`` as by ``evolve``; the size of a population and its generations may differ."""
+    config = Config(population=kw.pop("population", 20), generations=kw.pop("generations", 3), elite=2, max_depth=3)
+    return evolve.evolve(searchable(spark, d), list(FORMULAS), config, seeds=["f1"], hall=5, **kw)
+
+
+def _hall(spark, found: evolve.Result) -> DataFrame:
+    return spark.createDataFrame([(i + 1, str(t), formula.infix(t), float(f)) for i, (t, f) in enumerate(found.best)], "rank int, tree string, infix string, fitness double")
+
+
+@query("evolve_resumed")
+def evolve_resumed(spark, d):
+    """A search that stops after two of three generations, and goes on from its checkpoint: the end of one that does not stop."""
+    import uuid
+
+    place = f"{shared_folder(spark)}/search_{uuid.uuid4().hex}"
+    _search(spark, d, generations=2, checkpoint=place, every=1)
+    return _hall(spark, _search(spark, d, checkpoint=place, every=1, resume=True))
+
+
+@query("evolve_seeded")
+def evolve_seeded(spark, d):
+    """A search that starts with a model read from its file, and the model's mutated clones."""
+    import uuid
+
+    place = f"{shared_folder(spark)}/model_{uuid.uuid4().hex}"
+    sinks.save_model(spark, {"tree": "sub(f3, f6)"}, place)
+    return _hall(spark, _search(spark, d, generations=2, model=sinks.load_model(spark, place)["tree"]))
+
+
 @query("evolve_smoke")
 def evolve_smoke(spark, d):
     names = ["rsi_7", "ret_5d", "ret_20d", "close_vs_sma20", "vol_20d"]

@@ -46,13 +46,19 @@ def read_list(spark: SparkSession, path: str) -> list[str]:
 
 def replace_table(df: DataFrame, path: str) -> None:
     """Overwrite a path that the table itself may be read from: a new folder is written, then takes the name."""
-    spark, new, old = df.sparkSession, f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(new)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    _take_name(df.sparkSession, path)
+
+
+def _take_name(spark: SparkSession, path: str) -> None:
+    """``path.new`` becomes ``path``; what was there is ``path.old`` until it has."""
+    new, old = f"{path}.new", f"{path}.old"
     Path = spark._jvm.org.apache.hadoop.fs.Path
     fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(Path(old), True)
-    if fs.exists(Path(path)) and not fs.rename(Path(path), Path(old)):
-        raise OSError(f"can't move {path}")
+    if fs.exists(Path(path)):
+        fs.delete(Path(old), True)
+        if not fs.rename(Path(path), Path(old)):
+            raise OSError(f"can't move {path}")
     if not fs.rename(Path(new), Path(path)):
         raise OSError(f"can't move {new}")
     fs.delete(Path(old), True)
@@ -76,18 +82,21 @@ def tables(spark: SparkSession) -> list[str]:
 
 
 def save_model(spark: SparkSession, model: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.mode("overwrite").text(path)
+    """The model as JSON; one that was there stays readable until the new one is whole."""
+    spark.createDataFrame([(json.dumps(model),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}.new")
+    _take_name(spark, path)
 
 
 def load_model(spark: SparkSession, path: str) -> dict | None:
-    """The model, or None where there is none to read."""
+    """The model, or the one before if a save broke off between the two; None where there is none to read."""
     from pyspark.errors import AnalysisException
 
-    try:
-        rows = spark.read.text(path).collect()
-    except AnalysisException:
-        return None
-    try:
-        return json.loads(rows[0]["value"]) if rows else None
-    except json.JSONDecodeError:
-        return None
+    for place in (path, f"{path}.old"):
+        try:
+            rows = spark.read.text(place).collect()
+            return json.loads(rows[0]["value"]) if rows else None
+        except AnalysisException:
+            continue
+        except json.JSONDecodeError:
+            return None
+    return None
