@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import Config
 from ..session import shared_folder
-from . import backtest, formula, metrics
+from . import backtest, blocks, formula, metrics
 from .formula import CONSTANTS, OPS, Node
 
 
@@ -146,11 +146,42 @@ def evaluate(series: DataFrame, trees: list[Node], features: list[str], chunks:
 
     work = series.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("symbol", "split", "chunk")
     scored = work.mapInPandas(run, "symbol string, split string, tree string, size int, " + ", ".join(f"{m} {'int' if m == 'n_trades' else 'double'}" for m in METRICS))
+    return _fitness(scored, "tree")
+
+
+def _fitness(scored: DataFrame, key: str) -> DataFrame:
+    """(key, fitness) out of metrics by symbol and split, with the ``size`` of each formula."""
     scored = scored.withColumn("fitness", metrics.single_fitness(F.col("size")))
-    by_split = metrics.portfolio_fitness(scored, ["tree", "split"])
-    both = by_split.groupBy("tree").pivot("split", ["train", "val"]).agg(F.first("fitness").alias("f"), F.first("n_trades").alias("n"))
-    both = both.select("tree", F.coalesce("train_f", F.lit(metrics.FAILED)).alias("train"), F.coalesce("val_f", F.lit(metrics.FAILED)).alias("val"), F.coalesce("train_n", F.lit(0)).alias("n_train"))
-    return both.select("tree", metrics.final_fitness().alias("fitness"))
+    by_split = metrics.portfolio_fitness(scored, [key, "split"])
+    both = by_split.groupBy(key).pivot("split", ["train", "val"]).agg(F.first("fitness").alias("f"), F.first("n_trades").alias("n"))
+    both = both.select(key, F.coalesce("train_f", F.lit(metrics.FAILED)).alias("train"), F.coalesce("val_f", F.lit(metrics.FAILED)).alias("val"), F.coalesce("train_n", F.lit(0)).alias("n_train"))
+    return both.select(key, metrics.final_fitness().alias("fitness"))
+
+
+def prepare_blocks(data: DataFrame, features: list[str], rows: int = blocks.ROWS) -> blocks.Laid:
+    """The same rows in blocks of time of about ``rows``, written once, for series longer than a task; none without a symbol."""
+    return blocks.laid(data.where("symbol IS NOT NULL AND split IN ('train', 'val')"), features, ["symbol", "split"], rows=rows)
+
+
+def evaluate_blocks(series: blocks.Laid, trees: list[Node], features: list[str], chunks: int = 1, rules: backtest.Rules = backtest.Rules()) -> DataFrame:
+    """(tree, fitness) as ``evaluate`` has it, over the blocks of ``prepare_blocks``.
+
+    No task holds more than a block of a series with a share of the formulas, nor a window more than a series' trades
+    under one formula. Formulas equal up to order are evaluated once. Blocks are shares of the work by themselves, so one
+    of the population is enough unless there are fewer blocks than tasks.
+    """
+    spark = series.rows.sparkSession
+    if not trees:
+        return spark.createDataFrame([], "tree string, fitness double")
+    shares = dealt([formula.normal(t) for t in trees], chunks)
+    forms = [t for share in shares for t in share]
+    number = {str(t): i for i, t in enumerate(forms)}
+    named = F.broadcast(spark.createDataFrame([(t, number[str(formula.normal(tree))]) for t, tree in {str(t): t for t in trees}.items()], "tree string, form int"))  # a population
+    sized = F.broadcast(spark.createDataFrame([(i, t.size()) for i, t in enumerate(forms)], "form int, size int"))
+    found = blocks.trades_of(series, shares, features, rules)
+    lengths = series.ends.groupBy(*series.by).agg(F.sum("n").alias("n_days")).withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(len(forms) - 1))))
+    scored = metrics.of_trades(lengths, found, [*series.by, "form"]).join(sized, "form")
+    return _fitness(scored, "form").join(named, "form").select("tree", "fitness")
 
 
 METRICS = ("annual_return_pct", "sharpe_ratio", "sortino_ratio", "max_drawdown_pct", "win_rate", "trades_per_year", "n_trades")
@@ -183,14 +214,15 @@ class Result:
 SAVED, CLONES = 5, 10
 
 
-def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str] = (), hall: int = 10, checkpoint: str | None = None, resume: bool = False, model: str | None = None, every: int | None = None) -> Result:
+def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str] = (), hall: int = 10, checkpoint: str | None = None, resume: bool = False, model: str | None = None, every: int | None = None, rows: int | None = None) -> Result:
     """Search over rows (symbol, split, date, open, close, regime, features); statistics of each generation come along.
 
     Among them are the ``nodes`` of the formulas evaluated, and how many of them the graphs leave to be ``evaluated``.
 
     A population starts with the ``seeds``, then a saved ``model`` and ``CLONES`` mutated clones of it; seeds that name
     unknown features raise. A ``checkpoint`` folder gets all of the search ``every`` so many generations (``SAVED``); with ``resume`` it
-    goes on from the last of them, if there is one, with the same result as without a stop.
+    goes on from the last of them, if there is one, with the same result as without a stop. With ``rows`` series are
+    evaluated in blocks of about so many, for such as are longer than a task.
     """
     config.validate()
     rng = random.Random(config.seed)
@@ -209,14 +241,15 @@ def evolve(data: DataFrame, features: list[str], config: Config, seeds: list[str
             first += [tree, *seeded(rng, tree, CLONES, features, config)]
         population = first[: config.population]
         population += [ramped(rng, features, config) for _ in range(config.population - len(population))]
-    series = prepare(data, features)
+    series = prepare_blocks(data, features, rows) if rows else prepare(data, features)
+    score = evaluate_blocks if rows else evaluate
     for gen in range(begin, config.generations):
         began = time.time()
         forms = {t: str(formula.normal(t)) for t in population}
         new = [t for t in population if forms[t] not in known]
-        shares = dealt(new)
+        shares = dealt(new, 1 if rows else CHUNKS)
         if new:
-            found = {r["tree"]: r["fitness"] for r in evaluate(series, new, features).collect()}
+            found = {r["tree"]: r["fitness"] for r in score(series, new, features).collect()}
             known |= {forms[t]: found[str(t)] for t in new}
         ranked = [(t, known[forms[t]]) for t in population]
         best = {str(t): (t, f) for t, f in [*result.best, *ranked]}

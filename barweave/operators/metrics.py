@@ -44,6 +44,34 @@ def metrics(bars: DataFrame, trades: DataFrame, by: list[str] = ["symbol"], on:
         F.count("*").alias("n_days"), F.max_by("equity", "day").alias("last"), F.avg("ret").alias("m"), F.stddev_pop("ret").alias("sd"), F.count("ret").alias("n_ret"), F.stddev_pop(down).alias("dsd"), F.count(down).alias("n_down"), F.min("drawdown").alias("dd"),
         n.cast("int").alias("n_trades"), (F.sum("wins") / n).alias("wins"), (F.sum("hold") / n).alias("hold"), F.coalesce(F.sum("won"), F.lit(0.0)).alias("won"), F.coalesce(-F.sum("lost"), F.lit(EPS)).alias("lost"),
     )
+    return _report(x, by)
+
+
+def of_trades(lengths: DataFrame, trades: DataFrame, by: list[str] = ["symbol"]) -> DataFrame:
+    """As ``metrics``, out of the trades and the number of rows of each group, (by, n_days): no row of a series is read.
+
+    Equity moves on the days alone on which trades end; between them returns are zero and drawdowns stay what they were.
+    So a group's window holds its trades, which are fewer than its rows. Groups without a length have no row.
+    """
+    w = Window.partitionBy(*by).orderBy("day")
+    upto, later = w.rowsBetween(Window.unboundedPreceding, 0), F.col("day") > 0
+    lost = F.max(F.when(later & (F.col("pnl") <= -1), 1).otherwise(0)).over(upto)
+    grown = F.exp(F.sum(F.when(later & (F.col("pnl") > -1), F.log1p("pnl")).otherwise(0.0)).over(upto))
+    out = _by_day(trades, by).withColumn("equity", F.when(lost == 1, 0.0).otherwise(grown))
+    before, peak = F.coalesce(F.lag("equity").over(w), F.lit(1.0)), F.greatest(F.lit(1.0), F.max("equity").over(upto))
+    out = out.withColumns({"drawdown": (F.col("equity") - peak) / (peak + EPS), "ret": F.when(later, (F.col("equity") - before) / (before + EPS))})
+    down, n = F.when(F.col("ret") < 0, F.col("ret")), F.sum("n")
+    out = out.groupBy(*by).agg(
+        F.max_by("equity", "day").alias("last"), F.sum("ret").alias("s"), F.avg("ret").alias("mean"), F.var_pop("ret").alias("var"), F.count("ret").alias("moved"), F.stddev_pop(down).alias("dsd"), F.count(down).alias("n_down"), F.least(F.lit(0.0), F.min("drawdown")).alias("dd"),
+        n.cast("int").alias("n_trades"), (F.sum("wins") / n).alias("wins"), (F.sum("hold") / n).alias("hold"), F.coalesce(F.sum("won"), F.lit(0.0)).alias("won"), F.coalesce(-F.sum("lost"), F.lit(EPS)).alias("lost"),
+    )
+    # The spread of days with and without a return, merged: the latter are all zero.
+    n_ret, c = F.col("n_days") - 1, F.col
+    spread = c("moved") * c("var") + c("mean") * c("mean") * c("moved") * F.try_divide(n_ret - c("moved"), n_ret)
+    return _report(lengths.join(out, by, "left").withColumns({"n_ret": n_ret, "m": F.try_divide("s", n_ret), "sd": F.sqrt(F.try_divide(spread, n_ret))}), by)
+
+
+def _report(x: DataFrame, by: list[str]) -> DataFrame:
     years, c = F.greatest(F.col("n_days") / YEAR, F.lit(EPS)), F.col
     ratio = lambda sd, n: F.when((c(n) > 1) & (c(sd) > EPS), c("m") / c(sd) * F.sqrt(F.lit(YEAR))).otherwise(0.0)
     traded = lambda v: F.when(c("n_trades") > 0, v).otherwise(0.0)

@@ -448,6 +448,13 @@ def _metrics(spark, d):
     return metrics.metrics(s, backtest.trades(s))
 
 
+@query("metrics_of_trades", f"{Q.TRADES}, {Q.CURVE}, {Q.METRICS} SELECT symbol, n_trades, {_MSQL} FROM metrics")
+def metrics_of_trades(spark, d):
+    """The same metrics from the trades and the number of rows of a symbol, without a curve of every row."""
+    s = signals(spark, d)
+    return rounded(metrics.of_trades(s.groupBy("symbol").agg(F.count("*").alias("n_days")), backtest.trades(s)))
+
+
 @query("backtest_metrics", f"{Q.TRADES}, {Q.CURVE}, {Q.METRICS} SELECT symbol, n_trades, {_MSQL} FROM metrics")
 def backtest_metrics(spark, d):
     return rounded(_metrics(spark, d))
@@ -610,6 +617,12 @@ def population_fitness(spark, d):
     return rounded(evolve.evaluate(series, [formula.parse(t) for t in POPULATION], list(FORMULAS), chunks=2), 4)
 
 
+@query("population_fitness_blocks", f"{_POP_SQL} SELECT tree, round({_FINAL}, 4) AS fitness FROM t")
+def population_fitness_blocks(spark, d):
+    """The same fitness from blocks of time, several to a series, each with the whole population as one graph."""
+    return rounded(evolve.evaluate_blocks(evolve.prepare_blocks(searchable(spark, d), list(FORMULAS), BLOCK_ROWS), [formula.parse(t) for t in POPULATION], list(FORMULAS)), 4)
+
+
 # -- regimes
 
 _REG = f"WITH {Q.DAILY}, reg0 AS (SELECT symbol, date, close, {Q.change('close', 50)} AS trend FROM daily), reg AS (SELECT *, CASE WHEN trend > 0.05 THEN 'BULL' WHEN trend < -0.05 THEN 'BEAR' ELSE 'FLAT' END AS regime FROM reg0)"

@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barweave.config import Config
-from barweave.operators import backtest, evolve, formula, metrics
+from barweave.operators import backtest, blocks, evolve, formula, metrics
 
 NAMES = ["a", "b", "c"]
 
@@ -101,3 +102,60 @@ def test_shares_hold_each_formula_once():
     assert sorted(texts) == sorted({str(t) for t in trees}) and max(map(len, shares)) - min(map(len, shares)) <= 1
     assert sum(len(formula.Graph(s)) for s in shares) < sum(t.size() for s in shares for t in s)
     assert evolve.dealt([]) == [[]] and len(evolve.dealt(trees[:2], 7)) <= 2
+
+
+def series(spark, seed=5, lengths=(160, 160, 160, 160, 1)):
+    rng, rows = np.random.default_rng(seed), []
+    for s, n in zip("PQRST", lengths):
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+        rows += [(s, "train" if i < 110 else "val", i, float(c), float(c * (1 + rng.normal(0, 0.003))), int(rng.choice([1, -1, 0], p=[0.6, 0.3, 0.1])), *map(float, rng.normal(size=3))) for i, c in enumerate(close)]
+    rows = [(*r[:-1], None if k % 17 == 0 else r[-1]) for k, r in enumerate(rows)]
+    return spark.createDataFrame(rows, "symbol string, split string, date int, open double, close double, regime int, a double, b double, c double")
+
+
+@pytest.mark.parametrize("rows, chunks, opens", [(7, 1, True), (60, 3, True), (10_000, 2, False)])
+def test_trades_of_many_formulas_by_blocks_equal_those_of_each(spark, rows, chunks, opens):
+    df = series(spark).withColumns({"k": F.lit(1), "form": F.lit("x"), "block": F.lit(0), "share": F.lit(9)})  # names of our own
+    df = df if opens else df.drop("open")
+    rules = backtest.Rules(min_hold=3, max_hold=25, stop_loss=0.04, trailing_stop=0.05)
+    shares, by = evolve.dealt(population(12, 4), chunks), ["symbol", "split"]
+    trees = [t for share in shares for t in share]
+    found = blocks.trades_of(blocks.laid(df, NAMES, by, rows=rows), shares, NAMES, rules).collect()
+    for i, t in enumerate(trees):
+        one = df.select(*by, "date", "close", *(["open"] if opens else []), "regime", formula.column(t).alias("signal"))
+        want = sorted(tuple(r) for r in backtest.trades(one, by, rules=rules).collect())
+        got = sorted(tuple(v for c, v in r.asDict().items() if c != "form") for r in found if r["form"] == i)
+        assert [x[:5] for x in got] == [x[:5] for x in want] and [x[-1] for x in got] == [x[-1] for x in want], t
+        assert all(x[5:-1] == pytest.approx(y[5:-1], abs=1e-9) for x, y in zip(got, want)), t
+    assert len(found) > 100
+
+
+def test_fitness_by_blocks_equals_that_of_whole_series(spark):
+    df = series(spark, 6)
+    trees = [*population(14, 8), *(formula.parse(t) for t in ("add(a, c)", "add(c, a)", "sub(a, b)", "sub(a, b)"))]
+    want = {r["tree"]: r["fitness"] for r in evolve.evaluate(evolve.prepare(df, NAMES), trees, NAMES, chunks=2).collect()}
+    odd = df.union(df.limit(1).selectExpr("NULL", "split", "date", "open", "close", "regime", "a", "b", "c")).union(df.limit(1).selectExpr("symbol", "'test'", "date", "open", "close", "regime", "a", "b", "c"))
+    got = {r["tree"]: r["fitness"] for r in evolve.evaluate_blocks(evolve.prepare_blocks(odd, NAMES, 50), trees, NAMES, chunks=2).collect()}
+    assert got == pytest.approx(want, abs=1e-6) and set(got) == {str(t) for t in trees} and len(set(got.values())) > 3
+    none = evolve.prepare_blocks(df.where("date < 0"), NAMES)
+    assert evolve.evaluate_blocks(none, [], NAMES).count() == 0 and evolve.evaluate_blocks(none, trees, NAMES).count() == 0
+
+
+def test_a_search_over_blocks_ends_as_one_over_whole_series(spark):
+    df, config = series(spark, 7), Config(population=8, elite=2, generations=2, max_depth=3, seed=3)
+    whole, cut = evolve.evolve(df, NAMES, config, hall=4), evolve.evolve(df, NAMES, config, hall=4, rows=60)
+    assert [str(t) for t, _ in whole.best] == [str(t) for t, _ in cut.best] and [f for _, f in whole.best] == pytest.approx([f for _, f in cut.best], abs=1e-6)
+
+
+def test_metrics_out_of_trades_equal_those_of_curves(spark):
+    rng = np.random.default_rng(9)
+    lengths = {"A": 300, "B": 40, "C": 2, "D": 1, "E": 30}
+    bars = spark.createDataFrame([(s, i) for s, n in lengths.items() for i in range(n)], "symbol string, date int")
+    trades = [("A", int(d), 3, float(r)) for d, r in zip(rng.integers(1, 300, 90), rng.normal(0.001, 0.05, 90))]
+    trades += [("B", 4, 2, 0.1), ("B", 4, 2, -0.2), ("B", 0, 1, 0.5), ("C", 1, 1, -0.3), ("E", 3, 1, 0.2), ("E", 9, 1, -1.5), ("E", 12, 1, 0.4)]
+    trades = spark.createDataFrame(trades, "symbol string, exit_day int, hold_days int, net_return double")
+    want = {r["symbol"]: r.asDict() for r in metrics.metrics(bars, trades).collect()}
+    got = {r["symbol"]: r.asDict() for r in metrics.of_trades(bars.groupBy("symbol").agg(F.count("*").alias("n_days")), trades).collect()}
+    assert set(got) == set(want) == set(lengths)
+    for s in want:
+        assert got[s].keys() == want[s].keys() and {k: v for k, v in got[s].items() if k != "symbol"} == pytest.approx({k: v for k, v in want[s].items() if k != "symbol"}, abs=1e-8), s
