@@ -451,8 +451,8 @@ def _metrics(spark, d):
 @query("metrics_of_trades", f"{Q.TRADES}, {Q.CURVE}, {Q.METRICS} SELECT symbol, n_trades, {_MSQL} FROM metrics")
 def metrics_of_trades(spark, d):
     """The same metrics from the trades and the number of rows of a symbol, without a curve of every row."""
-    s = signals(spark, d)
-    return rounded(metrics.of_trades(s.groupBy("symbol").agg(F.count("*").alias("n_days")), backtest.trades(s)))
+    lengths = fixtures.daily_bars(spark, d).groupBy("symbol").agg(F.count("*").alias("n_days"))
+    return rounded(metrics.of_trades(lengths, backtest.trades(signals(spark, d))))
 
 
 @query("backtest_metrics", f"{Q.TRADES}, {Q.CURVE}, {Q.METRICS} SELECT symbol, n_trades, {_MSQL} FROM metrics")
