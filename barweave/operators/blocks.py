@@ -203,7 +203,9 @@ def trades_of(series: Laid, shares: list[list[formula.Node]], features: list[str
         return pd.DataFrame(out, columns=columns)
 
     def work(rows: DataFrame, entries: DataFrame) -> DataFrame:
-        at = [*by, "k", "share"]
+        # By number, as blocks are small in bytes but not in work: adaptive execution would put them into few tasks.
+        at, n = [*by, "k", "share"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows, entries = rows.repartition(n, *at), entries.repartition(n, *at)
         return rows.groupBy(*at).cogroup(entries.groupBy(*at)).applyInPandas(run, f"{keys}, form int, k int, until long, {_AT}, {TRADE}")
 
     def again(new: DataFrame) -> DataFrame:
