@@ -767,12 +767,25 @@ def hmm_transitions(spark, d):
 # -- selection and search
 
 _PAIRS = [(a, b) for j, b in enumerate(selection.CANDIDATES) for a in selection.CANDIDATES[:j]]
-_CORR_SQL = f"{_INDEXED}, c AS (SELECT " + ", ".join(f"COALESCE({_DATASET[n]}, 0) AS {n}" for n in selection.CANDIDATES) + f" FROM moved QUALIFY date <= '{SPLITS[0]}'), pairs AS (SELECT unnest([" + ", ".join(f"{{'first': '{a}', 'second': '{b}', 'corr': abs(corr({a}, {b}))}}" for a, b in _PAIRS) + "], recursive := true) FROM c)"
 
 
-@query("corr_pairs", f"{_CORR_SQL} SELECT first, second, round(corr, 6) AS corr FROM pairs")
+def _corr_sql(rows: str = "") -> str:
+    """Tables up to ``pairs``: the correlation of every pair of candidates, over all rows or those that ``rows`` leaves."""
+    return f"{_INDEXED}, c AS (SELECT " + ", ".join(f"COALESCE({_DATASET[n]}, 0) AS {n}" for n in selection.CANDIDATES) + f" FROM moved{rows}), pairs AS (SELECT unnest([" + ", ".join(f"{{'first': '{a}', 'second': '{b}', 'corr': abs(corr({a}, {b}))}}" for a, b in _PAIRS) + "], recursive := true) FROM c)"
+
+
+@query("corr_pairs", f"{_corr_sql()} SELECT first, second, round(corr, 6) AS corr FROM pairs")
 def corr_pairs(spark, d):
-    """All pairs of the candidate features, on the training rows."""
+    """All pairs of the candidate features, over all rows."""
+    return rounded(selection.correlations(_features(spark, d, True), list(selection.CANDIDATES)))
+
+
+_CORR_SQL = _corr_sql(f" QUALIFY date <= '{SPLITS[0]}'")
+
+
+@query("corr_pairs_train", f"{_CORR_SQL} SELECT first, second, round(corr, 6) AS corr FROM pairs")
+def corr_pairs_train(spark, d):
+    """The same on the training rows, which pruning goes by."""
     return rounded(selection.correlations(_trained(spark, d), list(selection.CANDIDATES)))
 
 

@@ -205,6 +205,22 @@ def test_comoments_merge_to_those_of_all_rows(spark):
     assert selection.comoments(df.where("a < 0"), ["a"])[0] == 0
 
 
+def test_pairs_of_all_rows_and_of_training_rows(spark):
+    from barweave.operators import selection
+    from barweave.plans import catalog
+    from tests.oracle import DATA
+
+    names = list(selection.CANDIDATES)
+    rows = align.sanitised(catalog._features(spark, DATA, True), names).select("date", *names).toPandas()
+    old = rows["date"] <= datetime.date.fromisoformat(catalog.SPLITS[0])
+    assert 0 < old.sum() < len(rows)
+    for query, part in ((catalog.corr_pairs, rows), (catalog.corr_pairs_train, rows[old])):
+        want = part[names].corr().abs()
+        got = [tuple(r) for r in query(spark, DATA).collect()]
+        assert len(got) == len(names) * (len(names) - 1) // 2
+        assert all(abs(c - want.loc[a, b]) < 2e-6 for a, b, c in got)
+
+
 def test_selection_as_a_whole(spark):
     from barweave.operators import selection
 
