@@ -165,19 +165,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     labels = labels.where(~held_out(F.col("label_id")))
     draw = F.pmod(F.xxhash64("id", "text", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     size = F.greatest(F.lit(1), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
-    labelled = docs.select("id", "text", draw.alias("draw")).join(labels, F.col("id") == F.col("label_id")).select("text", "draw", "good")
+    # Texts stay where they are until it is known which are learned from: ids, draws and sizes move alone.
+    labelled = docs.select("id", draw.alias("draw"), size.alias("n")).join(labels, F.col("id") == F.col("label_id")).select("id", "draw", "n", "good")
     n = {r["good"]: r["count"] for r in labelled.groupBy("good").count().collect()}
     if len(n) < 2:
         return 0.0 if n and not next(iter(n)) else 1.0
     sample = labelled.where(F.col("draw") < F.when(F.col("good"), per_label / n[True]).otherwise(per_label / n[False]))
     # However the draw falls, no more than four times the rows asked for come.
-    drawn = sample.groupBy("good", "draw").agg(F.max(size).alias("n")).orderBy("draw", "good").limit(4 * per_label).collect()
-    room, last = {True: LABEL_PASSAGES, False: LABEL_PASSAGES}, {True: [], False: []}
+    drawn = sample.groupBy("good", "draw").agg(F.max("n").alias("n"), F.collect_set("id").alias("ids")).orderBy("draw", "good").limit(4 * per_label).collect()
+    room, learned = {True: LABEL_PASSAGES, False: LABEL_PASSAGES}, []
     for r in drawn:
         if r["n"] <= room[r["good"]]:
             room[r["good"]] -= r["n"]
-            last[r["good"]].append(r["draw"])
-    chosen = F.when(F.col("good"), F.col("draw").isin(last[True])).otherwise(F.col("draw").isin(last[False]))
+            learned += [(i, r["draw"], r["good"]) for i in r["ids"]]
+    chosen = docs.sparkSession.createDataFrame(learned, labelled.select("id", "draw", "good").schema)
 
     def run(batches):
         for batch in batches:
@@ -187,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
                 rows = [bag.astype(np.float16).tobytes() for bag in np.split(x, np.cumsum(n)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary())], names=["good", "x"])
 
-    rows = sample.where(chosen).groupBy("good", "draw").agg(F.max("text").alias("text")).select("text", "good")
+    texts = docs.select("id", "text", draw.alias("draw")).join(F.broadcast(chosen), ["id", "draw"])
+    rows = texts.groupBy("good", "draw").agg(F.max("text").alias("text")).select("text", "good")
     rows = rows.mapInArrow(releasing(run), "good boolean, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["good"], bytes(r["x"])))
     if len({r["good"] for r in rows}) < 2:

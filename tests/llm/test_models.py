@@ -63,6 +63,33 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
     assert all(240 < sum(k for k, v in zip(n, y, strict=True) if v == good) <= 300 for good in (0, 1)) and not set(n) - set(want)
 
 
+def test_quality_moves_drawn_texts_only(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.bytes(10_000).hex()) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    texts = docs(spark, rows).select(F.col("doc_id").alias("id"), "text")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, n, y: seen.append((n.tolist(), y.tolist())))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where either table is large
+    try:
+        before = shuffled()
+        quality.fit(texts, labels, 8)
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    (sizes, good) = seen[0]
+    assert set(sizes) == {50} and set(good) == {0, 1}
+    # Hexadecimal digits hold half their bytes. Drawn texts move once, to their equals.
+    assert 10_000 * len(sizes) < moved < 1.5 * 20_000 * len(sizes) + 100_000 < 10_000 * len(rows)
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     n = np.array([3, 1, 4, 2] * 5)
