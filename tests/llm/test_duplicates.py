@@ -282,6 +282,42 @@ def test_windows_of_any_texts_equal_brute_force(spark):
     assert all((np.concatenate([e[k] for e in each]) == whole[k]).all() for k in (1, 2, 4, 5))
 
 
+def test_copies_are_settled_by_stretches(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = [words(rng, 300, 10**6) for _ in range(6)]
+    rows = [(k, texts[k % 6]) for k in range(120)]
+    rows += [(120 + k, f"{words(rng, 20, 10**6)} {texts[k]} {words(rng, 20, 10**6)}") for k in range(6)]
+    rows += [(130 + k, "tick tock " * n) for k, n in enumerate((900, 1500, 900, 20))]
+    moved, inner = [], substrings._marked_windows
+
+    def counted(*args):
+        out = inner(*args)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "_marked_windows", counted)
+    got = check_cut(spark, rows)
+    assert all(got[k] == ("", 300) for k in range(6, 120)) and got[132] == (got[132][0], 1800)
+    assert 0 < moved[0] < 4000  # the 120 copies have 30,120 windows, those of least id 1,506
+
+
+def test_stretches_are_runs_of_one_mark():
+    rng = random.Random(15)
+    raws = [words(rng, n, 10**6).encode() for n in (400, 30, 90, 400)] + [b"a " * 3000]
+    raws.append(b" ".join([raws[0], raws[2]]))
+    text, _, _, at, key, mark = substrings.windows(raws)
+    text = text[at]
+    first, digest = substrings.stretches(text, key, mark)
+    ends = [*first[1:].tolist(), len(mark)]
+    seen = {}
+    for a, b, d in zip(first.tolist(), ends, digest.tolist(), strict=True):
+        assert len({(t, m) for t, m in zip(text[a:b].tolist(), mark[a:b].tolist(), strict=True)}) == 1 and b - a <= substrings.STRETCH
+        assert seen.setdefault(d, key[a:b].tolist()) == key[a:b].tolist()
+    assert len({tuple(k) for k in seen.values()}) == len(seen)
+    inside = lambda k: set(digest[text[first] == k].tolist())
+    assert len(inside(5) & inside(0)) >= len(inside(0)) - 1 and len(inside(5) & inside(2)) >= len(inside(2)) - 1
+
+
 def test_long_words_and_white_space_in_windows(monkeypatch):
     texts = [b"a " * 60 + b"w" * n + b" " * m + b" b" * 60 for n, m in ((5000, 1), (1, 5000), (5000, 5000))]
     monkeypatch.setattr(substrings, "BLOCK", 1000)
